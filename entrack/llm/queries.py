@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from entrack.llm import token_counts, topk_search
+from entrack.llm import packing, token_counts, topk_search
 
 QUERIES = {
+    "op4_packing": packing.op4_packing,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_topk_search": topk_search.op10_topk_search,
 }
