@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from entrack.llm import packing, token_counts, topk_search
+from entrack.llm import minhash_forest, packing, token_counts, topk_search
 
 QUERIES = {
+    "op8_minhash_forest": minhash_forest.op8_minhash_forest,
     "op4_packing": packing.op4_packing,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_topk_search": topk_search.op10_topk_search,
 }
 ORACLES = {
+    "op8_minhash_forest": minhash_forest.ORACLE_SQL,
     "op10_topk_search": topk_search.ORACLE_SQL,
 }
