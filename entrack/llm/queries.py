@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from entrack.llm import minhash_forest, packing, token_counts, topk_search
+from entrack.llm import decontamination, minhash_forest, packing, token_counts, topk_search
 
 QUERIES = {
+    "op6_decontamination": decontamination.op6_decontamination,
     "op8_minhash_forest": minhash_forest.op8_minhash_forest,
     "op4_packing": packing.op4_packing,
     "op9_token_counts": token_counts.op9_token_counts,
