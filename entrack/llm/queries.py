@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from entrack.llm import decontamination, minhash_forest, packing, secrets_scan, token_counts, topk_search
+from entrack.llm import decontamination, line_dedup, minhash_forest, packing, secrets_scan, token_counts, topk_search
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op7_secret_scan": secrets_scan.op7_secret_scan,
     "op6_decontamination": decontamination.op6_decontamination,
     "op8_minhash_forest": minhash_forest.op8_minhash_forest,
