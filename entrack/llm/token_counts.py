@@ -37,7 +37,7 @@ _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ一-龥ぁ-ゖ", "0-9²³¹¼-¾"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r {_LETTERS}{_NUMBERS}]+|[\t-\r ]+"
 _SPACE = "\t\n\x0b\x0c\r "
 END = "</w>"
-CACHE_PIECES = 250_000
+CACHE_PIECES = 500_000
 _SLICE = 1000
 
 
@@ -61,8 +61,15 @@ class MergeTable:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.rank = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.parts = {a + b: (i, a, b) for (a, b), i in self.rank.items()}
-        self.vocab = model["vocab"]
-        self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
+        #: What a run of symbols can be: 1 a token inside a word, 2 one that ends it, 3 both.
+        self.kinds: dict[str, int] = {}
+        for t in model["vocab"]:
+            body = t.removesuffix(END)
+            self.kinds[body] = self.kinds.get(body, 0) | (1 if body == t else 2)
+        #: The length of the longest token by its last symbol.
+        self.longest: dict[str, int] = {}
+        for t in self.kinds:
+            self.longest[t[-1:]] = max(self.longest.get(t[-1:], 0), len(t))
         self.alphabet = byte_alphabet()
         self.fits: dict[tuple[str, str], bool] = {}
 
@@ -103,7 +110,7 @@ class MergeTable:
         ending[i] that number when the word ends there. A token may come last where it follows the last
         token of what is before it; exactly one does.
         """
-        vocab, follows, longest, alphabet = self.vocab, self.follows, self.longest, self.alphabet
+        kinds, follows, longest, alphabet = self.kinds, self.follows, self.longest, self.alphabet
         last, inner, ending, before = [""], [0], [0], ""
         for piece in pieces:
             if piece.isascii():
@@ -114,20 +121,22 @@ class MergeTable:
             shared = len(commonprefix((before, s)))
             del last[shared + 1 :], inner[shared + 1 :], ending[shared + 1 :]
             for i in range(shared + 1, len(s) + 1):
-                open_end = True
-                closed = 0
-                for n in range(min(longest, i), 0, -1):
+                needed, closed = 3, 0
+                for n in range(min(longest[s[i - 1]], i), 0, -1):
                     t = s[i - n : i]
-                    if open_end and t in vocab and follows(last[i - n], t):
+                    kind = kinds.get(t)
+                    if kind is None or not (kind := kind & needed):
+                        continue
+                    left = last[i - n]
+                    if kind & 1 and follows(left, t):
                         last.append(t)
                         inner.append(inner[i - n] + 1)
-                        open_end = False
-                        if closed:
-                            break
-                    if not closed and (t := t + END) in vocab and follows(last[i - n], t):
+                        needed -= 1
+                    if kind & 2 and follows(left, t + END):
                         closed = inner[i - n] + 1
-                        if not open_end:
-                            break
+                        needed -= 2
+                    if not needed:
+                        break
                 ending.append(closed)
             before = s
             yield [ending[i] for i in ends]
@@ -176,14 +185,25 @@ class PrefixCounter:
         out.append(bytes(2 * (len(text) - at)))
         return b"".join(out)
 
+    def _cut(self, texts: list[str]) -> list[list[str] | None]:
+        """The pieces of each text; None for a text that is not plain."""
+        return [
+            self.pieces.findall(t.lower()) if self.plain.fullmatch(t) is not None and not any(s in t for s in self.special) else None
+            for t in texts
+        ]
+
+    def learn(self, texts: list[str]) -> None:
+        """Piece tables for all of ``texts`` at once: sorted pieces share the work of their beginnings."""
+        pieces: set[str] = set()
+        for lo in range(0, len(texts), _SLICE):
+            for c in self._cut(texts[lo : lo + _SLICE]):
+                pieces.update(c or ())
+        self._learn(pieces)
+
     def increments(self, texts: list[str]) -> list[bytes]:
-        """For each text, a little-endian int16 per code point: what that character adds to the count."""
-        cut: list[list[str] | None] = []
-        for t in texts:
-            plain = self.plain.fullmatch(t) is not None and not any(s in t for s in self.special)
-            cut.append(self.pieces.findall(t.lower()) if plain else None)
+        """For each text, whose pieces have been learnt, a little-endian int16 per code point: what that character adds to the count."""
+        cut = self._cut(texts)
         out = []
-        self._learn({p for c in cut if c for p in c})
         for t, c in zip(texts, cut, strict=True):
             out.append(self._rare(t) if c is None else b"".join([self.cache[p] for p in c]))
         return out
@@ -226,9 +246,10 @@ def prefix_token_counts(
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = counter(path)
         for batch in batches:
+            every = [t if isinstance(t, str) else "" for t in batch["text"]]
+            tables.learn(every)
             for lo in range(0, len(batch), _SLICE):
-                part = batch.iloc[lo : lo + _SLICE]
-                texts = [t if isinstance(t, str) else "" for t in part["text"]]
+                part, texts = batch.iloc[lo : lo + _SLICE], every[lo : lo + _SLICE]
                 inc = tables.increments(texts)
                 out = pd.DataFrame(
                     {
