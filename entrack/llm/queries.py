@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from entrack.llm import decontamination, lattice_lm, line_dedup, minhash_forest, packing, secrets_scan, token_counts, topk_search
+from entrack.llm import decontamination, lattice_lm, line_dedup, minhash_forest, packing, secrets_scan, token_counts, topk_search, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op5_lattice_lm": lattice_lm.op5_lattice_lm,
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op7_secret_scan": secrets_scan.op7_secret_scan,
