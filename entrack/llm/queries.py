@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from entrack.llm import decontamination, lattice_lm, line_dedup, minhash_forest, packing, secrets_scan, token_counts, topk_search, toxicity
+from entrack.llm import decontamination, lattice_lm, line_dedup, minhash_forest, packing, pii_surrogates, secrets_scan, token_counts, topk_search, toxicity
 
 QUERIES = {
+    "op3_pii_surrogates": pii_surrogates.op3_pii_surrogates,
     "op2_toxicity": toxicity.op2_toxicity,
     "op5_lattice_lm": lattice_lm.op5_lattice_lm,
     "op1_line_dedup": line_dedup.op1_line_dedup,
