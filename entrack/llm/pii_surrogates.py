@@ -52,8 +52,8 @@ _PATTERNS = (
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    ("card", r"(?<![\w.])(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![\w]|[ .-]\d)"),
-    ("phone", r"(?<![\w+])(?<!\d[ .-])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w|[ -]\d)|(?<!\w)\+\d{8,15}(?!\w)"),
+    ("card", r"(?<![\w.])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4})(?!\w|\.\d)"),
+    ("phone", r"(?<![\w+])(?<!\d[ .-])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{4}(?!\w|[ -]\d)|(?<!\w)\+\d{8,15}(?!\w)"),
     ("titled", rf"(?<!\w)(?P<title>{'|'.join(_TITLE)})\.?[ ](?P<first>{_NAME})(?:[ ](?P<last>{_NAME}))?"),
     ("named", rf"(?<!\w)(?P<given>{'|'.join(_GENDER)})[ ](?P<family>{_NAME})"),
 )
@@ -81,9 +81,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     if not _SIGN.search(text) and not any(w in text for w in _TITLE) and not any(w in text for w in _GENDER):
         return out
     for m in _FIND.finditer(text):
-        kind = m.lastgroup if m.lastgroup in ("email", "iban", "ip", "ssn", "phone", "card") else None
-        if kind is None:
-            kind = next(k for k, _ in _PATTERNS if m.group(k) is not None)
+        kind = next(k for k, _ in _PATTERNS if m.group(k) is not None)
         found = m.group()
         if kind in ("titled", "named"):
             if kind == "named":

@@ -203,3 +203,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
         F.transform("offending", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))).alias("offending"),
     )
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score below ``threshold``, with all their columns."""
+    scores = F.pandas_udf(lambda texts: pd.Series([model.score(t)[0] for t in texts]), "double")
+    return docs.where(scores(F.col(text)) < threshold)
