@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entrack.plans import retrieval
+from entrack.plans import catalogue, retrieval
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, catalogue)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
