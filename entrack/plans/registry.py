@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entrack.plans import catalogue, retrieval
+from entrack.plans import catalogue, retrieval, sequences
 
-_MODULES = (retrieval, catalogue)
+_MODULES = (retrieval, catalogue, sequences)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
