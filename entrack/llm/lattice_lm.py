@@ -18,9 +18,9 @@ probability 1/2 and words come from the vocabulary alone; extra columns are igno
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,19 +28,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entrack.llm.common import ASCII_LOWER, WORD_PATTERN, Scratch, crc_mod, table
+from entrack.llm.common import Scratch, crc_mod, table
 
 FREQUENT, MOST_BYTES = 1 << 18, 64
 ROUNDS = 2
 LONG_WORD = 48
-_WORDS = re.compile(WORD_PATTERN)
 _MARK = 0xFF  # starts a word; no byte of UTF-8
 _BASE = 0x100000001B3
 _MASK = (1 << 64) - 1
 
 
-def words(text: str | None) -> list[str]:
-    return _WORDS.findall(text.translate(ASCII_LOWER)) if isinstance(text, str) else []
+def words(text: str | None) -> list[bytes]:
+    """Words with A-Z lower-cased: on bytes, lower() and split() know ASCII letters and white space only."""
+    return text.encode("utf-8").lower().split() if isinstance(text, str) else []
 
 
 def coded(word: str) -> bytes:
@@ -230,13 +230,13 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows() -> Iterator[pd.DataFrame]:
         for train, found in counts.items():
             if found:
-                yield pd.DataFrame({"word": list(found), "c": list(found.values())}).assign(train=train)
+                yield pd.DataFrame({"word": [w.decode() for w in found], "c": list(found.values())}).assign(train=train)
                 found.clear()
 
     for batch in batches:
         for text, train in zip(batch["text"], batch["train"], strict=True):
             counts[bool(train)].update(words(text))
-            if len(counts[True]) + len(counts[False]) > 250_000:
+            if len(counts[True]) + len(counts[False]) > 400_000:
                 yield from rows()
     yield from rows()
 
@@ -268,8 +268,12 @@ def _spelled(pieces: Pieces):
     return run
 
 
-def _postings(frequent: dict[str, tuple[int, float, float]]):
-    """A row for each text with the sums over its frequent words, and a row for each other word of it."""
+def _postings(frequent: dict[bytes, int], values: np.ndarray):
+    """A row for each text with the sums over its frequent words, and a row for each other word of it.
+
+    ``values`` has the columns known, base and score of each frequent word, and zeros at the end.
+    """
+    zeros = len(values) - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rid = TaskContext.get().partitionId() << 40
@@ -279,18 +283,13 @@ def _postings(frequent: dict[str, tuple[int, float, float]]):
                 heads, rids, rare, times = [], [], [], []
                 for text in part["text"]:
                     found = words(text)
-                    known, base, score = 0, 0.0, 0.0
-                    for word, n in Counter(found).items():
-                        hit = frequent.get(word)
-                        if hit is None:
-                            rids.append(rid)
-                            rare.append(word)
-                            times.append(n)
-                        else:
-                            known += n * hit[0]
-                            base += n * hit[1]
-                            score += n * hit[2]
-                    heads.append((rid, len(found), known, base, score))
+                    at = np.fromiter(map(frequent.get, found, repeat(zeros)), dtype=np.int64, count=len(found))
+                    known, base, score = values[at].sum(axis=0)
+                    for word, n in Counter([found[i] for i in np.flatnonzero(at == zeros)]).items():
+                        rids.append(rid)
+                        rare.append(word.decode())
+                        times.append(n)
+                    heads.append((rid, len(found), int(known), base, score))
                     rid += 1
                 head = pd.DataFrame(heads, columns=["rid", "n", "known", "base", "score"])
                 yield head.assign(doc_id=part["doc_id"].astype("Int64").to_numpy(), word=np.full(len(head), None))
@@ -358,11 +357,12 @@ def lattice_scores(
         if so_far > FREQUENT:
             break
         least = r["n"]
-    frequent = {r["word"]: (r["known"], r["base"], r["score"]) for r in scored.where(short & (F.col("n") >= least)).toLocalIterator()}
-    shipped = docs.sparkSession.sparkContext.broadcast(frequent)
+    top = scored.where(short & (F.col("n") >= least)).select("word", "known", "base", "score").toPandas()
+    values = np.vstack([top[["known", "base", "score"]].to_numpy(np.float64), np.zeros((1, 3))])
+    shipped = docs.sparkSession.sparkContext.broadcast(({w.encode(): i for i, w in enumerate(top["word"])}, values))
 
     def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _postings(shipped.value)(batches)
+        yield from _postings(*shipped.value)(batches)
 
     parts = rows.mapInPandas(postings, "rid long, doc_id long, word string, n long, known long, base double, score double")
     parts = scratch.save(parts, "postings")
