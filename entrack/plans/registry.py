@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entrack.plans import catalogue, retrieval, sequences
+from entrack.plans import catalogue, evaluation, retrieval, sequences, spatial, texts
 
-_MODULES = (retrieval, catalogue, sequences)
+_MODULES = (retrieval, catalogue, sequences, evaluation, texts, spatial)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
