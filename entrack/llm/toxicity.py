@@ -17,7 +17,6 @@ without labels of both kinds every score is 0; an empty table gives an empty res
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +29,10 @@ from entrack.llm.common import Scratch, crc_mod, table
 
 SAMPLE, FEATURES, LEAST_DOCS, LEAST_GAIN = 20_000, 4096, 2, 8.0
 BEGINNINGS = (4, 5, 6)
-THRESHOLD = 0.7
+THRESHOLD, OFFENDING = 0.7, 0.5
 STEPS, RATE, DECAY = 400, 0.1, 2e-4
+CACHE_WORDS = 400_000
+_LOGIT = float(np.log(OFFENDING / (1 - OFFENDING)))
 _WORD = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?]+(?=\s)|\n")
 
@@ -41,6 +42,21 @@ def features_of(word: str) -> list[str]:
     return [word] + [word[:n] + "*" for n in BEGINNINGS if len(word) > n]
 
 
+class _Weights(dict):
+    """The summed weight of a word's features by word, 0 where it has none."""
+
+    def __init__(self, words: dict[str, float], starts: dict[str, float]):
+        super().__init__()
+        self.words, self.starts = words, starts
+
+    def __missing__(self, word: str) -> float:
+        found = self.words.get(word, 0.0) + sum(self.starts.get(word[:n], 0.0) for n in BEGINNINGS if len(word) > n)
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = found
+        return found
+
+
 class Model:
     """Sentence scores from feature weights; document scores by noisy-or."""
 
@@ -48,64 +64,43 @@ class Model:
         self.bias = bias
         self.words = {f: w for f, w in weights.items() if not f.endswith("*")}
         self.starts = {f[:-1]: w for f, w in weights.items() if f.endswith("*")}
+        self.known = _Weights(self.words, self.starts)
 
-    def weight(self, word: str) -> float | None:
-        """The summed weight of a word's features, None where it has none."""
-        found = [self.words[word]] if word in self.words else []
-        found += [self.starts[word[:n]] for n in BEGINNINGS if len(word) > n and word[:n] in self.starts]
-        return sum(found) if found else None
+    def __reduce__(self):
+        return Model, (self.words | {f"{s}*": w for s, w in self.starts.items()}, self.bias)
 
     def score(self, text: str | None) -> tuple[float, int, list[tuple[int, int, float]]]:
-        """(document score, number of sentences, the sentences with features as (start, end, score))."""
+        """(document score, number of sentences, the sentences with score >= OFFENDING as (start, end, score))."""
         if not isinstance(text, str) or not text.strip():
             return 0.0, 0, []
-        low = text.lower()
-        known = {w: x for w in set(_WORD.findall(low)) if (x := self.weight(w)) is not None}
-        ends = [m.end() for m in _END.finditer(text)]
-        count = len(ends) + 1
-        sums: dict[int, float] = {}
-        if known:
-            seen: set[tuple[int, str]] = set()
-            for m in _WORD.finditer(low if len(low) == len(text) else text):
-                w = m.group().lower()
-                at = bisect_right(ends, m.start())
-                if w in known and (at, w) not in seen:
-                    seen.add((at, w))
-                    sums[at] = sums.get(at, 0.0) + known[w]
+        weight, words = self.known.__getitem__, _WORD.findall
+        z = self.bias + np.array([sum(map(weight, sorted(set(words(s))))) for s in _END.split(text.lower())])
+        bad = np.flatnonzero(z >= _LOGIT).tolist()
         marked = []
-        nothing = -(count - len(sums)) * _softplus(self.bias)
-        for at, total in sorted(sums.items()):
-            z = self.bias + total
-            nothing -= _softplus(z)
-            marked.append((ends[at - 1] if at else 0, ends[at] if at < len(ends) else len(text), 1.0 / (1.0 + np.exp(-z))))
-        return float(-np.expm1(nothing)), count, marked
-
-
-def _softplus(z: float) -> float:
-    return float(np.logaddexp(0.0, z))
-
-
-def fit(bags: list[tuple[int, int, list[list[int]]]], n_features: int) -> tuple[np.ndarray, float]:
-    """Weights and bias from (label, sentences without features, feature lists of the other sentences)."""
-    label = np.array([b[0] for b in bags], dtype=float)
-    plain = np.array([b[1] for b in bags], dtype=float)
-    bag, feature, sentence, n = [], [], [], 0
-    for k, (_, _, sentences) in enumerate(bags):
-        for s in sentences:
-            bag.append(k)
-            feature += s
-            sentence += [n] * len(s)
-            n += 1
-    bag, feature, sentence = np.array(bag, dtype=int), np.array(feature, dtype=int), np.array(sentence, dtype=int)
+        if bad:
+            ends = [0, *[m.end() for m in _END.finditer(text)], len(text)]
+            marked = [(ends[k], ends[k + 1], float(1.0 / (1.0 + np.exp(-z[k])))) for k in bad]
+        return float(-np.expm1(-np.logaddexp(0.0, z).sum())), len(z), marked
+
+
+def fit(label: np.ndarray, plain: np.ndarray, sentences: np.ndarray, sizes: np.ndarray, feature: np.ndarray, n_features: int) -> tuple[np.ndarray, float]:
+    """Weights and bias.
+
+    For each bag: its label, how many sentences without features and how many with features it has. For each
+    sentence with features, in order of bags, how many it has; ``feature`` lists them all in that order.
+    """
+    label, plain, n = label.astype(float), plain.astype(float), len(sizes)
+    bag = np.repeat(np.arange(len(label)), sentences)
+    sentence = np.repeat(np.arange(n, dtype=np.int32), sizes)
     w, b = np.zeros(n_features), -6.0
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for t in range(1, STEPS + 1):
         z = b + np.bincount(sentence, w[feature], minlength=n)
-        total = np.bincount(bag, np.logaddexp(0, z), minlength=len(bags)) + plain * np.logaddexp(0, b)
+        total = np.bincount(bag, np.logaddexp(0, z), minlength=len(label)) + plain * np.logaddexp(0, b)
         pull = np.where(label > 0, -1.0 / np.expm1(np.clip(total, 1e-9, 50)), 1.0)  # d loss / d total
         down = pull[bag] / (1 + np.exp(-z))
-        grad = np.bincount(feature, down[sentence], minlength=n_features) / len(bags) + DECAY * w
-        grad_b = (down.sum() + (pull * plain).sum() / (1 + np.exp(-b))) / len(bags)
+        grad = np.bincount(feature, down[sentence], minlength=n_features) / len(label) + DECAY * w
+        grad_b = (down.sum() + (pull * plain).sum() / (1 + np.exp(-b))) / len(label)
         g = np.clip(np.append(grad, grad_b), -1, 1)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -125,6 +120,8 @@ def _document_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
 
 
 def _bags(index: dict[str, int]):
+    """Each document as a bag of sentences; lists of numbers travel as int32 bytes, which the driver holds as they are."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -136,8 +133,9 @@ def _bags(index: dict[str, int]):
                         found.append(here)
                     else:
                         plain += 1
-                rows.append((int(toxic), plain, found))
-            yield pd.DataFrame(rows, columns=["toxic", "plain", "sentences"])
+                sizes = np.array([len(x) for x in found], dtype=np.int32)
+                rows.append((int(toxic), plain, len(found), sizes.tobytes(), np.array([i for x in found for i in x], dtype=np.int32).tobytes()))
+            yield pd.DataFrame(rows, columns=["toxic", "plain", "sentences", "sizes", "features"])
 
     return run
 
@@ -166,21 +164,28 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
     best = counted.where(F.col("t") + F.col("c") >= LEAST_DOCS).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
     names = [r["feature"] for r in best.orderBy(F.col("gain").desc(), "feature").limit(FEATURES).collect()]
     index = {f: i for i, f in enumerate(names)}
-    bags = texts.mapInPandas(_bags(index), "toxic int, plain long, sentences array<array<int>>").collect()  # ``sample`` rows at most
-    w, b = fit([(r["toxic"], r["plain"], r["sentences"]) for r in bags], len(names))
+    packed = texts.mapInPandas(_bags(index), "toxic int, plain long, sentences long, sizes binary, features binary")
+    bags = _collected(packed)  # ``sample`` rows at most
+    flat = [np.frombuffer(b"".join(bags[c]), dtype=np.int32) for c in ("sizes", "features")]
+    w, b = fit(*[bags[c].to_numpy() for c in ("toxic", "plain", "sentences")], *flat, len(names))
     scratch.drop("texts")
     return Model({f: float(x) for f, x in zip(names, w, strict=True)}, b)
 
 
+def _collected(df: DataFrame) -> pd.DataFrame:
+    """Rows of a table of bounded size, by Arrow whatever the session's setting."""
+    return df.toArrow().to_pandas()
+
+
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score, n_sentences, offending) of every row; offending has the sentences with score >= 0.5."""
+    """(doc_id, score, n_sentences, offending) of every row; offending has the sentences with score >= OFFENDING."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for t in batch["text"]:
                 p, count, marked = model.score(t)
-                rows.append((p, count, [{"start": a, "end": b, "score": float(x)} for a, b, x in marked if x >= 0.5]))
+                rows.append((p, count, [{"start": a, "end": b, "score": x} for a, b, x in marked]))
             out = pd.DataFrame(rows, columns=["score", "n_sentences", "offending"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
