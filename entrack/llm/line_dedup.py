@@ -1,11 +1,12 @@
 """Line dedup by content-defined chunks.
 
-A text is cut into lines: at line feeds, after sentence ends, and, inside long sentences, after words that
-their own hash selects. A rolling hash over the hashes of two neighbouring lines chooses chunk borders, so
-the same passage gets the same chunks wherever it stands. Chunks of two or more lines that occur anywhere
-else are compared byte by byte with their first occurrence (the smallest document id, then the smallest
-position), grown line by line to both sides for as long as the lines agree, and every occurrence but the first
-is cut out where the grown passages add up to at least LEAST_WORDS words. Single short lines stay.
+A text is cut into lines: at line feeds, after sentence ends, and after words with an ending of ENDINGS, so
+long sentences have several lines. A rolling hash over the hashes of two neighbouring lines chooses chunk
+borders, so the same passage gets the same chunks wherever it stands. Chunks of two or more lines that occur
+anywhere else are compared byte by byte with their first occurrence (the smallest document id, then the
+smallest key and position), grown line by line to both sides for as long as the lines agree, and every
+occurrence but the first is cut out where the grown passages add up to at least LEAST_WORDS words. Single
+short lines stay.
 
 Defined cases: null and empty texts are returned as they are; ids may be null (they come first in the order);
 rows that repeat an id with the same text are one document, cut or left alike; a text that repeats a passage
@@ -16,198 +17,183 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entrack.llm.common import Scratch, table
 
 LEAST_WORDS = 32
 LEAST_LINES, MOST_LINES, AROUND = 2, 8, 8
-LONG_LINE = 10
-#: Per-document lists are broadcast up to so many rows; beyond, the join is a shuffle.
-BROADCAST_ROWS = 300_000
-_END = re.compile(r"[.!?]+(?=[\x20\x09-\x0D])|\n")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-@lru_cache(maxsize=200_000)
-def _cuts(word: str) -> bool:
-    return xxhash.xxh32_intdigest(word) % 6 == 0
-
-
-def lines_of(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, words) of every line: from its first to its last character that is no white space."""
-    out, at = [], 0
-    for m in [*_END.finditer(text), None]:
-        to = len(text) if m is None else m.end()
-        part = text[at:to]
-        n = len(part.split())
-        if n > LONG_LINE:
-            start, count, last = -1, 0, 0
-            for w in _WORD.finditer(part):
-                if start < 0:
-                    start = w.start()
-                count, last = count + 1, w.end()
-                if _cuts(w.group()):
-                    out.append((at + start, at + last, count))
-                    start, count = -1, 0
-            if count:
-                out.append((at + start, at + last, count))
-        elif n:
-            body = part.lstrip()
-            start = to - len(body)
-            out.append((start, start + len(body.rstrip()), n))
+#: Letters after which a word ends a line.
+ENDINGS = "dlrия"
+#: Per-document marks are broadcast up to so many bytes; beyond, the join is a shuffle.
+BROADCAST_BYTES = 48_000_000
+_SPACE = " \t\n\x0b\x0c\r"
+_CUT = re.compile(rf"(?:[.!?]+|[{ENDINGS}])[\x20\x09-\x0D]+|[。！？]+[\x20\x09-\x0D]*|\n[\x20\x09-\x0D]*")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_NO_ID = -(2**63)
+
+
+def lines_of(text: str) -> tuple[list[int], list[str]]:
+    """Starts and bodies of all lines; a body runs from the first to the last character that is no white space."""
+    at = len(text) - len(text.lstrip(_SPACE))
+    starts, bodies = [], []
+    for m in _CUT.finditer(text, at):
+        to = m.end()
+        starts.append(at)
+        bodies.append(text[at:to].rstrip(_SPACE))
         at = to
-    return out
+    if at < len(text):
+        starts.append(at)
+        bodies.append(text[at:].rstrip(_SPACE))
+    return starts, bodies
 
 
-def chunks_of(text: str, lines: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+def chunks_of(bodies: list[str]) -> list[tuple[int, int]]:
     """(first line, one past the last line) of every chunk."""
-    if not lines:
-        return []
-    hashes = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b, _ in lines]
+    n = len(bodies)
+    if n < 2:
+        return [(0, n)] if n else []
+    hashes = np.array(list(map(xxhash.xxh3_64_intdigest, bodies)), dtype=np.uint64)
+    border = (((hashes[:-1] * _MIX + hashes[1:]) >> np.uint64(32)) & np.uint64(1)) == 0
     out, first = [], 0
-    for i in range(1, len(lines)):
+    for i, ends in enumerate(border.tolist(), 1):
         size = i + 1 - first
-        if size >= LEAST_LINES and (((hashes[i - 1] * 0x9E3779B97F4A7C15 + hashes[i]) >> 32) % 2 == 0 or size >= MOST_LINES):
+        if size >= LEAST_LINES and (ends or size >= MOST_LINES):
             out.append((first, i + 1))
             first = i + 1
-    if first < len(lines):
-        out.append((first, len(lines)))
+    if first < n:
+        out.append((first, n))
     return out
 
 
-def _passage(text: str, lines: list[tuple[int, int, int]], lo: int, hi: int) -> list[str]:
-    return [text[a:b] for a, b, _ in lines[max(0, lo) : max(0, hi)]]
+def _hash(bodies: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest("\n".join(bodies))
 
 
 def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lo in range(0, len(batch), 1000):
             part = batch.iloc[lo : lo + 1000]
-            rows = []
-            for doc, key, text in zip(part["doc_id"], part["key"], part["text"], strict=True):
-                lines = lines_of(text)
-                for k, (a, b) in enumerate(chunks_of(text, lines)):
-                    if b - a >= LEAST_LINES:
-                        rows.append((doc, key, k, np.uint64(xxhash.xxh3_64_intdigest("\n".join(_passage(text, lines, a, b)))).view(np.int64)))
-            if rows:
-                out = pd.DataFrame(rows, columns=["doc_id", "key", "at", "h"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+            counts, places, hashes = [], [], []
+            for text in part["text"]:
+                _, bodies = lines_of(text)
+                wide = [(k, _hash(bodies[a:b])) for k, (a, b) in enumerate(chunks_of(bodies)) if b - a >= LEAST_LINES]
+                counts.append(len(wide))
+                places += [k for k, _ in wide]
+                hashes += [h for _, h in wide]
+            if hashes:
+                of = [np.repeat(part[c].to_numpy(np.int64), counts) for c in ("doc_id", "key")]
+                yield pd.DataFrame({"doc_id": of[0], "key": of[1], "at": np.array(places, np.int32), "h": np.array(hashes, np.uint64).view(np.int64)})
 
 
-_CONTEXT = "doc_id long, key long, at int, h long, first boolean, before array<string>, body array<string>, after array<string>"
+_CONTEXT = "key long, at int, h long, own boolean, before array<string>, body array<string>, after array<string>"
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each repeated chunk, with the lines around it that are not in repeated chunks themselves."""
+    columns = ["key", "at", "h", "own", "before", "body", "after"]
     for batch in batches:
         rows = []
-        for doc, key, text, marks in zip(batch["doc_id"], batch["key"], batch["text"], batch["marks"], strict=True):
-            lines = lines_of(text)
-            chunks = chunks_of(text, lines)
-            found = {m["at"] for m in marks}
-            for m in marks:
-                a, b = chunks[m["at"]]
-                before = _passage(text, lines, a - AROUND, a) if m["first"] or m["at"] - 1 not in found else []
-                after = _passage(text, lines, b, b + AROUND) if m["first"] or m["at"] + 1 not in found else []
-                rows.append((doc, key, m["at"], m["h"], m["first"], before, _passage(text, lines, a, b), after))
+        for key, text, marks in zip(batch["key"], batch["text"], batch["marks"], strict=True):
+            _, bodies = lines_of(text)
+            chunks = chunks_of(bodies)
+            found = {v >> 1: v & 1 for v in map(int, marks.split())}
+            for k, own in found.items():
+                a, b = chunks[k]
+                before = bodies[max(0, a - AROUND) : a] if own or k - 1 not in found else []
+                after = bodies[b : b + AROUND] if own or k + 1 not in found else []
+                h = np.uint64(_hash(bodies[a:b])).view(np.int64)
+                rows.append((key, k, h, bool(own), before, bodies[a:b], after))
             if len(rows) >= 2000:
-                yield _as_context(rows)
+                yield pd.DataFrame(rows, columns=columns)
                 rows = []
         if rows:
-            yield _as_context(rows)
-
-
-def _as_context(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "key", "at", "h", "first", "before", "body", "after"])
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
-
-
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts, spans = [], []
-        for text, marks in zip(batch["text"], batch["marks"], strict=True):
-            lines = lines_of(text)
-            chunks = chunks_of(text, lines)
-            own = np.zeros(len(lines) + 1, dtype=np.int64)
-            for m in marks:
-                a, b = chunks[m["at"]]
-                own[max(0, a - m["left"])] += 1
-                own[min(len(lines), b + m["right"])] -= 1
-            covered, runs, i = np.cumsum(own[:-1]) > 0, [], 0
-            while i < len(lines):
-                j = i
-                while j < len(lines) and covered[j]:
-                    j += 1
-                if j > i and sum(n for _, _, n in lines[i:j]) >= LEAST_WORDS:
-                    runs.append((lines[i][0], lines[j - 1][1]))
-                i = max(j, i + 1)
-            kept, at = [], 0
-            for a, b in runs:
-                kept.append(text[at:a])
-                at = b
-            kept.append(text[at:])
-            texts.append("".join(kept) if runs else text)
-            spans.append([{"start": a, "end": b} for a, b in runs])
-        yield pd.DataFrame({"key": batch["key"].to_numpy(), "new_text": texts, "removed": spans})
-
-
-def removals(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
-    """(key, new_text, removed) of the documents with removed passages; key is ``document_key``."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), document_key(doc_id, text).alias("key"), F.col(text).alias("text")).where(
-        F.col("text").isNotNull()
-    )
+            yield pd.DataFrame(rows, columns=columns)
+
+
+def cut_text(text: str, marks: str) -> tuple[str, list[dict[str, int]]]:
+    """The text without the grown passages of at least LEAST_WORDS words, and the spans that went."""
+    starts, bodies = lines_of(text)
+    chunks = chunks_of(bodies)
+    own = np.zeros(len(bodies) + 1, dtype=np.int64)
+    for mark in marks.split():
+        k, left, right = (*map(int, mark.split(":")), 0, 0)[:3]
+        a, b = chunks[k]
+        own[max(0, a - left)] += 1
+        own[min(len(bodies), b + right)] -= 1
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(own[:-1]) > 0).astype(np.int8), [0]])))
+    spans = [(starts[i], starts[j - 1] + len(bodies[j - 1])) for i, j in edges.reshape(-1, 2).tolist()]
+    spans = [(a, b) for a, b in spans if len(text[a:b].split()) >= LEAST_WORDS]
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(text[at:a])
+        at = b
+    return "".join([*kept, text[at:]]), [{"start": a, "end": b} for a, b in spans]
+
+
+def _cut(texts: pd.Series, marks: pd.Series) -> pd.DataFrame:
+    found = [cut_text(t, m) if isinstance(t, str) and isinstance(m, str) else (None, []) for t, m in zip(texts, marks, strict=True)]
+    return pd.DataFrame(found, columns=["text", "removed"])
+
+
+def _listed(marks: DataFrame) -> DataFrame:
+    """The table, to be broadcast where its bytes allow it."""
+    rows, signs = marks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("marks")), F.lit(0))).first()
+    return F.broadcast(marks) if 64 * rows + signs <= BROADCAST_BYTES else marks
+
+
+def grown_marks(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
+    """(key, marks) of the documents with repeated chunks to cut; a mark is chunk[:lines before:lines after]."""
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc_id"), document_key(doc_id, text).alias("key"), F.col(text).alias("text"))
+    rows = rows.where(F.col("text").isNotNull())
     chunks = scratch.save(rows.mapInPandas(_chunk_rows, "doc_id long, key long, at int, h long"), "chunks")
-    # an order in which null ids come first
-    spot = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key", "at")
-    repeated = chunks.groupBy("h").agg(F.min(spot).alias("spot"), F.max(spot).alias("last")).where("spot <> last").select("h", "spot")
-    marks = chunks.join(repeated, "h").select("key", "h", "at", ((F.col("key") == F.col("spot.key")) & (F.col("at") == F.col("spot.at"))).alias("first"))
-    marks = scratch.save(marks.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("at", "h", "first"))).alias("marks")), "marks")
-    scratch.drop("chunks")
-    listed = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
-    seen = scratch.save(rows.join(listed, "key").select("doc_id", "key", "text", "marks").mapInPandas(_contexts, _CONTEXT), "contexts")
-    model = seen.where("first").groupBy("h").agg(F.first(F.struct("before", "body", "after")).alias("m"))
-    same = seen.where("not first").join(model, "h").where(F.col("body") == F.col("m.body"))
+    repeated = chunks.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).where("n > 1").drop("n")
+    repeated = scratch.save(repeated, "repeated")
+    # written first, so that both sides are shuffled for the join alone and a hot chunk's rows can be split
+    marks = chunks.join(repeated.hint("shuffle_hash"), "h").select("key", (F.col("at") * 2 + (F.col("doc_id") == F.col("owner")).cast("int")).alias("mark"))
+    marks = scratch.save(marks.groupBy("key").agg(F.array_join(F.collect_list(F.col("mark").cast("string")), " ").alias("marks")), "marks")
+    for name in ("chunks", "repeated"):
+        scratch.drop(name)
+    seen = scratch.save(rows.select("key", "text").join(_listed(marks), "key").mapInPandas(_contexts, _CONTEXT), "contexts")
+    model = seen.where("own").groupBy("h").agg(F.min_by(F.struct("key", "at", "before", "body", "after"), F.struct("key", "at")).alias("m"))
+    model = scratch.save(model, "models")
+    same = seen.join(model, "h").where("not (key = m.key and at = m.at)").where(F.col("body") == F.col("m.body"))
     left = _agreeing(F.reverse("before"), F.reverse(F.col("m.before")))
     right = _agreeing(F.col("after"), F.col("m.after"))
-    grown = same.groupBy("key").agg(F.collect_set(F.struct("at", left.alias("left"), right.alias("right"))).alias("marks"))
-    grown = scratch.save(grown, "grown")
-    listed = F.broadcast(grown) if grown.count() <= BROADCAST_ROWS else grown
-    cut = rows.join(listed, "key").select("key", "text", "marks").mapInPandas(_cut, "key long, new_text string, removed array<struct<start:int,end:int>>")
-    cut = scratch.save(cut.where(F.size("removed") > 0), "cut")
-    for name in ("marks", "contexts", "grown"):
+    mark = F.when((left > 0) | (right > 0), F.concat_ws(":", F.col("at").cast("string"), left.cast("string"), right.cast("string"))).otherwise(F.col("at").cast("string"))
+    grown = scratch.save(same.groupBy("key").agg(F.array_join(F.collect_list(mark), " ").alias("marks")), "grown")
+    for name in ("marks", "contexts", "models"):
         scratch.drop(name)
-    return cut.dropDuplicates(["key"])
+    return grown
 
 
-def _agreeing(a, b):
+def _agreeing(a: Column, b: Column) -> Column:
     """How many leading lines of two arrays are equal."""
     pairs = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & x.isNotNull())
     first = F.array_position(pairs, F.lit(False))
     return F.when(first > 0, first - 1).otherwise(F.size(pairs)).cast("int")
 
 
-def document_key(doc_id: str, text: str):
+def document_key(doc_id: str, text: str) -> Column:
     """One key for each pair of id and text."""
     return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
 
 
 def deduplicated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs`` with the text cut, plus removed_spans (offsets in the old text, code points)."""
-    scratch = Scratch(docs.sparkSession, "line-dedup")
-    cut = removals(docs, doc_id, text, scratch).select(F.col("key").alias("_cut_key"), F.col("new_text").alias("_cut_text"), F.col("removed").alias("removed_spans"))
-    joined = docs.join(cut, document_key(doc_id, text) == F.col("_cut_key"), "left")
-    cut_text = F.when(F.col("_cut_key").isNotNull(), F.col("_cut_text")).otherwise(docs[text])
-    others = [docs[c] if c != text else cut_text.alias(text) for c in docs.columns]
-    return joined.select(*others, F.coalesce("removed_spans", F.array().cast("array<struct<start:int,end:int>>")).alias("removed_spans"))
+    marks = grown_marks(docs, doc_id, text, Scratch(docs.sparkSession, "line-dedup"))
+    marks = _listed(marks).select(F.col("key").alias("_cut_key"), F.col("marks").alias("_cut_marks"))
+    joined = docs.join(marks, document_key(doc_id, text) == F.col("_cut_key"), "left")
+    # texts without marks stay in the JVM
+    cut = F.pandas_udf(_cut, "struct<text:string,removed:array<struct<start:int,end:int>>>")
+    joined = joined.withColumn("_cut", cut(F.when(F.col("_cut_marks").isNotNull(), docs[text]), F.col("_cut_marks")))
+    others = [docs[c] if c != text else F.coalesce("_cut.text", docs[text]).alias(text) for c in docs.columns]
+    return joined.select(*others, F.coalesce("_cut.removed", F.array().cast("array<struct<start:int,end:int>>")).alias("removed_spans"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
