@@ -91,11 +91,14 @@ def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"doc_id": of[0], "key": of[1], "at": np.array(places, np.int32), "h": np.array(hashes, np.uint64).view(np.int64)})
 
 
-_CONTEXT = "key long, at int, h long, own boolean, before array<string>, body array<string>, after array<string>"
+_CONTEXT = "key long, at int, h long, own boolean, before string, body string, after string"
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each repeated chunk, with the lines around it that are not in repeated chunks themselves."""
+    """A row for each repeated chunk, with the lines around it that are not in repeated chunks themselves.
+
+    Lines, which hold no line feeds, are joined by them; those before the chunk from the nearest on.
+    """
     columns = ["key", "at", "h", "own", "before", "body", "after"]
     for batch in batches:
         rows = []
@@ -105,10 +108,11 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = {v >> 1: v & 1 for v in map(int, marks.split())}
             for k, own in found.items():
                 a, b = chunks[k]
-                before = bodies[max(0, a - AROUND) : a] if own or k - 1 not in found else []
-                after = bodies[b : b + AROUND] if own or k + 1 not in found else []
-                h = np.uint64(_hash(bodies[a:b])).view(np.int64)
-                rows.append((key, k, h, bool(own), before, bodies[a:b], after))
+                before = "\n".join(bodies[max(0, a - AROUND) : a][::-1]) if own or k - 1 not in found else ""
+                after = "\n".join(bodies[b : b + AROUND]) if own or k + 1 not in found else ""
+                body = "\n".join(bodies[a:b])
+                h = xxhash.xxh3_64_intdigest(body)
+                rows.append((key, k, h - (h >> 63 << 64), bool(own), before, body, after))
             if len(rows) >= 2000:
                 yield pd.DataFrame(rows, columns=columns)
                 rows = []
@@ -163,7 +167,7 @@ def grown_marks(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> Da
     model = seen.where("own").groupBy("h").agg(F.min_by(F.struct("key", "at", "before", "body", "after"), F.struct("key", "at")).alias("m"))
     model = scratch.save(model, "models")
     same = seen.join(model, "h").where("not (key = m.key and at = m.at)").where(F.col("body") == F.col("m.body"))
-    left = _agreeing(F.reverse("before"), F.reverse(F.col("m.before")))
+    left = _agreeing(F.col("before"), F.col("m.before"))
     right = _agreeing(F.col("after"), F.col("m.after"))
     mark = F.when((left > 0) | (right > 0), F.concat_ws(":", F.col("at").cast("string"), left.cast("string"), right.cast("string"))).otherwise(F.col("at").cast("string"))
     grown = scratch.save(same.groupBy("key").agg(F.array_join(F.collect_list(mark), " ").alias("marks")), "grown")
@@ -173,10 +177,11 @@ def grown_marks(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> Da
 
 
 def _agreeing(a: Column, b: Column) -> Column:
-    """How many leading lines of two arrays are equal."""
-    pairs = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & x.isNotNull())
+    """How many leading lines of two joined lists are equal."""
+    pairs = F.zip_with(F.split(a, "\n"), F.split(b, "\n"), lambda x, y: x.eqNullSafe(y) & x.isNotNull())
     first = F.array_position(pairs, F.lit(False))
-    return F.when(first > 0, first - 1).otherwise(F.size(pairs)).cast("int")
+    agreeing = F.when(first > 0, first - 1).otherwise(F.size(pairs)).cast("int")
+    return F.when((a == "") | (b == ""), 0).otherwise(agreeing)
 
 
 def document_key(doc_id: str, text: str) -> Column:
