@@ -1,12 +1,15 @@
 """Line dedup by content-defined chunks.
 
-A text is cut into lines: at line feeds, after sentence ends, and after words with an ending of ENDINGS, so
-long sentences have several lines. A rolling hash over the hashes of two neighbouring lines chooses chunk
-borders, so the same passage gets the same chunks wherever it stands. Chunks of two or more lines that occur
-anywhere else are compared byte by byte with their first occurrence (the smallest document id, then the
-smallest key and position), grown line by line to both sides for as long as the lines agree, and every
-occurrence but the first is cut out where the grown passages add up to at least LEAST_WORDS words. Single
-short lines stay.
+A text is cut into its words, which are the shortest lines; full stops of scripts without spaces end one too.
+A rolling hash over SPAN words chooses chunk borders: in any WINDOW neighbouring places the least hash is one,
+so borders depend on no language, no place in the text, and no words further off than a window. Chunks are
+thus at most SPAN words long, and a passage of SPAN + WINDOW - 1 = 31 words holds at least one border with its
+SPAN words, wherever it stands. The SPAN words from each border on that occur anywhere else are compared byte
+by byte with their first occurrence (the smallest document id, then the smallest key and position), grown word
+by word to both sides for as long as the words agree, and every occurrence but the first is cut out where the
+grown passages add up to at least LEAST_WORDS words. Shorter passages stay. White space between words is not
+compared. Words are grown along the first occurrence of their chunk only, so up to WINDOW - 1 words at the ends
+of a passage stay where that occurrence goes on differently.
 
 Defined cases: null and empty texts are returned as they are; ids may be null (they come first in the order);
 rows that repeat an id with the same text are one document, cut or left alike; a text that repeats a passage
@@ -27,52 +30,69 @@ from pyspark.sql import functions as F
 from entrack.llm.common import Scratch, table
 
 LEAST_WORDS = 32
-LEAST_LINES, MOST_LINES, AROUND = 2, 8, 8
-#: Letters after which a word ends a line.
-ENDINGS = "dlrия"
+SPAN, WINDOW = 16, 16
+AROUND = WINDOW - 1
 #: Per-document marks are broadcast up to so many bytes; beyond, the join is a shuffle.
 BROADCAST_BYTES = 48_000_000
-_SPACE = " \t\n\x0b\x0c\r"
-_CUT = re.compile(rf"(?:[.!?]+|[{ENDINGS}])[\x20\x09-\x0D]+|[。！？]+[\x20\x09-\x0D]*|\n[\x20\x09-\x0D]*")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_STOPS = "。！？"
+_WORD = re.compile(rf"[^\x20\x09-\x0D{_STOPS}]*[{_STOPS}]+|[^\x20\x09-\x0D{_STOPS}]+")
+_STEPS = (1, 2, 4, 8)  # SPAN and WINDOW by doubling
+_POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, step, 2**64)) for step in _STEPS]
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 _NO_ID = -(2**63)
 
 
 def lines_of(text: str) -> tuple[list[int], list[str]]:
-    """Starts and bodies of all lines; a body runs from the first to the last character that is no white space."""
-    at = len(text) - len(text.lstrip(_SPACE))
-    starts, bodies = [], []
-    for m in _CUT.finditer(text, at):
-        to = m.end()
-        starts.append(at)
-        bodies.append(text[at:to].rstrip(_SPACE))
-        at = to
-    if at < len(text):
-        starts.append(at)
-        bodies.append(text[at:].rstrip(_SPACE))
-    return starts, bodies
-
-
-def chunks_of(bodies: list[str]) -> list[tuple[int, int]]:
-    """(first line, one past the last line) of every chunk."""
-    n = len(bodies)
-    if n < 2:
-        return [(0, n)] if n else []
-    hashes = np.array(list(map(xxhash.xxh3_64_intdigest, bodies)), dtype=np.uint64)
-    border = (((hashes[:-1] * _MIX + hashes[1:]) >> np.uint64(32)) & np.uint64(1)) == 0
-    out, first = [], 0
-    for i, ends in enumerate(border.tolist(), 1):
-        size = i + 1 - first
-        if size >= LEAST_LINES and (ends or size >= MOST_LINES):
-            out.append((first, i + 1))
-            first = i + 1
-    if first < n:
-        out.append((first, n))
+    """Starts and bodies of all words."""
+    found = list(_WORD.finditer(text))
+    return [m.start() for m in found], [m.group() for m in found]
+
+
+def words_of(text: str) -> list[bytes]:
+    """The bodies of ``lines_of``, encoded."""
+    if any(c in text for c in _STOPS):
+        return [w.encode() for w in _WORD.findall(text)]
+    return text.encode().split()
+
+
+def borders_of(words: list[str] | list[bytes]) -> list[int]:
+    """Places of the words that begin a chunk; none in a text that holds no whole window."""
+    n = len(words)
+    if n < SPAN + WINDOW - 1:
+        return []
+    rolled = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=n)
+    for step, power in zip(_STEPS, _POWERS, strict=True):
+        rolled = rolled[:-step] * power + rolled[step:]
+    rolled = (rolled ^ (rolled >> np.uint64(32))) * _MIX
+    least = rolled
+    for step in _STEPS:
+        least = np.minimum(least[:-step], least[step:])
+    # a border is the least of some window: the greatest of the windows' least hashes around it is its own
+    most = np.zeros(len(least) + 2 * (WINDOW - 1), dtype=np.uint64)
+    most[WINDOW - 1 : 1 - WINDOW] = least
+    for step in _STEPS:
+        most = np.maximum(most[:-step], most[step:])
+    places = np.flatnonzero(most == rolled)
+    tied = rolled[places[1:]] == rolled[places[:-1]]
+    if not tied.any():
+        return places.tolist()
+    # of equal neighbours as few as leave one in each window
+    out, found = [], places.tolist()
+    for i, (at, like_before) in enumerate(zip(found, [False, *tied.tolist()], strict=True)):
+        if like_before and i < len(tied) and tied[i] and found[i + 1] - out[-1] <= WINDOW:
+            continue
+        out.append(at)
     return out
 
 
-def _hash(bodies: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest("\n".join(bodies))
+def chunks_of(bodies: list[str] | list[bytes]) -> list[tuple[int, int]]:
+    """(first word, one past the last word) of every chunk, the ends of the text included."""
+    edges = sorted({0, *borders_of(bodies), len(bodies)})
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def _hash(body: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(body)
 
 
 def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,11 +101,11 @@ def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = batch.iloc[lo : lo + 1000]
             counts, places, hashes = [], [], []
             for text in part["text"]:
-                _, bodies = lines_of(text)
-                wide = [(k, _hash(bodies[a:b])) for k, (a, b) in enumerate(chunks_of(bodies)) if b - a >= LEAST_LINES]
-                counts.append(len(wide))
-                places += [k for k, _ in wide]
-                hashes += [h for _, h in wide]
+                words = words_of(text)
+                own = borders_of(words)
+                counts.append(len(own))
+                places += own
+                hashes += [_hash(b" ".join(words[a : a + SPAN])) for a in own]
             if hashes:
                 of = [np.repeat(part[c].to_numpy(np.int64), counts) for c in ("doc_id", "key")]
                 yield pd.DataFrame({"doc_id": of[0], "key": of[1], "at": np.array(places, np.int32), "h": np.array(hashes, np.uint64).view(np.int64)})
@@ -95,24 +115,27 @@ _CONTEXT = "key long, at int, h long, own boolean, before string, body string, a
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each repeated chunk, with the lines around it that are not in repeated chunks themselves.
+    """A row for each repeated chunk, with the words around it that are not in repeated chunks themselves.
 
-    Lines, which hold no line feeds, are joined by them; those before the chunk from the nearest on.
+    Words are joined by spaces, which they do not hold; those before the chunk from the nearest on.
     """
     columns = ["key", "at", "h", "own", "before", "body", "after"]
     for batch in batches:
         rows = []
         for key, text, marks in zip(batch["key"], batch["text"], batch["marks"], strict=True):
-            _, bodies = lines_of(text)
-            chunks = chunks_of(bodies)
-            found = {v >> 1: v & 1 for v in map(int, marks.split())}
-            for k, own in found.items():
-                a, b = chunks[k]
-                before = "\n".join(bodies[max(0, a - AROUND) : a][::-1]) if own or k - 1 not in found else ""
-                after = "\n".join(bodies[b : b + AROUND]) if own or k + 1 not in found else ""
-                body = "\n".join(bodies[a:b])
-                h = xxhash.xxh3_64_intdigest(body)
-                rows.append((key, k, h - (h >> 63 << 64), bool(own), before, body, after))
+            words = words_of(text)
+            found = sorted({v >> 1: v & 1 for v in map(int, marks.split())}.items())
+            reached = -1  # where the last chunk that an earlier document holds ends
+            for i, (a, own) in enumerate(found):
+                b = a + SPAN
+                beyond = found[i + 1] if i + 1 < len(found) else (b + 1, 0)
+                before = b" ".join(words[max(0, a - AROUND) : a][::-1]) if own or reached < a else b""
+                after = b" ".join(words[b : b + AROUND]) if own or beyond[1] or beyond[0] > b else b""
+                body = b" ".join(words[a:b])
+                h = _hash(body)
+                rows.append((key, a, h - (h >> 63 << 64), bool(own), before.decode(), body.decode(), after.decode()))
+                if not own:
+                    reached = b
             if len(rows) >= 2000:
                 yield pd.DataFrame(rows, columns=columns)
                 rows = []
@@ -122,16 +145,14 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def cut_text(text: str, marks: str) -> tuple[str, list[dict[str, int]]]:
     """The text without the grown passages of at least LEAST_WORDS words, and the spans that went."""
-    starts, bodies = lines_of(text)
-    chunks = chunks_of(bodies)
-    own = np.zeros(len(bodies) + 1, dtype=np.int64)
+    words = [m.span() for m in _WORD.finditer(text)]
+    own = np.zeros(len(words) + 1, dtype=np.int64)
     for mark in marks.split():
-        k, left, right = (*map(int, mark.split(":")), 0, 0)[:3]
-        a, b = chunks[k]
-        own[max(0, a - left)] += 1
-        own[min(len(bodies), b + right)] -= 1
+        at, left, right = (*map(int, mark.split(":")), 0, 0)[:3]
+        own[max(0, at - left)] += 1
+        own[min(len(words), at + SPAN + right)] -= 1
     edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(own[:-1]) > 0).astype(np.int8), [0]])))
-    spans = [(starts[i], starts[j - 1] + len(bodies[j - 1])) for i, j in edges.reshape(-1, 2).tolist()]
+    spans = [(words[i][0], words[j - 1][1]) for i, j in edges.reshape(-1, 2).tolist()]
     spans = [(a, b) for a, b in spans if len(text[a:b].split()) >= LEAST_WORDS]
     kept, at = [], 0
     for a, b in spans:
@@ -152,7 +173,7 @@ def _listed(marks: DataFrame) -> DataFrame:
 
 
 def grown_marks(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
-    """(key, marks) of the documents with repeated chunks to cut; a mark is chunk[:lines before:lines after]."""
+    """(key, marks) of the documents with repeated chunks to cut; a mark is place[:words before:words after]."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc_id"), document_key(doc_id, text).alias("key"), F.col(text).alias("text"))
     rows = rows.where(F.col("text").isNotNull())
     chunks = scratch.save(rows.mapInPandas(_chunk_rows, "doc_id long, key long, at int, h long"), "chunks")
@@ -178,7 +199,7 @@ def grown_marks(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> Da
 
 def _agreeing(a: Column, b: Column) -> Column:
     """How many leading lines of two joined lists are equal."""
-    pairs = F.zip_with(F.split(a, "\n"), F.split(b, "\n"), lambda x, y: x.eqNullSafe(y) & x.isNotNull())
+    pairs = F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: x.eqNullSafe(y) & x.isNotNull())
     first = F.array_position(pairs, F.lit(False))
     agreeing = F.when(first > 0, first - 1).otherwise(F.size(pairs)).cast("int")
     return F.when((a == "") | (b == ""), 0).otherwise(agreeing)

@@ -137,3 +137,37 @@ def test_vectors_that_cannot_take_part(spark):
     rows = [(0, [1.0, 0.0]), (50, None), (100, [0.5, None]), (1, [1.0, float("nan")]), (2, [0.5, 0.5]), (3, [0.5, 0.5]), (2, [0.5, 0.5])]
     found = topk_search.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 50 == 0).collect()
     assert sorted(tuple(r) for r in found) == [(0, 1, 2, 32768), (0, 2, 3, 32768)]
+
+
+TONGUES = {
+    "en": "about above across after again along among around before behind below between beyond during ever every first follow ground house island journey kitchen large market never often paper quiet river simple table under valley water yellow".split(),
+    "fr": "avant après beaucoup chemin depuis encore fenêtre garçon heure image jamais livre maison nuage ombre parler quelque rouge souvent toujours usine vieux village chaque premier lumière montagne nouveau petit porte sœur temps arbre".split(),
+    "de": "aber brücke dorf einmal feuer garten haus immer jahr kirche leben morgen nacht ofen platz quelle regen straße tür über vogel wald zeit zwischen anfang bruder schnell größe himmel mühle fenster abend straßen".split(),
+    "es": "ahora bosque camino después entonces fuego grande hermano isla jardín luego mañana noche otoño pueblo quizás río siempre tarde último viento zapato árbol cuando donde mientras nunca piedra puerta sombra tierra verano cielo".split(),
+    "ru": "вода город дорога зима книга лето мост небо окно поле река сад трава утро хлеб цветок школа яблоко берег ветер гора день звезда камень лес море ночь осень письмо работа снег туча улица".split(),
+}
+
+
+@pytest.mark.parametrize("tongue", TONGUES)
+def test_every_repeated_passage_of_over_fifty_words_is_cut(spark, tongue):
+    import random
+
+    draw, words = random.Random(tongue), TONGUES[tongue]
+    rows, passages = [], {}
+    for k in range(60):
+        # one sentence, once alone in its paragraph and once amid a line
+        passages[k] = " ".join(draw.choice(words) for _ in range(51 + k % 10))
+        sides = [" ".join(draw.choice(words) for _ in range(80)) for _ in range(4)]
+        rows += [(k, f"{sides[0]}.\n{passages[k]}\n{sides[1]}."), (100 + k, f"{sides[2]} {passages[k]} {sides[3]}")]
+    found = {r.doc_id: r.text for r in line_dedup.deduplicated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert [k for k in passages if found[k] != texts[k]] == []
+    assert [k for k, p in passages.items() if len(found[100 + k]) > len(texts[100 + k]) - len(p)] == []
+
+
+def test_borders_leave_no_window_empty():
+    for text in (prose(7, 900), "word " * 500, "one two three four five " * 90, PASSAGE):
+        borders = line_dedup.borders_of(line_dedup.words_of(text))
+        assert borders[0] < line_dedup.WINDOW and max(b - a for a, b in zip(borders, borders[1:], strict=False)) <= line_dedup.WINDOW
+        assert len(text.split()) - borders[-1] < line_dedup.SPAN + line_dedup.WINDOW
+    assert len(line_dedup.borders_of(line_dedup.words_of("word " * 500))) < 50
