@@ -171,3 +171,22 @@ def test_borders_leave_no_window_empty():
         assert borders[0] < line_dedup.WINDOW and max(b - a for a, b in zip(borders, borders[1:], strict=False)) <= line_dedup.WINDOW
         assert len(text.split()) - borders[-1] < line_dedup.SPAN + line_dedup.WINDOW
     assert len(line_dedup.borders_of(line_dedup.words_of("word " * 500))) < 50
+
+
+def test_a_random_secret_of_every_encoding_is_found(spark):
+    import random
+
+    draw, rows, wanted = random.Random(7), [], {}
+    for name, _, alphabet in secrets_scan.ENCODINGS:
+        for n in {"decimal": (22,), "hex": (22,), "lower": (64,), "upper": (64,)}.get(name, (32, 64)):  # longer digits and hex are base spans
+            secret = "".join(draw.choice(alphabet) for _ in range(n))
+            wanted[len(rows)] = (name, n)
+            rows.append((len(rows), f"The value is {secret} here"))
+    first = len(rows)
+    words = [w for tongue in TONGUES.values() for w in tongue if w.isascii()]
+    for k in range(300):
+        joined = draw.choice(["-", "_", "/", ""]).join(draw.choice(words) for _ in range(6))
+        rows.append((len(rows), f"see {joined.upper() if k % 3 == 0 else joined} there"))
+    found = {r.doc_id: r.random for r in secrets_scan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [wanted[k] for k in wanted if len(found[k]) != 1] == []
+    assert sum(bool(found[k]) for k in found if k >= first) <= 3
