@@ -2,9 +2,10 @@
 
 Names, numbers and units become typed placeholders, so a question whose parameters were changed keeps its
 template. Windows of WINDOW template tokens are hashed on both sides and joined; a document is matched to an
-item when the windows cover at least ``share`` of the item's tokens and the slots agree: along the best
-alignment every slot value of the item must stand for one value in the document and the other way round.
-Equal values are a copy, other consistent values a re-parameterised one.
+item when the windows cover at least ``share`` of the item's tokens and the slots agree along the best alignment
+or along any other that covers the share alone: a document's slot value must stand for one value of the item, and
+a name of the item for one name in the document. A number or unit that the item holds twice by chance may stand
+for several; such coincidences are counted. Equal values are a copy, other consistent values a re-parameterised one.
 
 Defined cases: null and empty texts match nothing on either side; an item of fewer than WINDOW tokens is one
 window of its own length; windows with fewer than PLAIN ordinary tokens say nothing and are not used, so an
@@ -77,15 +78,24 @@ def _windows(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
     return rows.select(*keys, F.posexplode(hashes).alias("pos", "h"))
 
 
-def _slots(tokens: Column, values: Column, at: Column) -> Column:
-    """The value behind the token at a position, null for an ordinary token."""
-    token = F.get(tokens, at)
-    nth = F.size(F.filter(F.slice(tokens, 1, at), lambda x: x == token))
-    return (
-        F.when(token == _NUM, F.get(values["numbers"], nth))
-        .when(token == _UNIT, F.get(values["units"], nth))
-        .when(token == _NAM, F.lower(F.get(values["names"], nth)))
-    )
+def _slots(tokens: Column, values: Column) -> Column:
+    """Map from the places of placeholders to the values behind them."""
+    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def of(sign: str, own: Column) -> Column:
+        return F.transform(F.filter(places, lambda i: F.get(tokens, i) == sign), lambda i, nth: F.struct(i.alias("at"), F.get(own, nth).alias("value")))
+
+    names = F.transform(values["names"], F.lower)
+    return F.map_from_entries(F.concat(of(_NUM, values["numbers"]), of(_UNIT, values["units"]), of(_NAM, names)))
+
+
+def _covered(at: Column, width: Column) -> Column:
+    """How many tokens the windows at sorted places cover."""
+    return F.aggregate(
+        at,
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+        lambda s, p: F.struct((s["n"] + p + width - F.greatest(s["end"], p)).alias("n"), (p + width).alias("end")),
+    )["n"]
 
 
 def leaked(
@@ -97,7 +107,7 @@ def leaked(
     item_text: str = "text",
     share: float = SHARE,
 ) -> DataFrame:
-    """(doc_id, text_key, item_id, matched_tokens, item_tokens, slots, reparameterised) of every match."""
+    """(doc_id, text_key, item_id, matched_tokens, item_tokens, slots, reparameterised, coincidences) of every match."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
     bench = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("item_text")).distinct()
@@ -121,33 +131,28 @@ def leaked(
         found = _windows(templates, ["doc_id", "text_key"], width).join(marks, "h").withColumn("width", F.lit(width))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        return spark.createDataFrame([], "doc_id long, text_key long, item_id long, matched_tokens long, item_tokens long, slots long, reparameterised boolean")
+        return spark.createDataFrame([], "doc_id long, text_key long, item_id long, matched_tokens long, item_tokens long, slots long, reparameterised boolean, coincidences long")
     pair = ["doc_id", "text_key", "item_id", "item_key", "item_tokens"]
     hits = scratch.save(hits.select(*pair, "item_pos", "width", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "hits")
 
     # positions of one item: no more than it has tokens
     spots = hits.groupBy(*pair).agg(F.array_sort(F.collect_set("item_pos")).alias("at"), F.first("width").alias("width"))
-    covered = F.aggregate(
-        F.col("at"),
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
-        lambda s, p: F.struct(
-            (s["n"] + p + F.col("width") - F.greatest(s["end"], p)).alias("n"), (p + F.col("width")).alias("end")
-        ),
-    )["n"]
-    spots = spots.select(*pair, covered.alias("matched_tokens")).where(F.col("matched_tokens") >= share * F.col("item_tokens"))
-    best = hits.groupBy(*pair, "shift").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("item_pos")).alias("at"), F.first("width").alias("width"))
-    best = best.groupBy(*pair).agg(F.max_by(F.struct("shift", "at", "width"), F.struct("n", -F.col("shift"))).alias("b"))
-    matches = scratch.save(_null_safe(spots, best, pair), "matches")
+    spots = spots.select(*pair, _covered(F.col("at"), F.col("width")).alias("matched_tokens")).where(F.col("matched_tokens") >= share * F.col("item_tokens"))
+    lines = hits.groupBy(*pair, "shift").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("item_pos")).alias("at"), F.first("width").alias("width"))
+    line, wide = F.struct("shift", "n", "at", "width"), _covered(F.col("at"), F.col("width")) >= share * F.col("item_tokens")
+    lines = lines.groupBy(*pair).agg(F.collect_list(F.when(wide, line)).alias("wide"), F.max_by(line, F.struct("n", -F.col("shift"))).alias("best"))
+    lines = lines.select(*pair, F.array_distinct(F.concat(F.col("wide"), F.array("best"))).alias("b"))
+    matches = scratch.save(_null_safe(spots, lines, pair), "matches")
 
     slotted = bench.where(F.exists("w", lambda x: x.isin(_NUM, _UNIT, _NAM))).select(
-        F.col("item_key").alias("key"), F.col("item_id").alias("of_item"), F.col("w").alias("iw"), F.col("v").alias("iv")
+        F.col("item_key").alias("key"), F.col("item_id").alias("of_item"), F.col("w").alias("iw"), _slots(F.col("w"), F.col("v")).alias("iv")
     )
     if slotted.isEmpty():
-        checked = matches.withColumn("slots", F.lit(0)).withColumn("reparameterised", F.lit(False)).withColumn("consistent", F.lit(True))
+        checked = matches.withColumn("slots", F.lit(0)).withColumn("reparameterised", F.lit(False)).withColumn("coincidences", F.lit(0)).withColumn("consistent", F.lit(True))
     else:
         checked = _with_slots(matches, slotted, rows, scratch)
     return checked.where("consistent").select(
-        "doc_id", "text_key", "item_id", F.col("matched_tokens").cast("long"), F.col("item_tokens").cast("long"), F.col("slots").cast("long"), "reparameterised"
+        "doc_id", "text_key", "item_id", F.col("matched_tokens").cast("long"), F.col("item_tokens").cast("long"), F.col("slots").cast("long"), "reparameterised", F.col("coincidences").cast("long")
     )
 
 
@@ -161,33 +166,45 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _with_slots(matches: DataFrame, slotted: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Adds slots, consistent and reparameterised by comparing slot values along the best alignment."""
+    """Adds slots, consistent, reparameterised and coincidences of the alignment whose slot values agree best."""
     both = matches.join(slotted, F.col("item_key").eqNullSafe(F.col("key")) & F.col("item_id").eqNullSafe(F.col("of_item")), "left").drop("key", "of_item")
     both = scratch.save(both, "slotted")
     wanted = both.where("iw is not null").select("text_key").distinct()
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = rows.join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-    texts = texts.select("text_key", template(F.col("text")).alias("dw"), slot_values(F.col("text")).alias("dv"))
+    texts = texts.select("text_key", template(F.col("text")).alias("dw"), slot_values(F.col("text")).alias("v"))
+    texts = texts.select("text_key", _slots(F.col("dw"), F.col("v")).alias("dv"))
     joined = both.join(texts, "text_key", "left")
-    spots = F.array_distinct(F.flatten(F.transform(F.col("b.at"), lambda p: F.sequence(p, p + F.col("b.width") - 1))))
-    spots = F.filter(spots, lambda p: F.get(F.col("iw"), p).isin(_NUM, _UNIT, _NAM))
-    pairs = F.when(
-        F.col("iw").isNotNull(),
-        F.transform(
-            spots,
-            lambda p: F.struct(_slots(F.col("iw"), F.col("iv"), p).alias("i"), _slots(F.col("dw"), F.col("dv"), p + F.col("b.shift")).alias("d")),
-        ),
-    ).otherwise(F.array().cast("array<struct<i:string,d:string>>"))
-    joined = joined.withColumn("p", pairs)
-    kinds = F.size(F.array_distinct("p"))
-    return (
-        joined.withColumn("slots", F.size("p"))
-        .withColumn(
-            "consistent",
-            (F.size(F.array_distinct(F.transform("p", lambda x: x["i"]))) == kinds) & (F.size(F.array_distinct(F.transform("p", lambda x: x["d"]))) == kinds),
+
+    def pairs(b: Column) -> Column:
+        spots = F.array_distinct(F.flatten(F.transform(b["at"], lambda p: F.sequence(p, p + b["width"] - 1))))
+        spots = F.filter(spots, lambda p: F.get(F.col("iw"), p).isin(_NUM, _UNIT, _NAM))
+        return F.transform(spots, lambda p: F.struct(F.get(F.col("iw"), p).alias("k"), F.col("iv")[p].alias("i"), F.col("dv")[p + b["shift"]].alias("d")))
+
+    none = F.array().cast("array<struct<k:string,i:string,d:string>>")
+    paired = F.transform("b", lambda b: F.struct(b["shift"].alias("shift"), b["n"].alias("n"), F.when(F.col("iw").isNotNull(), pairs(b)).otherwise(none).alias("p")))
+
+    def judged(x: Column) -> Column:
+        kinds = F.array_distinct(x["p"])
+        names = F.filter(kinds, lambda y: y["k"] == _NAM)
+        apart = F.size(F.array_distinct(F.transform(kinds, lambda y: F.struct(y["k"], y["i"]))))
+        one_each = F.size(F.array_distinct(F.transform(kinds, lambda y: F.struct(y["k"], y["d"])))) == F.size(kinds)
+        named = F.size(F.array_distinct(F.transform(names, lambda y: y["i"]))) == F.size(names)
+        return F.struct(
+            F.exists(kinds, lambda y: ~y["i"].eqNullSafe(y["d"])).alias("reparameterised"),
+            (F.size(kinds) - apart).alias("coincidences"),
+            (-x["n"]).alias("order"),
+            x["shift"].alias("shift"),
+            F.size(x["p"]).alias("slots"),
+            (one_each & named).alias("consistent"),
         )
-        .withColumn("reparameterised", F.exists("p", lambda x: ~x["i"].eqNullSafe(x["d"])))
+
+    joined = joined.withColumn("paired", paired)
+    agreeing = F.array_min(F.filter(F.transform("paired", judged), lambda x: x["consistent"]))
+    joined = joined.withColumn("found", agreeing)
+    return joined.select(
+        *both.columns, "found.slots", "found.reparameterised", "found.coincidences", F.col("found").isNotNull().alias("consistent")
     )
 
 

@@ -190,3 +190,14 @@ def test_a_random_secret_of_every_encoding_is_found(spark):
     found = {r.doc_id: r.random for r in secrets_scan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [wanted[k] for k in wanted if len(found[k]) != 1] == []
     assert sum(bool(found[k]) for k in found if k >= first) <= 3
+
+
+def test_later_and_coinciding_forms_of_an_item_are_found(spark):
+    form = "If the farmer picks {} apples on each market day and works for {} days near the old river, how many apples does the farmer pick?"
+    items = spark.createDataFrame([(1, form.format(2, 7)), (2, form.replace("farmer", "baker").format(2, 2))], "item_id long, text string")
+    wrong, copy, changed = form.format(4, 4), form.format(2, 7), form.format(3, 5)
+    rows = [(1, f"{wrong} {prose(1)} {copy}"), (2, f"{wrong} {prose(2)} {changed}"), (3, f"{prose(3)} {changed.replace('farmer', 'baker')}"), (4, wrong)]
+    found = {(r.doc_id, r.item_id): r for r in decontamination.leaked(spark.createDataFrame(rows, "doc_id long, text string"), items, share=0.9).collect()}
+    assert set(found) == {(1, 1), (2, 1), (3, 2)}
+    assert [found[k].reparameterised for k in sorted(found)] == [False, True, True]
+    assert [found[k].coincidences for k in sorted(found)] == [0, 0, 1]
