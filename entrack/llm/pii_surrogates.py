@@ -47,13 +47,18 @@ GIVEN = {
 _GENDER = {w: g for g, names in GIVEN.items() for w in names}
 _TITLE = {w: g for g, names in TITLES.items() for w in names}
 _NAME = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[А-ЯЁ][а-яё]+)"
+#: Telephone numbers in groups of any length: 8 to 15 digits after a plus, or 9 to 12 with a national 0, no dates.
+_ABROAD = r"(?<![\w+])\+\d(?:(?:[ ./-]|[ ]?\(|\)[ ]?)?\d){7,14}(?!\w)"
+_NATIONAL = r"(?<![\w+.,/:-])(?<!\d )(?!\d{1,2}[./-]\d{1,2}[./-]\d{4}(?!\d))(?:" + "|".join(
+    rf"(?:\(0[1-9]\d{{{k}}}\)[ ]?|0[1-9]\d{{{k}}}[ ./-])\d(?:[ .-]?\d){{{6 - k},{9 - k}}}(?!\w|[ .-]\d)" for k in range(4)
+) + ")"
 _PATTERNS = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w.])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4})(?!\w|\.\d)"),
-    ("phone", r"(?<![\w+])(?<!\d[ .-])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{4}(?!\w|[ -]\d)|(?<!\w)\+\d{8,15}(?!\w)"),
+    ("phone", r"(?<![\w+])(?<!\d[ .-])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{4}(?!\w|[ -]\d)|(?<!\w)\+\d{8,15}(?!\w)" + f"|{_ABROAD}|{_NATIONAL}"),
     ("titled", rf"(?<!\w)(?P<title>{'|'.join(_TITLE)})\.?[ ](?P<first>{_NAME})(?:[ ](?P<last>{_NAME}))?"),
     ("named", rf"(?<!\w)(?P<given>{'|'.join(_GENDER)})[ ](?P<family>{_NAME})"),
 )

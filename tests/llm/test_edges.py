@@ -201,3 +201,14 @@ def test_later_and_coinciding_forms_of_an_item_are_found(spark):
     assert set(found) == {(1, 1), (2, 1), (3, 2)}
     assert [found[k].reparameterised for k in sorted(found)] == [False, True, True]
     assert [found[k].coincidences for k in sorted(found)] == [0, 0, 1]
+
+
+@pytest.mark.parametrize("number", ["+49 30 1234567", "+33 1 23 45 67 89", "+34 612 345 678", "06 12 34 56 78", "06.12.34.56.78", "030/1234567", "(030) 1234567", "0176 12345678", "+49 (0)30 1234567"])
+def test_telephone_numbers_of_other_countries_are_replaced(number):
+    text = f"Tel. {number}, bitte."
+    assert [(text[a:b], kind) for a, b, kind, _ in pii_surrogates.mentions(text)] == [(number, "phone")]
+
+
+@pytest.mark.parametrize("other", ["01.02.2024 10:30", "2024-01-02 03:04:05", "0.123456789", "01 02 03 04 05 06 07 08", "10.0.0.256"])
+def test_dates_and_figures_are_no_telephone_numbers(other):
+    assert not [m for m in pii_surrogates.mentions(f"am {other} hier") if m[2] == "phone"]
