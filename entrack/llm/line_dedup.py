@@ -1,19 +1,24 @@
-"""Line dedup by content-defined chunks.
-
-A text is cut into its words, which are the shortest lines; full stops of scripts without spaces end one too.
-A rolling hash over SPAN words chooses chunk borders: in any WINDOW neighbouring places the least hash is one,
-so borders depend on no language, no place in the text, and no words further off than a window. Chunks are
-thus at most SPAN words long, and a passage of SPAN + WINDOW - 1 = 31 words holds at least one border with its
-SPAN words, wherever it stands. The SPAN words from each border on that occur anywhere else are compared byte
-by byte with their first occurrence (the smallest document id, then the smallest key and position), grown word
-by word to both sides for as long as the words agree, and every occurrence but the first is cut out where the
-grown passages add up to at least LEAST_WORDS words. Shorter passages stay. White space between words is not
-compared. Words are grown along the first occurrence of their chunk only, so up to WINDOW - 1 words at the ends
-of a passage stay where that occurrence goes on differently.
+"""Line dedup by content-defined chunks of lines.
+
+Lines end at line feeds and sentence ends and, inside sentences, before words whose hash is the least of some
+LINE_WINDOW neighbouring words, so no line has more than LINE_WINDOW words, in any language. A rolling hash over
+SPAN line hashes chooses chunk borders: in any WINDOW neighbouring places the least hash is one. Borders depend on
+nothing further off than a window, so a passage of 49 words (LINE_WINDOW * (SPAN + WINDOW - 1) words and
+LINE_WINDOW - 1 at both ends) has the same border, with its SPAN lines, wherever it stands.
+
+The SPAN lines from a border on that occur elsewhere have the first occurrence (smallest document id, then key and
+place) as their model. Neighbouring chunks with one model and one distance to it form a run; the run and what is
+around it, up to WINDOW lines to both sides, is compared byte by byte, word for word, with the model's text. Beyond
+that, the next run takes over: borders of a repeated passage are never further apart. Words that agree are cut where
+they add up to ``least_words`` at least, so of each passage the first occurrence stays. White space is not compared.
+
+Words are runs without ASCII white space; full stops of scripts without spaces end one too. Hashes have 64 bits; of
+two different spans with one hash, only the first one's repetitions are found by that span.
 
 Defined cases: null and empty texts are returned as they are; ids may be null (they come first in the order);
 rows that repeat an id with the same text are one document, cut or left alike; a text that repeats a passage
-keeps the first one; an empty table gives an empty result; extra columns are returned untouched.
+keeps the first one; a text without white space is one line; an empty table gives an empty result; extra columns
+are returned untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,203 +28,303 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entrack.llm.common import Scratch, table
+from entrack.llm.byte_words import Words, column_bytes, mixed, slices, window_minima
+from entrack.llm.common import Scratch, fresh, salted_join, table
 
 LEAST_WORDS = 32
-SPAN, WINDOW = 16, 16
-AROUND = WINDOW - 1
+LINE_WINDOW, SPAN, WINDOW = 3, 4, 12
+#: Borders of one passage are never further apart, in words.
+GAP = LINE_WINDOW * WINDOW + LINE_WINDOW
+#: Runs are compared in blocks of so many words of the model.
+RUN_BLOCK = 512
 #: Per-document marks are broadcast up to so many bytes; beyond, the join is a shuffle.
 BROADCAST_BYTES = 48_000_000
 _STOPS = "。！？"
+_STOP_BYTES = [s.encode() for s in _STOPS]
 _WORD = re.compile(rf"[^\x20\x09-\x0D{_STOPS}]*[{_STOPS}]+|[^\x20\x09-\x0D{_STOPS}]+")
-_STEPS = (1, 2, 4, 8)  # SPAN and WINDOW by doubling
-_POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, step, 2**64)) for step in _STEPS]
-_MIX = np.uint64(0xD6E8FEB86659FD93)
+_ROLL = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = -(2**63)
 
 
-def lines_of(text: str) -> tuple[list[int], list[str]]:
-    """Starts and bodies of all words."""
-    found = list(_WORD.finditer(text))
-    return [m.start() for m in found], [m.group() for m in found]
-
-
-def words_of(text: str) -> list[bytes]:
-    """The bodies of ``lines_of``, encoded."""
-    if any(c in text for c in _STOPS):
-        return [w.encode() for w in _WORD.findall(text)]
-    return text.encode().split()
-
-
-def borders_of(words: list[str] | list[bytes]) -> list[int]:
-    """Places of the words that begin a chunk; none in a text that holds no whole window."""
-    n = len(words)
-    if n < SPAN + WINDOW - 1:
-        return []
-    rolled = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=n)
-    for step, power in zip(_STEPS, _POWERS, strict=True):
-        rolled = rolled[:-step] * power + rolled[step:]
-    rolled = (rolled ^ (rolled >> np.uint64(32))) * _MIX
-    least = rolled
-    for step in _STEPS:
-        least = np.minimum(least[:-step], least[step:])
-    # a border is the least of some window: the greatest of the windows' least hashes around it is its own
-    most = np.zeros(len(least) + 2 * (WINDOW - 1), dtype=np.uint64)
-    most[WINDOW - 1 : 1 - WINDOW] = least
-    for step in _STEPS:
-        most = np.maximum(most[:-step], most[step:])
-    places = np.flatnonzero(most == rolled)
-    tied = rolled[places[1:]] == rolled[places[:-1]]
-    if not tied.any():
-        return places.tolist()
-    # of equal neighbours as few as leave one in each window
-    out, found = [], places.tolist()
-    for i, (at, like_before) in enumerate(zip(found, [False, *tied.tolist()], strict=True)):
-        if like_before and i < len(tied) and tied[i] and found[i + 1] - out[-1] <= WINDOW:
-            continue
-        out.append(at)
-    return out
-
-
-def chunks_of(bodies: list[str] | list[bytes]) -> list[tuple[int, int]]:
-    """(first word, one past the last word) of every chunk, the ends of the text included."""
-    edges = sorted({0, *borders_of(bodies), len(bodies)})
-    return list(zip(edges, edges[1:], strict=False))
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text that begins and ends at word borders."""
+    if any(s in text for s in _STOP_BYTES):
+        return [w.encode() for w in _WORD.findall(text.decode())]
+    return text.split()
+
+
+def _stop_ends(data: np.ndarray) -> np.ndarray:
+    """Places behind a full stop of a script without spaces, where no other stop follows."""
+    ends = [np.flatnonzero((data[:-2] == s[0]) & (data[1:-1] == s[1]) & (data[2:] == s[2])) + 3 for s in _STOP_BYTES] if len(data) > 2 else []
+    found = np.unique(np.concatenate(ends)) if ends else np.zeros(0, np.int64)
+    return np.setdiff1d(found[found < len(data)], found - 3)
+
+
+class Lines:
+    """The lines of all texts of a batch: first word of each, text it belongs to, border places."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        has_stops = bool(len(data)) and bool(np.isin(data, [0xE3, 0xEF]).any())
+        stops = _stop_ends(data) if has_stops else np.zeros(0, np.int64)
+        self.words = w = Words(data, offsets, breaks=stops)
+        n = len(w.starts)
+        begins = np.zeros(n + 1, dtype=bool)
+        begins[w.first] = True
+        begins[window_minima(w.hashes, w.doc, LINE_WINDOW)] = True
+        begins[np.searchsorted(w.starts, np.flatnonzero(data == 10))] = True
+        if n:
+            begins[1:] |= np.isin(data[w.ends - 1], [33, 46, 63])
+        if len(stops):
+            begins[np.searchsorted(w.starts, stops)] = True
+        self.starts = np.flatnonzero(begins[:n])
+        self.doc = w.doc[self.starts]
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each line's words."""
+        words, n = self.words.hashes, len(self.starts)
+        edges = np.append(self.starts, len(words))
+        sizes = np.diff(edges)
+        out = words[self.starts] + _ROLL if n else np.zeros(0, np.uint64)
+        for k in range(1, LINE_WINDOW):
+            more = np.flatnonzero(sizes > k)
+            out[more] = out[more] * _ROLL + words[self.starts[more] + k]
+        return mixed(out)
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, hash of its span) of every chunk border."""
+        lines = self.hashes()
+        n = len(lines) - SPAN + 1
+        if n < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        rolled = lines[:n].copy()
+        for k in range(1, SPAN):
+            rolled = rolled * _ROLL + lines[k : n + k]
+        rolled = mixed(rolled)
+        places = window_minima(rolled, self.doc, WINDOW, SPAN - 1) if n >= WINDOW else np.zeros(0, np.int64)
+        # inside a line that repeats itself every span is a border; WINDOW / 2 lines apart they do
+        same = np.zeros(len(places), dtype=bool)
+        same[1:] = (rolled[places[1:]] == rolled[places[:-1]]) & (places[1:] == places[:-1] + 1)
+        since = np.arange(len(places)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(places)))) if len(places) else same
+        places = places[since % (WINDOW // 2) == 0]
+        return places, rolled[places]
+
+
+_CHUNK = "doc_id long, key long, at int, h long"
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            lines = Lines(*column_bytes(part.column("text")))
+            places, hashes = lines.chunks()
+            if not len(places):
+                continue
+            doc = lines.doc[places]
+            ids, keys = (part.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "key"))
+            at = (lines.starts[places] - lines.words.first[doc]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(at), pa.array(hashes.view(np.int64))], ["doc_id", "key", "at", "h"])
 
 
-def _hash(body: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(body)
+_RUN = "key long, a int, z int, model long, ma int, mz int"
 
 
-def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, first and last chunk place, model's key, its first and last chunk place) of every run."""
     for batch in batches:
-        for lo in range(0, len(batch), 1000):
-            part = batch.iloc[lo : lo + 1000]
-            counts, places, hashes = [], [], []
-            for text in part["text"]:
-                words = words_of(text)
-                own = borders_of(words)
-                counts.append(len(own))
-                places += own
-                hashes += [_hash(b" ".join(words[a : a + SPAN])) for a in own]
-            if hashes:
-                of = [np.repeat(part[c].to_numpy(np.int64), counts) for c in ("doc_id", "key")]
-                yield pd.DataFrame({"doc_id": of[0], "key": of[1], "at": np.array(places, np.int32), "h": np.array(hashes, np.uint64).view(np.int64)})
+        marks = batch.column("marks")
+        rows = np.repeat(np.arange(len(marks)), np.diff(marks.offsets.to_numpy()))
+        at, model, place = (marks.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("at", "model", "place"))
+        if not len(at):
+            continue
+        order = np.lexsort((at, rows))
+        rows, at, model, place = rows[order], at[order], model[order], place[order]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (rows[1:] != rows[:-1]) | (model[1:] != model[:-1]) | (at[1:] - place[1:] != at[:-1] - place[:-1]) | (at[1:] - at[:-1] > GAP)
+        new[1:] |= place[1:] // RUN_BLOCK != place[:-1] // RUN_BLOCK
+        lo = np.flatnonzero(new)
+        hi = np.append(lo[1:], len(at)) - 1
+        keys = batch.column("key").to_numpy(zero_copy_only=False)[rows[lo]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, at[lo], at[hi], model[lo], place[lo], place[hi])], ["key", "a", "z", "model", "ma", "mz"])
 
 
-_CONTEXT = "key long, at int, h long, own boolean, before string, body string, after string"
+class _Text:
+    """One text with its words and lines."""
 
+    def __init__(self, text: bytes):
+        self.text = text
+        data = np.frombuffer(text, np.uint8)
+        self.lines = Lines(data, np.array([0, len(data)], np.int64))
+        self.words = self.lines.words
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each repeated chunk, with the words around it that are not in repeated chunks themselves.
+    def around(self, a: int, z: int) -> tuple[int, int, int, int]:
+        """Words: WINDOW lines before a, a, the end of the SPAN lines from z on, WINDOW lines beyond."""
+        starts, n = self.lines.starts, len(self.words.starts)
+        edges = np.append(starts, n)
+        i, j = int(np.searchsorted(starts, a, "right")) - 1, int(np.searchsorted(starts, z, "right")) - 1
+        end = min(j + SPAN, len(starts))
+        return int(edges[max(0, i - WINDOW)]), a, int(edges[end]), int(edges[min(end + WINDOW, len(starts))])
 
-    Words are joined by spaces, which they do not hold; those before the chunk from the nearest on.
-    """
-    columns = ["key", "at", "h", "own", "before", "body", "after"]
-    for batch in batches:
-        rows = []
-        for key, text, marks in zip(batch["key"], batch["text"], batch["marks"], strict=True):
-            words = words_of(text)
-            found = sorted({v >> 1: v & 1 for v in map(int, marks.split())}.items())
-            reached = -1  # where the last chunk that an earlier document holds ends
-            for i, (a, own) in enumerate(found):
-                b = a + SPAN
-                beyond = found[i + 1] if i + 1 < len(found) else (b + 1, 0)
-                before = b" ".join(words[max(0, a - AROUND) : a][::-1]) if own or reached < a else b""
-                after = b" ".join(words[b : b + AROUND]) if own or beyond[1] or beyond[0] > b else b""
-                body = b" ".join(words[a:b])
-                h = _hash(body)
-                rows.append((key, a, h - (h >> 63 << 64), bool(own), before.decode(), body.decode(), after.decode()))
-                if not own:
-                    reached = b
-            if len(rows) >= 2000:
-                yield pd.DataFrame(rows, columns=columns)
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=columns)
-
-
-def cut_text(text: str, marks: str) -> tuple[str, list[dict[str, int]]]:
-    """The text without the grown passages of at least LEAST_WORDS words, and the spans that went."""
-    words = [m.span() for m in _WORD.finditer(text)]
-    own = np.zeros(len(words) + 1, dtype=np.int64)
-    for mark in marks.split():
-        at, left, right = (*map(int, mark.split(":")), 0, 0)[:3]
-        own[max(0, at - left)] += 1
-        own[min(len(words), at + SPAN + right)] -= 1
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(own[:-1]) > 0).astype(np.int8), [0]])))
-    spans = [(words[i][0], words[j - 1][1]) for i, j in edges.reshape(-1, 2).tolist()]
-    spans = [(a, b) for a, b in spans if len(text[a:b].split()) >= LEAST_WORDS]
-    kept, at = [], 0
-    for a, b in spans:
-        kept.append(text[at:a])
-        at = b
-    return "".join([*kept, text[at:]]), [{"start": a, "end": b} for a, b in spans]
+    def slice(self, a: int, b: int) -> bytes:
+        return self.text[self.words.starts[a] : self.words.ends[b - 1]] if b > a else b""
 
 
-def _cut(texts: pd.Series, marks: pd.Series) -> pd.DataFrame:
-    found = [cut_text(t, m) if isinstance(t, str) and isinstance(m, str) else (None, []) for t, m in zip(texts, marks, strict=True)]
-    return pd.DataFrame(found, columns=["text", "removed"])
+_SLICE = "model long, ma int, mz int, before binary, body binary, after binary"
 
 
-def _listed(marks: DataFrame) -> DataFrame:
+def _model_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each wanted run of a model, and what is around it."""
+    names = ["model", "ma", "mz", "before", "body", "after"]
+    for batch in batches:
+        rows, held = [], 0
+        for key, text, wants in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("wants"), strict=True):
+            one = _Text(text.as_py().encode())
+            for want in wants.as_py():
+                p, a, b, q = one.around(want["ma"], want["mz"])
+                rows.append((key, want["ma"], want["mz"], one.slice(p, a), one.slice(a, b), one.slice(b, q)))
+                held += sum(map(len, rows[-1][3:]))
+                if held > 4_000_000:
+                    yield _batch(rows, names)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows, names)
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def _leading(a: list[bytes], b: list[bytes]) -> int:
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def agreeing(one: _Text, run: tuple[int, int], model: tuple[bytes, bytes, bytes]) -> list[tuple[int, int]]:
+    """Words of a run and around it that are the same, byte for byte, in the model's text: (first, one past the last)."""
+    p, a, b, q = one.around(*run)
+    before, body, after = model
+    own = one.slice(a, b)
+    if own == body:
+        found = [[a, b]]
+    else:
+        same = [x == y for x, y in zip(words_of(own), words_of(body), strict=False)]
+        edges = np.flatnonzero(np.diff(np.array([0, *same, 0], np.int8)))
+        found = (edges.reshape(-1, 2) + a).tolist()
+    if found and found[0][0] == a:
+        found[0][0] -= _leading(words_of(one.slice(p, a))[::-1], words_of(before)[::-1])
+    if found and found[-1][1] == b:
+        found[-1][1] += _leading(words_of(one.slice(b, q)), words_of(after))
+    return [(i, j) for i, j in found]
+
+
+def spans_of(one: _Text, found: list[tuple[int, int]], least_words: int) -> list[tuple[int, int]]:
+    """Byte spans of the passages that agreeing words add up to, with ``least_words`` at least."""
+    cover = np.zeros(len(one.words.starts) + 1, np.int64)
+    for a, b in found:
+        cover[a] += 1
+        cover[b] -= 1
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+    return [(int(one.words.starts[a]), int(one.words.ends[b - 1])) for a, b in edges if b - a >= least_words]
+
+
+_GROWN = "key long, spans array<struct<start:int,end:int>>"
+
+
+def _compared(least_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, text, runs in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("runs"), strict=True):
+                one, found = _Text(text.as_py().encode()), []
+                for r in runs.values:
+                    r = r.as_py()
+                    found += agreeing(one, (r["a"], r["z"]), (r["before"], r["body"], r["after"]))
+                spans = spans_of(one, found, least_words)
+                if spans:
+                    rows.append((key, [{"start": a, "end": b} for a, b in spans]))
+            if rows:
+                keys, spans = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["key", "spans"])
+
+    return run
+
+
+def _listed(marks: DataFrame, each: str, width: int) -> DataFrame:
     """The table, to be broadcast where its bytes allow it."""
-    rows, signs = marks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("marks")), F.lit(0))).first()
-    return F.broadcast(marks) if 64 * rows + signs <= BROADCAST_BYTES else marks
+    rows, parts = marks.agg(F.count("*"), F.coalesce(F.sum(F.size(each)), F.lit(0))).first()
+    return F.broadcast(marks) if 64 * rows + width * parts <= BROADCAST_BYTES else marks
 
 
-def grown_marks(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
-    """(key, marks) of the documents with repeated chunks to cut; a mark is place[:words before:words after]."""
+def grown_spans(docs: DataFrame, doc_id: str, text: str, least_words: int, scratch: Scratch) -> DataFrame:
+    """(key, spans) of the documents with passages to cut; spans in bytes of UTF-8."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc_id"), document_key(doc_id, text).alias("key"), F.col(text).alias("text"))
     rows = rows.where(F.col("text").isNotNull())
-    chunks = scratch.save(rows.mapInPandas(_chunk_rows, "doc_id long, key long, at int, h long"), "chunks")
-    repeated = chunks.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).where("n > 1").drop("n")
+    chunks = scratch.save(rows.mapInArrow(_chunk_rows, _CHUNK), "chunks")
+    first = F.min(F.struct("doc_id", F.col("key").alias("model"), F.col("at").alias("place")))
+    repeated = chunks.groupBy("h").agg(F.count("*").alias("n"), first.alias("m")).where("n > 1").select("h", "n", "m.model", "m.place")
     repeated = scratch.save(repeated, "repeated")
-    # written first, so that both sides are shuffled for the join alone and a hot chunk's rows can be split
-    marks = chunks.join(repeated.hint("shuffle_hash"), "h").select("key", (F.col("at") * 2 + (F.col("doc_id") == F.col("owner")).cast("int")).alias("mark"))
-    marks = scratch.save(marks.groupBy("key").agg(F.array_join(F.collect_list(F.col("mark").cast("string")), " ").alias("marks")), "marks")
-    for name in ("chunks", "repeated"):
-        scratch.drop(name)
-    seen = scratch.save(rows.select("key", "text").join(_listed(marks), "key").mapInPandas(_contexts, _CONTEXT), "contexts")
-    model = seen.where("own").groupBy("h").agg(F.min_by(F.struct("key", "at", "before", "body", "after"), F.struct("key", "at")).alias("m"))
-    model = scratch.save(model, "models")
-    same = seen.join(model, "h").where("not (key = m.key and at = m.at)").where(F.col("body") == F.col("m.body"))
-    left = _agreeing(F.col("before"), F.col("m.before"))
-    right = _agreeing(F.col("after"), F.col("m.after"))
-    mark = F.when((left > 0) | (right > 0), F.concat_ws(":", F.col("at").cast("string"), left.cast("string"), right.cast("string"))).otherwise(F.col("at").cast("string"))
-    grown = scratch.save(same.groupBy("key").agg(F.array_join(F.collect_list(mark), " ").alias("marks")), "grown")
-    for name in ("marks", "contexts", "models"):
-        scratch.drop(name)
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    marks = salted_join(chunks.select("h", "key", "at"), repeated, ["h"], ["key"], total).where("not (key = model and at = place)")
+    marks = scratch.save(marks.groupBy("key").agg(F.collect_set(F.struct("at", "model", "place")).alias("marks")), "marks")
+    scratch.drop("chunks", "repeated")
+    runs = scratch.save(marks.mapInArrow(_runs, _RUN), "runs")
+    wanted = scratch.save(runs.groupBy("model", "ma", "mz").agg(F.count("*").alias("n")), "wanted")
+    wants = scratch.save(wanted.groupBy(F.col("model").alias("key")).agg(F.collect_list(F.struct("ma", "mz")).alias("wants")), "wants")
+    slices_ = rows.select("key", "text").join(_listed(wants, "wants", 24), "key").mapInArrow(_model_slices, _SLICE)
+    place = ["model", "ma", "mz"]
+    models = slices_.groupBy(*place).agg(F.first(F.struct("before", "body", "after")).alias("m"))
+    models = scratch.save(models.select(*place, "m.*"), "models").join(wanted, place)
+    joined = salted_join(runs, models, place, ["key", "a"], runs.count())
+    each = joined.groupBy("key").agg(F.collect_list(F.struct("a", "z", "before", "body", "after")).alias("runs"))
+    each = scratch.save(each, "compared")
+    marked = _listed(scratch.save(each.select("key", F.array().cast("array<int>").alias("none")), "marked"), "none", 0).select("key")
+    texts = rows.select("key", "text").join(marked, "key", "left_semi")
+    grown = texts.join(each, "key").mapInArrow(_compared(least_words), _GROWN)
+    grown = scratch.save(grown.dropDuplicates(["key"]), "grown")
+    scratch.drop("marks", "runs", "wanted", "wants", "models", "compared", "marked")
     return grown
 
 
-def _agreeing(a: Column, b: Column) -> Column:
-    """How many leading lines of two joined lists are equal."""
-    pairs = F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: x.eqNullSafe(y) & x.isNotNull())
-    first = F.array_position(pairs, F.lit(False))
-    agreeing = F.when(first > 0, first - 1).otherwise(F.size(pairs)).cast("int")
-    return F.when((a == "") | (b == ""), 0).otherwise(agreeing)
-
-
 def document_key(doc_id: str, text: str) -> Column:
     """One key for each pair of id and text."""
     return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
 
 
-def deduplicated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_text(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[dict[str, int]]]:
+    """The text without the byte spans, and the spans in code points."""
+    data = text.encode()
+    leads = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(data[at:a])
+        at = b
+    return b"".join([*kept, data[at:]]).decode(), [{"start": int(leads[a]), "end": int(leads[b])} for a, b in spans]
+
+
+def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    found = [cut_text(t, [(s["start"], s["end"]) for s in own]) if isinstance(t, str) and own is not None else (None, []) for t, own in zip(texts, spans, strict=True)]
+    return pd.DataFrame(found, columns=["text", "removed"])
+
+
+def deduplicated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """All columns of ``docs`` with the text cut, plus removed_spans (offsets in the old text, code points)."""
-    marks = grown_marks(docs, doc_id, text, Scratch(docs.sparkSession, "line-dedup"))
-    marks = _listed(marks).select(F.col("key").alias("_cut_key"), F.col("marks").alias("_cut_marks"))
-    joined = docs.join(marks, document_key(doc_id, text) == F.col("_cut_key"), "left")
-    # texts without marks stay in the JVM
+    grown = grown_spans(docs, doc_id, text, least_words, Scratch(docs.sparkSession, "line-dedup"))
+    key, spans, done = (fresh(docs, c) for c in ("cut_key", "cut_spans", "cut_done"))
+    grown = _listed(grown, "spans", 24).select(F.col("key").alias(key), F.col("spans").alias(spans))
+    joined = docs.join(grown, document_key(doc_id, text) == F.col(key), "left")
+    # texts without spans stay in the JVM
     cut = F.pandas_udf(_cut, "struct<text:string,removed:array<struct<start:int,end:int>>>")
-    joined = joined.withColumn("_cut", cut(F.when(F.col("_cut_marks").isNotNull(), docs[text]), F.col("_cut_marks")))
-    others = [docs[c] if c != text else F.coalesce("_cut.text", docs[text]).alias(text) for c in docs.columns]
-    return joined.select(*others, F.coalesce("_cut.removed", F.array().cast("array<struct<start:int,end:int>>")).alias("removed_spans"))
+    joined = joined.withColumn(done, cut(F.when(F.col(spans).isNotNull(), docs[text]), F.col(spans)))
+    others = [docs[c] if c != text else F.coalesce(F.col(done)["text"], docs[text]).alias(text) for c in docs.columns]
+    return joined.select(*others, F.coalesce(F.col(done)["removed"], F.array().cast("array<struct<start:int,end:int>>")).alias("removed_spans"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
