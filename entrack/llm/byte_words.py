@@ -21,6 +21,10 @@ _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+#: For bytes.translate: lower-cases A-Z and nothing else.
+ASCII_LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base % 2**64, np.uint64)]), dtype=np.uint64)
 
@@ -97,13 +101,10 @@ class Words:
             lo = hi
         for i in np.flatnonzero(self.ends - self.starts > LONG).tolist():
             word = self.data[self.starts[i] : self.ends[i]].tobytes()
-            out[i] = xxhash.xxh3_64_intdigest(word.translate(_ASCII_LOW) if lower else word)
+            out[i] = xxhash.xxh3_64_intdigest(word.translate(ASCII_LOW) if lower else word)
         return mixed(out)
 
 
-_ASCII_LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
 def least_of(values: np.ndarray, window: int, pick=np.minimum) -> np.ndarray:
     """The least (or as ``pick`` says) of each ``window`` neighbouring values."""
     out, reach = values, 1

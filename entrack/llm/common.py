@@ -72,12 +72,12 @@ class Scratch:
 HOT_ROWS, MOST_HOT = 500, 50_000
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], salt_by: list[str], total: int, n: str = "n") -> DataFrame:
-    """Inner join of ``many`` with ``one``, which has each key once and, in ``n``, how many rows of ``many`` have it.
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], salt_by: list[str], total: int, n: str = "n", how: str = "inner") -> DataFrame:
+    """Join of ``many`` with ``one``, which has each key once and, in ``n``, how many rows of ``many`` have it.
 
     Rows of a frequent key are split by a hash of ``salt_by``, and its row of ``one`` is repeated for each part.
     A key is frequent from max(HOT_ROWS, total / MOST_HOT) rows on, so at most MOST_HOT keys are broadcast.
-    Columns: the keys, those of ``many``, those of ``one`` without n.
+    ``how`` is inner or left. Columns: the keys, those of ``many``, those of ``one`` without n.
     """
     bound = max(HOT_ROWS, total // MOST_HOT)
     salts = F.ceil(F.col(n) / F.lit(bound)).cast("int")
@@ -85,7 +85,7 @@ def salted_join(many: DataFrame, one: DataFrame, keys: list[str], salt_by: list[
     dealt = many.join(F.broadcast(hot), keys, "left").withColumn("salt", F.pmod(F.xxhash64(*salt_by), F.coalesce("salts", F.lit(1)).cast("long"))).drop("salts")
     last = F.when(F.col(n) > bound, salts.cast("long") - 1).otherwise(F.lit(0).cast("long"))
     spread = one.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop(n)
-    return dealt.join(spread, [*keys, "salt"]).drop("salt")
+    return dealt.join(spread, [*keys, "salt"], how).drop("salt")
 
 
 def fresh(df: DataFrame, name: str) -> str:
