@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed value: variants of one source lie this far apart.
+SLOTS = 100
+
+
 def name_key(name: Column) -> Column:
     """Lower case, an ampersand as a word, everything but a-z and 0-9 as single spaces."""
     spelled = F.replace(F.lower(name), F.lit("&"), F.lit(" and "))
@@ -21,7 +25,7 @@ def one_line(text: Column, most: int) -> Column:
 
 def clean_lines(text: Column) -> Column:
     """Line ends as line feeds, trimmed; null where nothing is left."""
-    return F.nullif(F.trim(F.regexp_replace(text, "\r\n?", "\n")), F.lit(""))
+    return F.nullif(F.btrim(F.regexp_replace(text, "\r\n?", "\n"), F.lit(" \t\n\x0b\x0c\r")), F.lit(""))
 
 
 def markdown_safe(text: Column) -> Column:
@@ -90,15 +94,16 @@ def folded_angle(degrees: Column) -> Column:
 
 
 def synthetic_id(source_id: Column, variant: Column) -> Column:
-    """Negative ids for variants of an outer source: 100 for each source row."""
-    return -(source_id * 100 + variant)
+    """Negative ids for variants 1 to 99 of an outer source with a positive id: 100 for each source row; else null."""
+    return F.when((source_id >= 1) & variant.between(1, SLOTS - 1), -(source_id * SLOTS + variant))
 
 
 def is_synthetic(item_id: Column) -> Column:
-    return (item_id < 0) & (F.pmod(-item_id, F.lit(100)) != 0)
+    """From -101 down, so the sentinel -1 is not one."""
+    return (item_id <= -(SLOTS + 1)) & (F.pmod(-item_id, F.lit(SLOTS)) != 0)
 
 
 def synthetic_parts(item_id: Column) -> Column:
     """(source_id, variant) of a synthetic id, null for others."""
-    parts = F.struct(F.floor(-item_id / 100).alias("source_id"), F.pmod(-item_id, F.lit(100)).alias("variant"))
+    parts = F.struct(F.floor(-item_id / SLOTS).alias("source_id"), F.pmod(-item_id, F.lit(SLOTS)).alias("variant"))
     return F.when(is_synthetic(item_id), parts)

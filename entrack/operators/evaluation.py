@@ -6,20 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The value at the rounded position q * (n - 1) of the sorted group."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, F.floor(F.lit(q) * (F.size(ordered) - 1) + 0.5).cast("int"))
+def ranked_values(rows: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """The value at each place of the sorted group; a place is a column over ``n``, the group's size, from 0.
+
+    Values are counted before they are put in order, so a group costs its distinct values, not its rows, and
+    is never gathered in one array.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("n", F.sum("_c").over(w)).withColumn("_upto", upto)
+    return placed.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") > place, F.col(value))).alias(name) for name, place in places.items()])
+
+
+def nearest_rank(q: float) -> Column:
+    """The rounded place q * (n - 1)."""
+    return F.floor(F.lit(q) * (F.col("n") - 1) + 0.5)
 
 
-def upper_median(values: Column) -> Column:
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+def upper_median() -> Column:
+    return F.floor(F.col("n") / 2)
 
 
-def lower_median(values: Column) -> Column:
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, F.floor((F.size(ordered) - 1) / 2).cast("int"))
+def lower_median() -> Column:
+    return F.floor((F.col("n") - 1) / 2)
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -39,23 +49,34 @@ def outcome(scored: DataFrame, score: Column, margin: Column, floor: Column, key
 
 
 def calibrated(scored: DataFrame, precision: float, least: int, step: float, most: float, floor_percentile: float) -> DataFrame:
-    """The score and margin with the most answers at the target precision: (score, margin, floor, n).
+    """The score and margin with the most answers at the target precision, one row.
 
-    For each margin of the grid the deepest cut in descending score whose answers are right often enough;
-    cuts lie between distinct scores only. The scores are counted per (margin, score) before they are
-    accumulated, so the running sums see distinct scores, not rows.
+    (score, margin, floor, achieved, precision, coverage). For each margin of the grid the deepest cut in
+    descending score whose answers are right often enough; cuts lie between distinct scores only. Rows are counted
+    by score and lead in steps first, so margins repeat counts, not rows. Where no cut reaches the target, score and
+    margin are 1, nothing is achieved.
     """
-    floor = scored.where("correct").agg(F.floor(F.percentile("s1", F.lit(floor_percentile)) * 1000) / 1000).first()[0]
-    grid = F.transform(F.sequence(F.lit(0), F.lit(int(most / step + 1e-9))), lambda k: F.round(k * step, 4))
-    passed = scored.where(F.col("s1") >= (0.0 if floor is None else floor)).withColumn("lead", F.round(F.col("s1") - F.col("s2"), 9))
-    counts = passed.select("s1", "correct", F.explode(F.filter(grid, lambda m: F.col("lead") >= m)).alias("margin"))
-    counts = counts.groupBy("margin", "s1").agg(F.count("*").alias("c"), F.count_if(F.col("correct")).alias("r"))
-    down = Window.partitionBy("margin").orderBy(F.col("s1").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    last = int(most / step + 1e-9)
+    quantile = scored.where("correct").agg(F.percentile("s1", F.lit(floor_percentile)).alias("p"))
+    floor = F.broadcast(quantile.select(F.coalesce(F.floor(F.col("p") * 1000 + 1e-9) / 1000, F.lit(0.0)).alias("floor")))  # one row
+    lead = F.floor(F.round(F.col("s1") - F.col("s2"), 9) / step + 1e-6).cast("int")
+    steps = scored.groupBy("s1", F.least(lead, F.lit(last)).alias("k")).agg(F.count("*").alias("c"), F.count_if("correct").alias("r")).where("k >= 0")
+    counts = steps.join(floor).where("s1 >= floor").select("s1", "c", "r", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("k"))
+    counts = counts.groupBy("k", "s1").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
+    down = Window.partitionBy("k").orderBy(F.col("s1").desc()).rowsBetween(Window.unboundedPreceding, 0)
     cuts = counts.withColumn("n", F.sum("c").over(down)).withColumn("right", F.sum("r").over(down))
     good = cuts.where((F.col("n") >= least) & (F.col("right") >= precision * F.col("n")))
-    deepest = good.groupBy("margin").agg(F.max_by("s1", "n").alias("s1"), F.max("n").alias("n"))
-    best = deepest.agg(F.max_by(F.struct("s1", "margin", "n"), F.struct("n", -F.col("margin"))).alias("b")).select("b.*")
-    return best.select((F.ceil(F.col("s1") * 10000) / 10000).alias("score"), "margin", F.lit(floor).cast("double").alias("floor"), "n")
+    deepest = good.groupBy("k").agg(F.max_by("s1", "n").alias("s1"), F.max("n").alias("n"))
+    best = deepest.agg(F.max_by(F.struct("s1", "k"), F.struct("n", -F.col("k"))).alias("b")).join(floor)  # one row
+    raised = F.greatest(F.col("floor"), F.ceil(F.col("b.s1") * 10000 - 1e-9) / 10000)
+    found = best.select("floor", F.when(F.col("b").isNotNull(), raised).otherwise(1.0).alias("score"), F.coalesce(F.round(F.col("b.k") * step, 4), F.lit(1.0)).alias("margin"), F.col("b").isNotNull().alias("any"))
+    held = (F.col("s1") >= F.col("floor")) & (F.col("s1") >= F.col("score")) & (F.round(F.col("s1") - F.col("s2"), 9) >= F.col("margin"))
+    sure = held & F.col("any")
+    judged = scored.join(F.broadcast(found)).groupBy("score", "margin", "floor").agg(F.count("*").alias("n"), F.count_if(sure).alias("c"), F.count_if(sure & F.col("correct")).alias("r"))
+    right = F.round(share(F.col("r"), F.col("c")), 9)
+    return judged.select(
+        "score", "margin", "floor", ((F.col("c") >= least) & (F.col("r") >= precision * F.col("c"))).alias("achieved"), right.alias("precision"), F.round(share(F.col("c"), F.col("n")), 9).alias("coverage")
+    )
 
 
 def by_tags(rows: DataFrame, groups: Column, measures: list[Column]) -> DataFrame:

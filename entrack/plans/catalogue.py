@@ -127,10 +127,15 @@ def gap_plan(spark: SparkSession, sf: str) -> DataFrame:
     return C.gap_plan(own, other).select("entity_id", "missing", "planned")
 
 
+#: Ids around the sentinel and the first synthetic one.
+EDGE_IDS = (-1, -99, -100, -101, -199, -200, -201, 0, 7)
+
+
 def synthetic_ids(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").select("p_partkey", X.synthetic_id(F.col("p_partkey"), F.col("p_size") % 4).alias("item_id"))
+    made = table(spark, sf, "part").select("p_partkey", X.synthetic_id(F.col("p_partkey"), F.col("p_size") * 3).alias("item_id"))
+    edges = spark.createDataFrame([(-1, i) for i in EDGE_IDS], "p_partkey long, item_id long")
     parts = X.synthetic_parts(F.col("item_id"))
-    return p.select("p_partkey", "item_id", X.is_synthetic(F.col("item_id")).alias("synthetic"), parts["source_id"].alias("source_id"), parts["variant"].alias("variant"))
+    return made.unionByName(edges).select("p_partkey", "item_id", X.is_synthetic(F.col("item_id")).alias("synthetic"), parts["source_id"].alias("source_id"), parts["variant"].alias("variant"))
 
 
 def prices_and_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,6 +195,8 @@ SELECT r.id, coalesce(t.text, h.text, r.name) AS shown, coalesce(t.text, h.text)
     "last_write_wins": "SELECT user_id, event_type, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
     "gap_plan": """WITH o AS (SELECT l_suppkey AS entity_id, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), x AS (SELECT l_suppkey AS entity_id, count(*) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
 SELECT entity_id, greatest(m - n, 0) AS missing, m > n AS planned FROM o JOIN x USING (entity_id)""",
-    "synthetic_ids": "WITH s AS (SELECT p_partkey, -(p_partkey * 100 + p_size % 4) AS item_id FROM part) SELECT p_partkey, item_id, (-item_id) % 100 <> 0 AS synthetic, CASE WHEN (-item_id) % 100 <> 0 THEN (-item_id) // 100 END AS source_id, CASE WHEN (-item_id) % 100 <> 0 THEN (-item_id) % 100 END AS variant FROM s",
+    "synthetic_ids": f"""WITH s AS (SELECT p_partkey, CASE WHEN p_partkey >= 1 AND p_size * 3 <= 99 THEN -(p_partkey * 100 + p_size * 3) END AS item_id FROM part
+  UNION ALL SELECT -1, i FROM (VALUES {", ".join(f"({i})" for i in EDGE_IDS)}) t(i)), m AS (SELECT *, item_id < -100 AND (-item_id) % 100 <> 0 AS synthetic FROM s)
+SELECT *, CASE WHEN synthetic THEN (-item_id) // 100 END AS source_id, CASE WHEN synthetic THEN (-item_id) % 100 END AS variant FROM m""",
     "prices_and_points": "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 AND c_acctbal > 0 THEN c_acctbal END AS price, CASE WHEN floor(c_acctbal) > 0 THEN CAST(floor(c_acctbal) AS BIGINT) END AS points FROM customer",
 }

@@ -21,10 +21,9 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 def percentiles(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
     p = F.percentile("value", F.array(F.lit(0.02), F.lit(0.5), F.lit(0.9)))
-    return e.groupBy("event_type").agg(
-        F.round(p[0], 6).alias("p02"), F.round(p[1], 6).alias("median"), F.round(p[2], 6).alias("p90"), E.nearest_rank(F.col("value"), 0.9).alias("rank_p90"),
-        E.upper_median(F.col("value")).alias("upper_median"), E.lower_median(F.col("value")).alias("lower_median"),
-    )
+    between = e.groupBy("event_type").agg(F.round(p[0], 6).alias("p02"), F.round(p[1], 6).alias("median"), F.round(p[2], 6).alias("p90"))
+    places = {"rank_p90": E.nearest_rank(0.9), "upper_median": E.upper_median(), "lower_median": E.lower_median()}
+    return between.join(E.ranked_values(e, ["event_type"], "value", places), "event_type")
 
 
 def eval_buckets(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,13 +57,25 @@ def calibrate_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return E.calibrated(scored(spark, sf), 0.8, 30, 0.0025, 0.3, 0.02)
 
 
+def calibrate_unreached(spark: SparkSession, sf: str) -> DataFrame:
+    """A target that no cut reaches."""
+    return E.calibrated(scored(spark, sf).withColumn("correct", F.col("correct") & (F.col("k") % 2 == 0)), 0.99, 60, 0.0025, 0.3, 0.02)
+
+
 def threshold_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Thresholds of a grid with at least 300 answers and at most 60 wrong ones."""
-    s = scored(spark, sf)
-    grid = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.lit(9)), lambda a: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda m: F.struct((a / 10).alias("score"), (m / 20).alias("margin"))))))
-    tries = s.withColumn("t", grid).where((F.col("s1") >= F.col("t.score")) & (F.round(F.col("s1") - F.col("s2"), 9) >= F.col("t.margin")))
-    counts = tries.groupBy("t.score", "t.margin").agg(F.count("*").alias("confident"), F.count_if(~F.col("correct")).alias("wrong"))
-    return counts.where("confident >= 300 and wrong <= 600")
+    """Accept rules of a grid over five thresholds with at least 100 answers and at most a quarter of them wrong.
+
+    An answer is sure with score and margin or with the second gate's pair, above the floor. Rows are counted by
+    the scores' steps first; every rule then works on counts.
+    """
+    tens = lambda c: F.floor(c * 20 + 1e-9).cast("int")
+    s = scored(spark, sf).withColumn("lead", F.round(F.col("s1") - F.col("s2"), 9)).groupBy(tens(F.col("s1")).alias("a"), tens(F.col("lead")).alias("m")).agg(F.count("*").alias("c"), F.count_if(~F.col("correct")).alias("w"))
+    rule = spark.range(1).select(F.lit(1).alias("one"))
+    for name, values in (("score", (8, 12, 16)), ("margin", (0, 2)), ("floor", (2, 4)), ("score2", (6, 10)), ("margin2", (4, 8))):
+        rule = rule.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    sure = F.expr("a >= floor and ((a >= score and m >= margin) or (a >= score2 and m >= margin2))")
+    counts = s.join(F.broadcast(rule)).where(sure).groupBy("score", "margin", "floor", "score2", "margin2").agg(F.sum("c").alias("confident"), F.sum("w").alias("wrong"))  # 48 rules
+    return counts.where("confident >= 100 and 4 * wrong <= confident")
 
 
 def state_transitions(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,8 +144,20 @@ def model_choice(spark: SparkSession, sf: str) -> DataFrame:
 _S = """e AS (SELECT event_id, user_id, event_type, round(value, 6) AS value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 s AS (SELECT event_id, user_id, event_type, k, round(least(1.0, value / 100), 4) AS s1,
   round(round(least(1.0, value / 100), 4) * coalesce(lag(k) OVER (PARTITION BY user_id ORDER BY event_id), 0) / 100, 4) AS s2, event_type <> 'error' AS correct FROM e)"""
+def _calibration(rows: str, precision: float, least: int) -> str:
+    return f"""WITH {_S}, q AS (SELECT * FROM {rows}), f AS (SELECT coalesce(floor(quantile_cont(s1, 0.02) * 1000 + 1e-9) / 1000, 0) AS floor FROM q WHERE correct),
+p AS (SELECT s1, correct, round(g * 0.0025, 4) AS margin FROM q, f, (SELECT unnest(range(0, 121)) AS g) WHERE s1 >= floor AND round(s1 - s2, 9) >= round(g * 0.0025, 4)),
+c AS (SELECT margin, s1, count(*) AS c, count(*) FILTER (WHERE correct) AS r FROM p GROUP BY ALL),
+a AS (SELECT margin, s1, sum(c) OVER w AS n, sum(r) OVER w AS r FROM c WINDOW w AS (PARTITION BY margin ORDER BY s1 DESC)),
+g AS (SELECT margin, arg_max(s1, n) AS s1, max(n) AS n FROM a WHERE n >= {least} AND r >= {precision} * n GROUP BY margin),
+b AS (SELECT coalesce(greatest(max(floor), (SELECT ceil(s1 * 10000 - 1e-9) / 10000 FROM g ORDER BY n DESC, margin LIMIT 1)), 1) AS score, coalesce((SELECT margin FROM g ORDER BY n DESC, margin LIMIT 1), 1) AS margin, max(floor) AS floor, (SELECT count(*) FROM g) > 0 AS found FROM f),
+b2 AS (SELECT CASE WHEN found THEN score ELSE 1 END AS score, margin, floor, found FROM b),
+j AS (SELECT b2.*, count(*) AS n, count(*) FILTER (WHERE found AND s1 >= floor AND s1 >= score AND round(s1 - s2, 9) >= margin) AS c, count(*) FILTER (WHERE found AND s1 >= floor AND s1 >= score AND round(s1 - s2, 9) >= margin AND correct) AS r FROM q, b2 GROUP BY ALL)
+SELECT score, margin, floor, c >= {least} AND r >= {precision} * c AS achieved, round(CASE WHEN c > 0 THEN r / c ELSE 0 END, 9) AS precision, round(c / n, 9) AS coverage FROM j"""
+
+
 _ALL = (
-    percentiles, eval_buckets, eval_by_tag, weighted_mean, threshold_outcome, calibrate_thresholds, threshold_grid, state_transitions, report_differences, filter_cascade,
+    percentiles, eval_buckets, eval_by_tag, weighted_mean, threshold_outcome, calibrate_thresholds, calibrate_unreached, threshold_grid, state_transitions, report_differences, filter_cascade,
     group_weights, group_deviation, confusion, conservative_verdict, value_correlation, model_choice, held_out_split,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -150,14 +173,12 @@ SELECT "group", count(*) AS n, CAST(sum(toxic) AS BIGINT) AS toxic, count(DISTIN
     "threshold_outcome": f"""WITH {_S}, c AS (SELECT event_type, count(*) AS n, count(*) FILTER (WHERE s1 >= 0.1 AND s1 >= 0.5 AND round(s1 - s2, 9) >= 0.02) AS confident,
   count(*) FILTER (WHERE s1 >= 0.1 AND s1 >= 0.5 AND round(s1 - s2, 9) >= 0.02 AND correct) AS r, count(*) FILTER (WHERE s1 < 0.1) AS below FROM s GROUP BY 1)
 SELECT event_type, confident, round(CASE WHEN confident > 0 THEN r / confident ELSE 0 END, 9) AS precision, round(confident / n, 9) AS coverage, round(below / n, 9) AS nothing FROM c""",
-    "calibrate_thresholds": f"""WITH {_S}, f AS (SELECT floor(quantile_cont(s1, 0.02) * 1000) / 1000 AS floor FROM s WHERE correct),
-p AS (SELECT s1, correct, round(g * 0.0025, 4) AS margin FROM s, f, (SELECT unnest(range(0, 121)) AS g) WHERE s1 >= floor AND round(s1 - s2, 9) >= round(g * 0.0025, 4)),
-c AS (SELECT margin, s1, count(*) AS c, count(*) FILTER (WHERE correct) AS r FROM p GROUP BY ALL),
-a AS (SELECT margin, s1, sum(c) OVER w AS n, sum(r) OVER w AS r FROM c WINDOW w AS (PARTITION BY margin ORDER BY s1 DESC)),
-g AS (SELECT margin, arg_max(s1, n) AS s1, max(n) AS n FROM a WHERE n >= 30 AND r >= 0.8 * n GROUP BY margin)
-SELECT ceil(s1 * 10000) / 10000 AS score, margin, floor, CAST(n AS BIGINT) AS n FROM g, f ORDER BY n DESC, margin LIMIT 1""",
-    "threshold_grid": f"""WITH {_S} SELECT a / 10 AS score, m / 20 AS margin, count(*) AS confident, count(*) FILTER (WHERE NOT correct) AS wrong FROM s, (SELECT unnest(range(2, 10)) AS a), (SELECT unnest(range(0, 5)) AS m)
-WHERE s1 >= a / 10 AND round(s1 - s2, 9) >= m / 20 GROUP BY a, m HAVING confident >= 300 AND wrong <= 600""",
+    "calibrate_thresholds": _calibration("s", 0.8, 30),
+    "calibrate_unreached": _calibration("(SELECT event_id, user_id, event_type, k, s1, s2, correct AND k % 2 = 0 AS correct FROM s)", 0.99, 60),
+    "threshold_grid": f"""WITH {_S} SELECT score, margin, floor, score2, margin2, count(*) AS confident, count(*) FILTER (WHERE NOT correct) AS wrong FROM s,
+(SELECT unnest([8, 12, 16]) AS score), (SELECT unnest([0, 2]) AS margin), (SELECT unnest([2, 4]) AS floor), (SELECT unnest([6, 10]) AS score2), (SELECT unnest([4, 8]) AS margin2)
+WHERE round(s1 * 20, 6) >= floor AND ((round(s1 * 20, 6) >= score AND round((s1 - s2) * 20, 6) >= margin) OR (round(s1 * 20, 6) >= score2 AND round((s1 - s2) * 20, 6) >= margin2))
+GROUP BY ALL HAVING count(*) >= 100 AND 4 * count(*) FILTER (WHERE NOT correct) <= count(*)""",
     "state_transitions": f"WITH {_S} SELECT CASE WHEN s1 >= 0.5 THEN 'sure' ELSE 'low' END AS was, CASE WHEN s2 >= 0.3 THEN 'sure' ELSE 'low' END AS is_now, count(*) AS n FROM s GROUP BY ALL",
     "report_differences": "WITH t AS (SELECT l_orderkey, sum(l_extendedprice) AS total FROM lineitem GROUP BY 1) SELECT o_orderkey, round(o_totalprice - total, 2) AS difference FROM orders JOIN t ON l_orderkey = o_orderkey WHERE abs(round(o_totalprice - total, 2)) > 0.005",
     "filter_cascade": "SELECT CASE WHEN n_chars < 200 THEN 'short' WHEN n_chars > 8000 THEN 'long' WHEN contains(text, ' | ') THEN 'table' WHEN lang <> 'en' THEN 'foreign' ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY 1",

@@ -56,7 +56,7 @@ _AUTH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
 _ALL = (clean_text, markdown_safe, text_category, url_canonical, version_compare, clocks, first_tags, folded_angles)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
-    "clean_text": rf"SELECT doc_id, md5({_ONE}) AS line_md5, length(nullif(trim(regexp_replace(text, '\r\n?', chr(10), 'g')), '')) AS chars FROM documents",
+    "clean_text": rf"SELECT doc_id, md5({_ONE}) AS line_md5, length(nullif(trim(regexp_replace(text, '\r\n?', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '')) AS chars FROM documents",
     "markdown_safe": r"SELECT doc_id, md5(regexp_replace(text, '([\\`*_{}\[\]()<>#+.!|~-])', '\\\1', 'g')) AS safe_md5 FROM documents",
     "text_category": r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)licensed|license') THEN 'licence' WHEN contains(text, ' | ') THEN 'table' WHEN regexp_matches(text, '@|[0-9]{3}') THEN 'contact' WHEN length(text) <= 200 AND NOT contains(text, chr(10)) THEN 'short' ELSE 'prose' END AS category FROM documents",
     "url_canonical": rf"""SELECT page_id, CASE WHEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1).lower() IN ('http', 'https') AND {_AUTH} <> '' AND NOT contains({_AUTH}, '@')
