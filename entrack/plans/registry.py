@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entrack.plans import catalogue, evaluation, retrieval, sequences, spatial, texts, validation
+from entrack.plans import catalogue, evaluation, retrieval, sequences, spatial, stores, texts, validation
 
-_MODULES = (retrieval, catalogue, sequences, evaluation, texts, spatial, validation)
+_MODULES = (retrieval, catalogue, sequences, evaluation, texts, spatial, validation, stores)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
