@@ -152,24 +152,38 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Text:
-    """One text with its words and lines."""
+    """One text of a batch with its words (byte places in the text) and the first words of its lines."""
 
-    def __init__(self, text: bytes):
-        self.text = text
-        data = np.frombuffer(text, np.uint8)
-        self.lines = Lines(data, np.array([0, len(data)], np.int64))
-        self.words = self.lines.words
+    def __init__(self, lines: Lines, i: int):
+        words = lines.words
+        at, lo, hi = int(words.offsets[i]), int(words.first[i]), int(words.first[i + 1])
+        self.text = words.data[at : int(words.offsets[i + 1])].tobytes()
+        self.starts, self.ends = words.starts[lo:hi] - at, words.ends[lo:hi] - at
+        first, last = np.searchsorted(lines.starts, (lo, hi))
+        self.edges = np.append(lines.starts[first:last], hi) - lo
 
     def around(self, a: int, z: int) -> tuple[int, int, int, int]:
         """Words: WINDOW lines before a, a, the end of the SPAN lines from z on, WINDOW lines beyond."""
-        starts, n = self.lines.starts, len(self.words.starts)
-        edges = np.append(starts, n)
-        i, j = int(np.searchsorted(starts, a, "right")) - 1, int(np.searchsorted(starts, z, "right")) - 1
-        end = min(j + SPAN, len(starts))
-        return int(edges[max(0, i - WINDOW)]), a, int(edges[end]), int(edges[min(end + WINDOW, len(starts))])
+        edges, last = self.edges, len(self.edges) - 1
+        i, j = (np.searchsorted(edges, (a, z), "right") - 1).tolist()
+        end = min(j + SPAN, last)
+        return int(edges[max(0, i - WINDOW)]), a, int(edges[end]), int(edges[min(end + WINDOW, last)])
 
     def slice(self, a: int, b: int) -> bytes:
-        return self.text[self.words.starts[a] : self.words.ends[b - 1]] if b > a else b""
+        return self.text[self.starts[a] : self.ends[b - 1]] if b > a else b""
+
+
+def _texts(part: pa.RecordBatch) -> list[_Text]:
+    lines = Lines(*column_bytes(part.column("text")))
+    return [_Text(lines, i) for i in range(part.num_rows)]
+
+
+def _lists(column: pa.ListArray, fields: list[str]) -> list[list[tuple]]:
+    """The structs of a list column as tuples, by row."""
+    sizes = column.value_lengths().to_pylist()
+    flat = column.flatten()
+    rows = zip(*[flat.field(f).to_pylist() for f in fields], strict=True)
+    return [[next(rows) for _ in range(n)] for n in sizes]
 
 
 _SLICE = "model long, ma int, mz int, before binary, body binary, after binary"
@@ -179,17 +193,12 @@ def _model_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """The text of each wanted run of a model, and what is around it."""
     names = ["model", "ma", "mz", "before", "body", "after"]
     for batch in batches:
-        rows, held = [], 0
-        for key, text, wants in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("wants"), strict=True):
-            one = _Text(text.as_py().encode())
-            for want in wants.as_py():
-                p, a, b, q = one.around(want["ma"], want["mz"])
-                rows.append((key, want["ma"], want["mz"], one.slice(p, a), one.slice(a, b), one.slice(b, q)))
-                held += sum(map(len, rows[-1][3:]))
-                if held > 4_000_000:
-                    yield _batch(rows, names)
-                    rows, held = [], 0
-        if rows:
+        for part in slices(batch, "text"):
+            rows = []
+            for key, one, wants in zip(part.column("key").to_pylist(), _texts(part), _lists(part.column("wants"), ["ma", "mz"]), strict=True):
+                for ma, mz in wants:
+                    p, a, b, q = one.around(ma, mz)
+                    rows.append((key, ma, mz, one.slice(p, a), one.slice(a, b), one.slice(b, q)))
             yield _batch(rows, names)
 
 
@@ -227,12 +236,12 @@ def agreeing(one: _Text, run: tuple[int, int], model: tuple[bytes, bytes, bytes]
 
 def spans_of(one: _Text, found: list[tuple[int, int]], least_words: int) -> list[tuple[int, int]]:
     """Byte spans of the passages that agreeing words add up to, with ``least_words`` at least."""
-    cover = np.zeros(len(one.words.starts) + 1, np.int64)
+    cover = np.zeros(len(one.starts) + 1, np.int64)
     for a, b in found:
         cover[a] += 1
         cover[b] -= 1
     edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]]))).reshape(-1, 2).tolist()
-    return [(int(one.words.starts[a]), int(one.words.ends[b - 1])) for a, b in edges if b - a >= least_words]
+    return [(int(one.starts[a]), int(one.ends[b - 1])) for a, b in edges if b - a >= least_words]
 
 
 _GROWN = "key long, spans array<struct<start:int,end:int>>"
@@ -241,18 +250,16 @@ _GROWN = "key long, spans array<struct<start:int,end:int>>"
 def _compared(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, text, runs in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("runs"), strict=True):
-                one, found = _Text(text.as_py().encode()), []
-                for r in runs.values:
-                    r = r.as_py()
-                    found += agreeing(one, (r["a"], r["z"]), (r["before"], r["body"], r["after"]))
-                spans = spans_of(one, found, least_words)
-                if spans:
-                    rows.append((key, [{"start": a, "end": b} for a, b in spans]))
-            if rows:
-                keys, spans = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["key", "spans"])
+            for part in slices(batch, "text"):
+                rows = []
+                for key, one, runs in zip(part.column("key").to_pylist(), _texts(part), _lists(part.column("runs"), ["a", "z", "before", "body", "after"]), strict=True):
+                    found = [pair for a, z, *model in runs for pair in agreeing(one, (a, z), tuple(model))]
+                    spans = spans_of(one, found, least_words)
+                    if spans:
+                        rows.append((key, [{"start": a, "end": b} for a, b in spans]))
+                if rows:
+                    keys, spans = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["key", "spans"])
 
     return run
 
