@@ -8,7 +8,8 @@ their discounted counts, and the mass the discount frees goes to the spelling la
 words share one distribution and the text's probability, with an end after its words, is a proper one.
 
 Word statistics are tables that grow with the corpus and are joined by word. Only the most frequent words, at
-most FREQUENT of at most MOST_BYTES bytes each, travel to every task.
+most FREQUENT of at most MOST_BYTES bytes each, travel to every task, and are known there by a hash of 64 bits.
+Expectation-maximisation counts every distinct training word once, so common words do not drown the others.
 
 Defined cases: a null, empty or blank text is its end alone; a null id counts as a training row; repeated rows
 are counted and scored one by one; an empty table gives an empty result; without training rows the end has
@@ -18,16 +19,16 @@ probability 1/2 and words come from the vocabulary alone; extra columns are igno
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entrack.llm.byte_words import ASCII_LOW, Words, column_bytes, slices
 from entrack.llm.common import Scratch, crc_mod, table
 
 FREQUENT, MOST_BYTES = 1 << 18, 64
@@ -38,11 +39,6 @@ _BASE = 0x100000001B3
 _MASK = (1 << 64) - 1
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words with A-Z lower-cased: on bytes, lower() and split() know ASCII letters and white space only."""
-    return text.encode("utf-8").lower().split() if isinstance(text, str) else []
-
-
 def coded(word: str) -> bytes:
     return bytes([_MARK]) + word.encode("utf-8", "surrogatepass")
 
@@ -223,22 +219,43 @@ def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _word_rows(part: pa.RecordBatch) -> tuple[Words, bytes]:
+    """The words of a slice of texts and its bytes, A-Z lower-cased."""
+    data, offsets = column_bytes(part.column("text"))
+    return Words(data, offsets, lower=True), data.tobytes().translate(ASCII_LOW)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, counts and words of several tables as one."""
+    hashes, counts, found = (np.concatenate(x) for x in zip(*parts, strict=True))
+    kinds, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+    return kinds, np.bincount(of, counts).astype(np.int64), found[first]
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a partition, handed on whenever they fill a table of bounded size."""
-    counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    held: dict[bool, list] = {True: [], False: []}
 
-    def rows() -> Iterator[pd.DataFrame]:
-        for train, found in counts.items():
-            if found:
-                yield pd.DataFrame({"word": [w.decode() for w in found], "c": list(found.values())}).assign(train=train)
-                found.clear()
+    def rows(at_least: int) -> Iterator[pa.RecordBatch]:
+        for train, parts in held.items():
+            if sum(len(x[0]) for x in parts) > at_least:
+                _, counts, found = _merged(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(found.tolist(), pa.binary()).cast(pa.string()), pa.array(counts), pa.array(np.full(len(counts), train))], ["word", "c", "train"])
+                parts.clear()
 
     for batch in batches:
-        for text, train in zip(batch["text"], batch["train"], strict=True):
-            counts[bool(train)].update(words(text))
-            if len(counts[True]) + len(counts[False]) > 400_000:
-                yield from rows()
-    yield from rows()
+        for part in slices(batch, "text"):
+            words, low = _word_rows(part)
+            train = part.column("train").to_numpy(zero_copy_only=False).astype(bool)[words.doc]
+            for flag in (True, False):
+                own = np.flatnonzero(train == flag)
+                if len(own):
+                    hashes, first, counts = np.unique(words.hashes[own], return_index=True, return_counts=True)
+                    found = np.empty(len(first), dtype=object)
+                    found[:] = [low[a:b] for a, b in zip(words.starts[own[first]].tolist(), words.ends[own[first]].tolist(), strict=True)]
+                    held[flag].append((hashes, counts, found))
+            yield from rows(1_000_000)
+    yield from rows(0)
 
 
 def _expectation(pieces: Pieces):
@@ -268,34 +285,43 @@ def _spelled(pieces: Pieces):
     return run
 
 
-def _postings(frequent: dict[bytes, int], values: np.ndarray):
+_POSTING = "rid long, doc_id long, word string, n long, known long, base double, score double"
+
+
+def _postings(frequent: np.ndarray, values: np.ndarray):
     """A row for each text with the sums over its frequent words, and a row for each other word of it.
 
-    ``values`` has the columns known, base and score of each frequent word, and zeros at the end.
+    ``frequent`` has the sorted hashes of the frequent words; ``values`` the columns known, base and score.
     """
-    zeros = len(values) - 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 40
+        names = ["rid", "doc_id", "word", "n", "known", "base", "score"]
         for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.iloc[lo : lo + 1000]
-                heads, rids, rare, times = [], [], [], []
-                for text in part["text"]:
-                    found = words(text)
-                    at = np.fromiter(map(frequent.get, found, repeat(zeros)), dtype=np.int64, count=len(found))
-                    known, base, score = values[at].sum(axis=0)
-                    for word, n in Counter([found[i] for i in np.flatnonzero(at == zeros)]).items():
-                        rids.append(rid)
-                        rare.append(word.decode())
-                        times.append(n)
-                    heads.append((rid, len(found), int(known), base, score))
-                    rid += 1
-                head = pd.DataFrame(heads, columns=["rid", "n", "known", "base", "score"])
-                yield head.assign(doc_id=part["doc_id"].astype("Int64").to_numpy(), word=np.full(len(head), None))
-                if rids:
-                    tail = pd.DataFrame({"rid": rids, "word": rare, "n": times})
-                    yield tail.assign(doc_id=0, known=0, base=0.0, score=0.0)
+            for part in slices(batch, "text"):
+                words, low = _word_rows(part)
+                m = part.num_rows
+                at = np.searchsorted(frequent, words.hashes)
+                at[at == len(frequent)] = 0
+                hit = frequent[at] == words.hashes if len(frequent) else np.zeros(len(at), dtype=bool)
+                sums = [np.bincount(words.doc[hit], values[at[hit], k], minlength=m).astype(np.float64) for k in range(3)]
+                rids = np.arange(rid, rid + m)
+                rid += m
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rids), part.column("doc_id"), pa.nulls(m, pa.string()), pa.array(np.diff(words.first)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names
+                )
+                rare = np.flatnonzero(~hit)
+                if not len(rare):
+                    continue
+                rare = rare[np.lexsort((words.hashes[rare], words.doc[rare]))]
+                doc, h = words.doc[rare], words.hashes[rare]
+                new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]))
+                times, one = np.diff(np.append(new, len(rare))), rare[new]
+                found = [low[a:b] for a, b in zip(words.starts[one].tolist(), words.ends[one].tolist(), strict=True)]
+                zero = np.zeros(len(one))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rids[doc[new]]), pa.array(zero.astype(np.int64)), pa.array(found, pa.binary()).cast(pa.string()), pa.array(times), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], names
+                )
 
     return run
 
@@ -312,7 +338,7 @@ def lattice_scores(
     scratch = Scratch(docs.sparkSession, "lattice")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     learns = F.coalesce(train, F.lit(True)) if train is not None else F.lit(True)
-    counted = rows.select("text", learns.alias("train")).mapInPandas(_count_words, "word string, c long, train boolean")
+    counted = rows.select("text", learns.alias("train")).mapInArrow(_count_words, "word string, c long, train boolean")
     every = counted.groupBy("word").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("train"), F.col("c")).otherwise(0)).alias("c"))
     every = scratch.save(every, "words")
 
@@ -350,25 +376,29 @@ def lattice_scores(
     scratch.drop("words")
 
     short = F.octet_length("word") <= MOST_BYTES
-    sizes = scored.where(short).groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.col("n").desc()).collect()
-    least, so_far = 1 << 62, 0
+    # bins of an eighth of a doubling, so the most frequent words have bins of their own whatever the corpus
+    bin_of = F.floor(F.log2("n") * 8).cast("int")
+    sizes = scored.where(short).groupBy(bin_of.alias("bin")).count().orderBy(F.col("bin").desc()).collect()
+    least, so_far = 1 << 30, 0
     for r in sizes:
         so_far += r["count"]
         if so_far > FREQUENT:
             break
-        least = r["n"]
-    top = scored.where(short & (F.col("n") >= least)).select("word", "known", "base", "score").toPandas()
-    values = np.vstack([top[["known", "base", "score"]].to_numpy(np.float64), np.zeros((1, 3))])
-    shipped = docs.sparkSession.sparkContext.broadcast(({w.encode(): i for i, w in enumerate(top["word"])}, values))
-
-    def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        least = r["bin"]
+    top = scored.where(short & (bin_of >= least)).select("word", "known", "base", "score").toArrow()
+    data, offsets = column_bytes(top.column("word"))
+    hashes = Words(data, offsets, lower=True).hashes
+    order = np.argsort(hashes)
+    values = np.stack([top.column(c).to_numpy().astype(np.float64) for c in ("known", "base", "score")], axis=1)
+    shipped = docs.sparkSession.sparkContext.broadcast((hashes[order], values[order]))
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _postings(*shipped.value)(batches)
 
-    parts = rows.mapInPandas(postings, "rid long, doc_id long, word string, n long, known long, base double, score double")
-    parts = scratch.save(parts, "postings")
+    parts = scratch.save(rows.mapInArrow(postings, _POSTING), "postings")
     heads = parts.where("word is null").select("rid", "doc_id", "n", "known", "base", "score", F.lit(1).alias("head"))
     rare = parts.where("word is not null").select("rid", "word", F.col("n").alias("times"))
-    tails = rare.join(scored.where(~(short & (F.col("n") >= least))).select("word", "known", "base", "score"), "word").select(
+    tails = rare.join(scored.where(~(short & (bin_of >= least))).select("word", "known", "base", "score"), "word").select(
         "rid",
         F.lit(None).cast("long").alias("doc_id"),
         F.lit(0).cast("long").alias("n"),
