@@ -9,7 +9,8 @@ for several; such coincidences are counted. Equal values are a copy, other consi
 
 Defined cases: null and empty texts match nothing on either side; an item of fewer than WINDOW tokens is one
 window of its own length; windows with fewer than PLAIN ordinary tokens say nothing and are not used, so an
-item without such a window matches nothing; rows that repeat an id or a text get the same matches once; a
+item without such a window, or of fewer than PLAIN tokens, matches nothing; a capitalised word that begins a
+sentence counts as a name; rows that repeat an id or a text get the same matches once; a
 null doc_id or item_id is kept as a null; empty tables give an empty result; extra columns are ignored.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entrack.llm.common import Scratch, table
+from entrack.llm.common import Scratch, fresh, table
 
 WINDOW, PLAIN, SHARE = 8, 4, 0.5
 #: Benchmark windows and flagged ids are broadcast up to so many rows; beyond, the join is a shuffle.
@@ -30,7 +31,7 @@ UNITS = (
     "percent usd eur gbp dollars euros pounds hours minutes seconds days weeks months years"
 ).split()
 _GAP = r"[\x20\x09-\x0D]"
-_NAME = rf"([\p{{Ll}},;:]{_GAP})(\p{{Lu}}\p{{Ll}}+(?:{_GAP}\p{{Lu}}\p{{Ll}}+)*)"
+_NAME = rf"(^|[\p{{Ll}},;:.!?]{_GAP}+)(\p{{Lu}}\p{{Ll}}+(?:{_GAP}\p{{Lu}}\p{{Ll}}+)*)"
 _NUMBER = r"([0-9]+(?:[.,:][0-9]+)*)"
 _MEASURE = rf"{_NUMBER}{_GAP}?({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))}|%|€|\$)($|[^\p{{L}}\p{{N}}])"
 _TOKEN = r"[\p{L}\p{N}\x{1}\x{2}\x{3}]+"
@@ -123,7 +124,7 @@ def leaked(
     hits = None
     for width in widths:
         own = bench.where(F.least(F.col("item_tokens"), F.lit(WINDOW)) == width)
-        plain = F.size(F.filter(F.slice("w", F.col("pos") + 1, width), lambda x: ~x.isin(_NUM, _UNIT, _NAM))) >= min(PLAIN, width)
+        plain = F.size(F.filter(F.slice("w", F.col("pos") + 1, width), lambda x: ~x.isin(_NUM, _UNIT, _NAM))) >= PLAIN
         marks = _windows(own, ["item_id", "item_key", "w", "item_tokens"], width).where(plain)
         marks = scratch.save(marks.select("item_id", "item_key", "item_tokens", F.col("pos").alias("item_pos"), "h"), f"marks-{width}")
         if marks.count() <= BROADCAST_ROWS:
@@ -209,14 +210,13 @@ def _with_slots(matches: DataFrame, slotted: DataFrame, rows: DataFrame, scratch
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that match no item, with all their columns."""
-    bad = leaked(docs, items, doc_id, text).select(F.col("doc_id").alias("_leak_id"), F.col("text_key").alias("_leak_key")).distinct()
+    """The rows of ``docs`` that match no item, with all their columns, whatever their names."""
+    leak, leak_key = fresh(docs, "leak_id"), fresh(docs, "leak_key")
+    bad = leaked(docs, items, doc_id, text).select(F.col("doc_id").alias(leak), F.col("text_key").alias(leak_key)).distinct()
     key = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    return docs.join(bad, docs[doc_id].cast("long").eqNullSafe(F.col("_leak_id")) & (key == F.col("_leak_key")), "left_anti")
+    return docs.join(bad, docs[doc_id].cast("long").eqNullSafe(F.col(leak)) & (key == F.col(leak_key)), "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "matched_tokens", "item_tokens", "slots", "reparameterised").distinct()
-
-
