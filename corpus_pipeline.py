@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entrack.llm import decontamination, line_dedup, minhash_forest, packing, toxicity
-from entrack.llm.common import Scratch, table
+from entrack.llm.common import Scratch, fresh, table
 
 #: Rows with a score from this one on are rejected.
 TOXIC = toxicity.THRESHOLD
@@ -36,8 +36,10 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the smallest id, of each group."""
     groups = minhash_forest.near_duplicates(docs)
-    gone = Scratch(spark, "gone").save(groups.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "ids")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone_id, gone_key = fresh(docs, "gone_id"), fresh(docs, "gone_key")
+    gone = groups.where("not kept").select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct()
+    gone = Scratch(spark, "gone").save(gone, "ids")
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col(gone_id)) & (F.xxhash64(docs["text"]) == F.col(gone_key)), "left_anti")
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Gives every document its length bucket and its batch."""
-    return packing.pack(docs, packing.word_count(F.col("text")))
+    return packing.pack(docs, packing.word_count(F.col("text")), spread=F.col("text"))
 
 
 STAGES = [
