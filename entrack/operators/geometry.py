@@ -6,7 +6,6 @@ boxes that share a cell are compared; a pair is compared in one cell only.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entrack.operators import graph
 from entrack.operators.lineage import cut
 
 
@@ -101,14 +101,16 @@ def overlapping(left: DataFrame, right: DataFrame, a: str, b: str, least: float,
     return met.where(here & (overlap(a, b) > 0)).withColumn("iou", F.round(iou(a, b), 9)).where(F.col("iou") >= least).drop("_c")
 
 
-def boxes_at(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
-    """The smallest box that holds each point; of equally small ones the nearest centre, then the smaller id.
-
-    ``points``: point_id, px, py; ``boxes``: box_id, x, y, w, h.
-    """
+def boxes_holding(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
+    """Every pair of a point and a box that holds it. ``points``: point_id, px, py; ``boxes``: box_id, x, y, w, h."""
     at = F.struct(F.floor(F.col("px") / cell).alias("cx"), F.floor(F.col("py") / cell).alias("cy"))
     met = points.withColumn("_c", at).join(boxes.withColumn("_c", _cells("", cell)), "_c")
-    held = met.where("px >= x and px <= x + w and py >= y and py <= y + h")
+    return met.where("px >= x and px <= x + w and py >= y and py <= y + h").drop("_c")
+
+
+def boxes_at(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
+    """The smallest box that holds each point; of equally small ones the nearest centre, then the smaller id."""
+    held = boxes_holding(points, boxes, cell)
     far = F.pow(F.col("x") + F.col("w") / 2 - F.col("px"), F.lit(2.0)) + F.pow(F.col("y") + F.col("h") / 2 - F.col("py"), F.lit(2.0))
     w = Window.partitionBy("point_id").orderBy(F.round(F.col("w") * F.col("h"), 9), F.round(far, 9), "box_id")
     return held.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("point_id", "box_id")
@@ -153,14 +155,19 @@ def without_centre_matches(base: DataFrame, extra: DataFrame, cell: float) -> Da
     return base.withColumn("origin", F.lit("base")).unionByName(kept.withColumn("origin", F.lit("extra")))
 
 
+#: Rounds of the greedy operators; what is open then is finished group by group.
+ROUNDS = 6
+
+
 def greedy_pairs(pairs: DataFrame, group: list[str], left: str, right: str, score: str) -> DataFrame:
-    """One-to-one matches inside each group, the best score first; ties by left, then right.
+    """One-to-one matches inside each group, the best score first; ties by left, then right. Sides are longs.
 
     Rounds of mutually best pairs: a pair that is the best of both its sides is final, and its sides' other
-    pairs go. This gives the same result as walking through the sorted pairs, without a sequential pass.
+    pairs go. This gives the same result as walking through the sorted pairs, without a sequential pass. Chains of
+    falling scores that are open after ROUNDS rounds are walked through, each set of pairs that hang together alone.
     """
     chosen, left_over = None, pairs
-    while True:
+    for _ in range(ROUNDS):
         by_left = Window.partitionBy(*group, left).orderBy(F.col(score).desc(), left, right)
         by_right = Window.partitionBy(*group, right).orderBy(F.col(score).desc(), left, right)
         marked = cut(left_over.withColumn("_l", F.row_number().over(by_left)).withColumn("_r", F.row_number().over(by_right)))
@@ -169,6 +176,38 @@ def greedy_pairs(pairs: DataFrame, group: list[str], left: str, right: str, scor
             return chosen if chosen is not None else final
         chosen = final if chosen is None else chosen.unionByName(final)
         left_over = marked.drop("_l", "_r").join(final.select(*group, left), [*group, left], "left_anti").join(final.select(*group, right), [*group, right], "left_anti")
+    left_over = cut(left_over.select(*group, left, right, score))
+    if left_over.isEmpty():
+        return chosen
+    return chosen.unionByName(_walked(left_over, group, left, right, score))
+
+
+def _walked(pairs: DataFrame, group: list[str], left: str, right: str, score: str) -> DataFrame:
+    """Greedy matches of the open pairs, one connected set after another."""
+    a, b = F.xxhash64(*group, F.lit(0), left), F.xxhash64(*group, F.lit(1), right)
+    joined = pairs.withColumn("_a", a).withColumn("_b", b)
+    nodes = joined.select(F.col("_a").alias("node")).union(joined.select("_b")).distinct()
+    sets = graph.groups(nodes, joined.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    rows = joined.join(sets.select(F.col("node").alias("_a"), F.col("group_id").alias("_g")), "_a").drop("_a", "_b").withColumn("_down", -F.col(score))
+    names = [*group, left, right, score]
+
+    def rule(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, taken = None, (set(), set())
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if row[0] != current:
+                    current, taken = row[0], (set(), set())
+                u, v = row[-3], row[-2]
+                if u not in taken[0] and v not in taken[1]:
+                    taken[0].add(u)
+                    taken[1].add(v)
+                    out.append(row[1:])
+            yield pd.DataFrame(out, columns=names)
+
+    types = dict(pairs.dtypes)
+    dealt = rows.repartition("_g").sortWithinPartitions("_g", "_down", left, right).select(F.col("_g").alias("of_set"), *names)
+    return dealt.mapInPandas(rule, ", ".join(f"{n} {types[n]}" for n in names))
 
 
 def _clip(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
@@ -225,7 +264,7 @@ def suppressed(boxes: DataFrame, frame: list[str], most: float, cell: float) ->
     stronger = met.where("aconf > bconf or (aconf = bconf and aid < bid)").select(*frame, F.col("aid").alias("strong"), F.col("bid").alias("weak"))
     stronger = cut(stronger)
     kept, open_boxes, open_pairs = None, boxes.select(*frame, "box_id"), stronger
-    while True:
+    for _ in range(ROUNDS):
         stay = cut(open_boxes.join(open_pairs.select(*frame, F.col("weak").alias("box_id")).distinct(), [*frame, "box_id"], "left_anti"))
         kept = stay if kept is None else kept.unionByName(stay)
         gone = open_pairs.join(stay.select(*frame, F.col("box_id").alias("strong")), [*frame, "strong"]).select(*frame, F.col("weak").alias("box_id")).distinct()
@@ -234,7 +273,30 @@ def suppressed(boxes: DataFrame, frame: list[str], most: float, cell: float) ->
             return boxes.join(kept, [*frame, "box_id"])
         strong, weak = open_boxes.withColumnRenamed("box_id", "strong"), open_boxes.withColumnRenamed("box_id", "weak")
         open_pairs = cut(open_pairs.join(strong, [*frame, "strong"], "left_semi").join(weak, [*frame, "weak"], "left_semi"))
+    rest = boxes.join(open_boxes, [*frame, "box_id"]).select(*frame, "box_id", "conf")
+    return boxes.join(kept.unionByName(_settled(rest, open_pairs, frame)), [*frame, "box_id"])
 
 
-def quarter_turns(degrees: float) -> int:
-    return math.floor(degrees / 90 + 0.5) % 4
+def _settled(rest: DataFrame, pairs: DataFrame, frame: list[str]) -> DataFrame:
+    """The open boxes that stay, the strongest first in each connected set. ``pairs``: frame, strong, weak."""
+    key = lambda c: F.xxhash64(*frame, c)
+    sets = graph.groups(rest.select(key("box_id").alias("node")), pairs.select(key("strong").alias("a"), key("weak").alias("b")))
+    beaten = pairs.groupBy(*frame, F.col("weak").alias("box_id")).agg(F.collect_list("strong").alias("strong"))
+    rows = rest.withColumn("node", key("box_id")).join(sets, "node").join(beaten, [*frame, "box_id"], "left").withColumn("_down", -F.col("conf"))
+    names = [*frame, "box_id"]
+
+    def rule(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, stays = None, set()
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if row[0] != current:
+                    current, stays = row[0], set()
+                if row[-1] is None or stays.isdisjoint(row[-1]):
+                    stays.add(row[-2])
+                    out.append(row[1:-1])
+            yield pd.DataFrame(out, columns=names)
+
+    types = dict(rest.dtypes)
+    dealt = rows.repartition("group_id").sortWithinPartitions("group_id", "_down", "box_id").select("group_id", *names, "strong")
+    return dealt.mapInPandas(rule, ", ".join(f"{n} {types[n]}" for n in names))

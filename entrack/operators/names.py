@@ -18,14 +18,33 @@ def length_bound(query: Column, key: Column) -> Column:
     return 1.0 - F.abs(F.length(query) - F.length(key)) / longest
 
 
+#: Query sets are sent to the names up to so many rows; beyond, both sides are dealt into blocks.
+SENT_ROWS = 100_000
+
+
+def _asked(names: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every query beside every name: a stated set of queries against all rows."""
+    usable = queries.where(F.length("query") > 0)
+    if usable.count() <= SENT_ROWS:
+        return names.join(F.broadcast(usable))
+    blocks = 32
+    dealt = usable.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    return names.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_b").drop("_b")
+
+
 def fuzzy_matches(queries: DataFrame, names: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id, score): the k most similar names of each query; ties by position.
 
     ``queries``: query_id, query; ``names``: pos, id, key. Names that share a key are compared once: the
-    distance is worked out on the distinct keys. Queries are a stated set that is sent to the keys.
+    distance is worked out on the distinct keys, and only on those whose length lets them reach the list.
     """
     keys = names.groupBy("key").agg(F.min("pos").alias("first"))
-    pairs = keys.join(F.broadcast(queries), F.length("query") > 0, "inner").select("query_id", "key", similarity(F.col("query"), F.col("key")).alias("score"))
+    # keys as long as the query already give a floor that the list's last score reaches
+    even = keys.withColumn("size", F.length("key")).join(_sized(queries), "size").select("query_id", similarity(F.col("query"), F.col("key")).alias("score")).distinct()
+    floor = even.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))).where(F.col("n") == k).select("query_id", F.col("score").alias("floor"))
+    bounded = queries.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    pairs = _asked(keys, bounded).where(length_bound(F.col("query"), F.col("key")) >= F.col("floor") - 1e-9)
+    pairs = pairs.select("query_id", "key", similarity(F.col("query"), F.col("key")).alias("score"))
     # no key beyond the k-th distinct score can reach the list
     close = pairs.withColumn("step", F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))).where(F.col("step") <= k)
     found = close.join(names, "key")
@@ -33,6 +52,10 @@ def fuzzy_matches(queries: DataFrame, names: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "id", "pos", "score")
 
 
+def _sized(queries: DataFrame) -> DataFrame:
+    return queries.where(F.length("query") > 0).withColumn("size", F.length("query"))
+
+
 def prefix_tokens(query: Column, key: Column) -> Column:
     """Whether every query token begins a name token, taken greedily, each name token once."""
     state = F.aggregate(
@@ -58,7 +81,7 @@ def tiered_search(queries: DataFrame, names: DataFrame, k: int) -> DataFrame:
     Inside the first two tiers the shorter name comes first, then the name, then its position. The fuzzy
     tier takes its k matches before those of the other tiers are left out, so a list may stay short.
     """
-    pairs = names.join(F.broadcast(queries), F.length("query") > 0, "inner")
+    pairs = _asked(names, queries)
     tier = F.when(prefix_tokens(F.col("query"), F.col("key")), 0).when(F.col("key").contains(F.col("query")), 1)
     exact = pairs.withColumn("tier", tier).where(F.col("tier").isNotNull())
     order = Window.partitionBy("query_id").orderBy("tier", F.length("key"), "key", "pos")

@@ -69,10 +69,26 @@ def sessions(rows: DataFrame, keys: list[str], at: str, tie: str, gap: float) ->
     return rows.withColumn("_j", jumped).withColumn("session", F.sum("_j").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_j")
 
 
-def spread(rows: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+def places(rows: DataFrame, keys: list[str], order: str, ranges: int = 256) -> DataFrame:
+    """Adds ``_n``, each row's place in its group by the numeric column ``order`` from 0, and ``_c``, the group's size.
+
+    Places are counted inside ranges of the column and shifted by the sizes of the ranges before, so a group with
+    most of the rows is worked on in ``ranges`` parts.
+    """
+    ends = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    span = max(1.0, ((ends["hi"] or 0) - (ends["lo"] or 0) + 1) / ranges)
+    dealt = rows.withColumn("_r", F.floor((F.col(order) - F.lit(ends["lo"] or 0)) / span))
+    sizes = dealt.groupBy(*keys, "_r").agg(F.count("*").alias("_s"))
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_s").over(w.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*keys, "_r", before.alias("_before"), F.sum("_s").over(w).alias("_c"))
+    local = F.row_number().over(Window.partitionBy(*keys, "_r").orderBy(order)) - 1
+    return dealt.withColumn("_l", local).join(starts, [*keys, "_r"]).withColumn("_n", F.col("_before") + F.col("_l")).drop("_r", "_l", "_before")
+
+
+def spread(rows: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
     """At most ``most`` rows of each group, evenly spread over it."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    marked = rows.withColumn("_n", F.row_number().over(w) - 1).withColumn("_c", F.count("*").over(Window.partitionBy(*keys)))
+    marked = places(rows, keys, order)
     step = F.greatest(F.lit(1), F.floor(F.col("_c") / most))
     return marked.where((F.col("_n") % step == 0) & (F.floor(F.col("_n") / step) < most)).drop("_n", "_c")
 
@@ -138,14 +154,17 @@ def sequential(rows: DataFrame, keys: list[str], order: list[str], start: Callab
 
 
 def admitted(requests: DataFrame, keys: list[str], per_minute: int, per_day: int) -> DataFrame:
-    """Adds the answer of a gate that counts accepted requests only. ``requests``: keys, event_id, at (seconds)."""
+    """Adds the answer of a gate that counts accepted requests only. ``requests``: keys, event_id, at (seconds), paused.
+
+    One key's requests are sequential by nature: take the narrowest key that the limits are meant for.
+    """
 
     def step(state: dict, row: tuple) -> tuple:
         recent = state["recent"] = [t for t in state["recent"] if t > row.at - 60]
         day = int(row.at // 86400)
         if state["day"] != day:
             state.update(day=day, count=0)
-        answer = "busy" if len(recent) >= per_minute else "daily-limit" if state["count"] >= per_day else "ok"
+        answer = "paused" if row.paused else "busy" if len(recent) >= per_minute else "daily-limit" if state["count"] >= per_day else "ok"
         if answer == "ok":
             recent.append(row.at)
             state["count"] += 1
@@ -153,4 +172,4 @@ def admitted(requests: DataFrame, keys: list[str], per_minute: int, per_day: int
 
     types = dict(requests.dtypes)
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "event_id long", "answer string"])
-    return sequential(requests.select(*keys, "event_id", "at"), keys, ["at", "event_id"], lambda: {"recent": [], "day": None, "count": 0}, step, schema)
+    return sequential(requests.select(*keys, "event_id", "at", "paused"), keys, ["at", "event_id"], lambda: {"recent": [], "day": None, "count": 0}, step, schema)

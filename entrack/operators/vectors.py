@@ -59,22 +59,20 @@ def _tile(scale: float):
         entity, item, pos = (index[c].to_numpy(np.int64) for c in ("entity_id", "item_id", "pos"))
         order = np.argsort(entity, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(entity[order]) != 0])
+        sizes, places = np.diff(np.append(starts, len(order))), np.arange(len(order))
         out = []
         for lo in range(0, len(queries), 256):
             part = queries.iloc[lo : lo + 256]
             score = np.round(np.stack(part["vec"].to_numpy()).astype(np.float64) @ vectors.T * scale, SCORE_DIGITS)[:, order]
             own = part["item_id"].to_numpy(np.int64)
             score[item[order][None, :] == own[:, None]] = -np.inf
-            bounds = np.r_[starts, len(order)]
-            for e in range(len(starts)):
-                cut = score[:, bounds[e] : bounds[e + 1]]
-                at = cut.argmax(axis=1)  # the earliest of equal scores
-                top = cut[np.arange(len(cut)), at]
-                where = order[bounds[e] + at]
-                seen = np.isfinite(cut)
-                first = order[bounds[e] + seen.argmax(axis=1)]
-                keep = np.isfinite(top)
-                out.append(pd.DataFrame({"query_id": own[keep], "variant": part["variant"].to_numpy()[keep], "entity_id": entity[order[starts[e]]], "item_id": item[where][keep], "pos": pos[where][keep], "first_pos": pos[first][keep], "score": top[keep]}))
+            top = np.maximum.reduceat(score, starts, axis=1)
+            # the earliest of equal scores, and the earliest item that counts
+            at = np.minimum.reduceat(np.where(score == np.repeat(top, sizes, axis=1), places, len(order)), starts, axis=1)
+            first = np.minimum.reduceat(np.where(np.isfinite(score), places, len(order)), starts, axis=1)
+            q, e = np.nonzero(np.isfinite(top))
+            best, seen = order[at[q, e]], order[first[q, e]]
+            out.append(pd.DataFrame({"query_id": own[q], "variant": part["variant"].to_numpy()[q], "entity_id": entity[best], "item_id": item[best], "pos": pos[best], "first_pos": pos[seen], "score": top[q, e]}))
         return pd.concat(out, ignore_index=True)
 
     return best

@@ -18,8 +18,11 @@ def _names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("id"), X.name_key(F.col("p_name")).alias("key"))
 
 
-def _searches(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(SEARCHES)), "query_id int, raw string")
+def _searches(spark: SparkSession, sf: str) -> DataFrame:
+    """The fixed searches, and the names of all parts whose id is divisible by 100 without their last letter."""
+    rows = spark.createDataFrame(list(enumerate(SEARCHES)), "query_id long, raw string")
+    cut = F.expr("substring(p_name, 1, length(p_name) - 1)")
+    rows = rows.unionByName(table(spark, sf, "part").where("p_partkey % 100 = 0").select((F.col("p_partkey") + 1000).alias("query_id"), cut.alias("raw")))
     return rows.select("query_id", X.name_key(F.substring("raw", 1, 60)).alias("query"))
 
 
@@ -29,17 +32,17 @@ def name_key(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_match(spark: SparkSession, sf: str) -> DataFrame:
-    return N.fuzzy_matches(_searches(spark), _names(spark, sf), 5)
+    return N.fuzzy_matches(_searches(spark, sf), _names(spark, sf), 5)
 
 
 def name_accepted(spark: SparkSession, sf: str) -> DataFrame:
     """The best fuzzy answer, accepted from 0.85 on."""
-    best = N.fuzzy_matches(_searches(spark), _names(spark, sf), 1)
+    best = N.fuzzy_matches(_searches(spark, sf), _names(spark, sf), 1)
     return best.select("query_id", "id", "score", (F.col("score") >= 0.85).alias("accepted"))
 
 
 def name_search_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    return N.tiered_search(_searches(spark), _names(spark, sf), 8)
+    return N.tiered_search(_searches(spark, sf), _names(spark, sf), 8)
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,7 +148,7 @@ def prices_and_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _KEY = "trim(regexp_replace(replace(lower({0}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
-_SEARCH = "searches AS (SELECT query_id, " + _KEY.format("substr(raw, 1, 60)") + " AS query FROM (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(SEARCHES)) + ") t(query_id, raw))"
+_SEARCH = "searches AS (SELECT query_id, " + _KEY.format("substr(raw, 1, 60)") + " AS query FROM (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(SEARCHES)) + ") t(query_id, raw) UNION ALL SELECT p_partkey + 1000, " + _KEY.format("substr(substr(p_name, 1, length(p_name) - 1), 1, 60)") + " FROM part WHERE p_partkey % 100 = 0)"
 _FUZZY = f"""{_SEARCH}, names AS (SELECT p_partkey AS pos, p_partkey AS id, {_KEY.format("p_name")} AS key FROM part),
 sim AS (SELECT query_id, id, pos, CASE WHEN query = key THEN 1.0 ELSE round(greatest(0.0, 1.0 - CAST(levenshtein(query, key) AS DOUBLE) / greatest(1, length(query), length(key))), 9) END AS score
   FROM searches JOIN names ON length(query) > 0)"""

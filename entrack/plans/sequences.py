@@ -72,7 +72,7 @@ def session_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spread_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return S.spread(events(spark, sf), ["event_type"], ["event_id"], 25).select("event_type", "event_id")
+    return S.spread(events(spark, sf), ["event_type"], "event_id", 25).select("event_type", "event_id")
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,8 +116,9 @@ def corrections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def admission_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Two requests a minute and four a day are accepted for each type; waiting ones do not count."""
-    return S.admitted(events(spark, sf), ["event_type"], 2, 40)
+    """Each user's requests: one a minute and three a day are accepted, none while paused; waiting ones do not count."""
+    e = events(spark, sf).withColumn("paused", F.col("k") >= 90)
+    return S.admitted(e, ["user_id"], 1, 3)
 
 
 _E = """e AS (SELECT event_id, user_id, event_type, round(value, 6) AS value, round(epoch_us(ts) / 1e6, 6) AS tm, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"""
@@ -159,13 +160,13 @@ QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY state = 'voting',
 SELECT user_id, day, CASE WHEN n_sure >= 2 AND low = high THEN low END AS entity_id, CASE WHEN n_sure >= 2 AND low = high THEN members - n_sure ELSE 0 END AS propagated FROM g""",
     "detect_reason": f"WITH {_E} SELECT event_id, CASE WHEN lag(tm) OVER w IS NULL THEN 'first' WHEN event_type = 'click' THEN 'settled' WHEN tm - lag(tm) OVER w >= 40000 THEN 'refresh' END AS reason FROM e WINDOW w AS (PARTITION BY user_id ORDER BY tm, event_id)",
     "corrections": f"WITH {_E} SELECT user_id, arg_min(event_type, event_id) AS guess, arg_max(event_type, event_id) AS said FROM e GROUP BY user_id HAVING guess <> said",
-    "admission_gate": f"""WITH RECURSIVE {_E}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY tm, event_id) AS i FROM e),
+    "admission_gate": f"""WITH RECURSIVE {_E}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tm, event_id) AS i FROM e),
 g AS (
-  SELECT event_type, event_id, i, tm, [tm] AS recent, floor(tm / 86400) AS day, 1 AS cnt, 'ok' AS answer FROM n WHERE i = 1
+  SELECT user_id, event_id, i, CASE WHEN k >= 90 THEN [] ELSE [tm] END AS recent, floor(tm / 86400) AS day, CASE WHEN k >= 90 THEN 0 ELSE 1 END AS cnt, CASE WHEN k >= 90 THEN 'paused' ELSE 'ok' END AS answer FROM n WHERE i = 1
   UNION ALL
-  SELECT event_type, event_id, i, tm, CASE WHEN answer = 'ok' THEN list_append(rec, tm) ELSE rec END, nday, CASE WHEN answer = 'ok' THEN c0 + 1 ELSE c0 END, answer FROM (
-    SELECT *, CASE WHEN len(rec) >= 2 THEN 'busy' WHEN c0 >= 40 THEN 'daily-limit' ELSE 'ok' END AS answer FROM (
-      SELECT n.event_type, n.event_id, n.i, n.tm, list_filter(g.recent, lambda t: t > n.tm - 60) AS rec, floor(n.tm / 86400) AS nday, CASE WHEN g.day = floor(n.tm / 86400) THEN g.cnt ELSE 0 END AS c0
-      FROM g JOIN n ON n.event_type = g.event_type AND n.i = g.i + 1) x) y
-) SELECT event_type, event_id, answer FROM g""",
+  SELECT user_id, event_id, i, CASE WHEN answer = 'ok' THEN list_append(rec, tm) ELSE rec END, nday, CASE WHEN answer = 'ok' THEN c0 + 1 ELSE c0 END, answer FROM (
+    SELECT *, CASE WHEN k >= 90 THEN 'paused' WHEN len(rec) >= 1 THEN 'busy' WHEN c0 >= 3 THEN 'daily-limit' ELSE 'ok' END AS answer FROM (
+      SELECT n.user_id, n.event_id, n.i, n.tm, n.k, list_filter(g.recent, lambda t: t > n.tm - 60) AS rec, floor(n.tm / 86400) AS nday, CASE WHEN g.day = floor(n.tm / 86400) THEN g.cnt ELSE 0 END AS c0
+      FROM g JOIN n ON n.user_id = g.user_id AND n.i = g.i + 1) x) y
+) SELECT user_id, event_id, answer FROM g""",
 }
