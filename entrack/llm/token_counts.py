@@ -6,8 +6,13 @@ piece_count[i - start] then gives the exact number of tokens of text[:i] for eve
 budget questions are answered from the stored table and no text is encoded again.
 
 Piece tables come from a dynamic program over the vocabulary's merges: the last token of each prefix is
-the one that may follow the last token of what is before it. Texts with characters whose normalisation
-is not one to one, or with special strings, go through the library chunk by chunk between white space.
+the one that may follow the last token of what is before it. Texts whose normalisation is not one to one are
+normalised cluster by cluster, a base character with what composes onto it, and every character of the text keeps
+the place where its normal form ends; a prefix that ends inside a cluster continues the program from the cluster's
+beginning with the part's own normal form. Special strings are one token once they are complete.
+
+The increments are part of the result, so any budget is answered from them; a run of any length without white
+space costs time in proportion to its length.
 
 Defined cases: a null or empty text has 0 bytes, 0 tokens and an empty table; nulls elsewhere and extra
 columns change nothing; repeated rows give repeated results; an empty table gives an empty result.
@@ -17,6 +22,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
@@ -24,6 +31,7 @@ from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +44,13 @@ PLAIN = r"[\t-\r\x20-\x7e\xa1-\xa7\xa9-\xff‐-‧一-龥ぁ-ゖ]*"
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ一-龥ぁ-ゖ", "0-9²³¹¼-¾"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r {_LETTERS}{_NUMBERS}]+|[\t-\r ]+"
 _SPACE = "\t\n\x0b\x0c\r "
+#: The same pattern over all of Unicode, and its white space.
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ANY_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+")
+_LETTER, _BLANKS = regex.compile(r"\p{L}"), regex.compile(rf"[{_BLANK}]")
+#: Contractions that begin like two pieces.
+_LATE = ("'re", "'ve", "'ll")
+_NEAR = 64
 END = "</w>"
 CACHE_PIECES = 500_000
 _SLICE = 1000
@@ -110,37 +125,82 @@ class MergeTable:
         ending[i] that number when the word ends there. A token may come last where it follows the last
         token of what is before it; exactly one does.
         """
-        kinds, follows, longest, alphabet = self.kinds, self.follows, self.longest, self.alphabet
         last, inner, ending, before = [""], [0], [0], ""
         for piece in pieces:
-            if piece.isascii():
-                s, ends = piece, range(1, len(piece) + 1)
-            else:
-                coded = [ch.encode("utf-8", "surrogatepass") for ch in piece]
-                s, ends = "".join(alphabet[b] for c in coded for b in c), list(accumulate(map(len, coded)))
+            s, ends = self.coded(piece)
             shared = len(commonprefix((before, s)))
             del last[shared + 1 :], inner[shared + 1 :], ending[shared + 1 :]
-            for i in range(shared + 1, len(s) + 1):
-                needed, closed = 3, 0
-                for n in range(min(longest[s[i - 1]], i), 0, -1):
-                    t = s[i - n : i]
-                    kind = kinds.get(t)
-                    if kind is None or not (kind := kind & needed):
-                        continue
-                    left = last[i - n]
-                    if kind & 1 and follows(left, t):
-                        last.append(t)
-                        inner.append(inner[i - n] + 1)
-                        needed -= 1
-                    if kind & 2 and follows(left, t + END):
-                        closed = inner[i - n] + 1
-                        needed -= 2
-                    if not needed:
-                        break
-                ending.append(closed)
+            self.walk(s, last, inner, ending)
             before = s
             yield [ending[i] for i in ends]
 
+    def coded(self, piece: str) -> tuple[str, list[int]]:
+        """A piece's bytes as symbols, and where each character ends."""
+        if piece.isascii():
+            return piece, list(range(1, len(piece) + 1))
+        coded = [ch.encode("utf-8", "surrogatepass") for ch in piece]
+        return "".join(self.alphabet[b] for c in coded for b in c), list(accumulate(map(len, coded)))
+
+    def walk(self, s: str, last: list[str], inner: list[int], ending: list[int]) -> None:
+        """Continues the program to the end of s from the beginning that the three lists cover."""
+        kinds, follows, longest = self.kinds, self.follows, self.longest
+        for i in range(len(last), len(s) + 1):
+            needed, closed = 3, 0
+            for n in range(min(longest[s[i - 1]], i), 0, -1):
+                t = s[i - n : i]
+                kind = kinds.get(t)
+                if kind is None or not (kind := kind & needed):
+                    continue
+                left = last[i - n]
+                if kind & 1 and follows(left, t):
+                    last.append(t)
+                    inner.append(inner[i - n] + 1)
+                    needed -= 1
+                if kind & 2 and follows(left, t + END):
+                    closed = inner[i - n] + 1
+                    needed -= 2
+                if not needed:
+                    break
+            ending.append(closed)
+
+    def continued(self, s: str, at: int, last: list[str], inner: list[int], more: str) -> int:
+        """Tokens of s[:at] with other symbols behind it, from the program's lists for s."""
+        start = max(0, at - max(self.longest.values()))
+        near_last, near_inner, ends = last[start : at + 1], inner[start : at + 1], [0] * (at - start + 1)
+        self.walk(s[start:at] + more, near_last, near_inner, ends)
+        return ends[-1]
+
+
+class Clusters:
+    """Cuts texts into clusters that normalise by themselves."""
+
+    def __init__(self):
+        pairs = (unicodedata.decomposition(chr(c)).split() for c in range(sys.maxunicode + 1))
+        tails = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")}
+        jamo = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+        #: Characters without a combining class that may still join the one before.
+        self.tails = {c for c in tails if not unicodedata.combining(c)} | jamo
+        self.forms: dict[str, str] = {}
+
+    def cut(self, text: str) -> list[str]:
+        out: list[str] = []
+        for c in text:
+            if out and (unicodedata.combining(c) or c in self.tails):
+                out[-1] += c
+            else:
+                out.append(c)
+        return out
+
+    def form(self, cluster: str) -> str:
+        """The normal form: composed, white space as a space, lower case character by character."""
+        known = self.forms.get(cluster)
+        if known is None:
+            if len(self.forms) > 200_000:
+                self.forms.clear()
+            known = "".join(" " if _BLANKS.match(c) else c.lower() for c in unicodedata.normalize("NFC", cluster))
+            self.forms[cluster] = known
+        return known
+
 
 class PrefixCounter:
     """Turns texts into per-character increments of the token count."""
@@ -153,11 +213,10 @@ class PrefixCounter:
         self.plain = re.compile(PLAIN)
         self.pieces = re.compile(PIECES)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
+        self.clusters: Clusters | None = None
         self.cache: dict[str, bytes] = {}
 
-    def count(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
     def _learn(self, pieces: Iterable[str]) -> None:
         new = [p for p in pieces if p not in self.cache]
         if not new:
@@ -169,21 +228,76 @@ class PrefixCounter:
         self.cache.update((p, bytes(2 * len(p))) for p in spaces)
         words = sorted(p for p in new if p[0] not in _SPACE)
         for p, counts in zip(words, self.merges.prefix_counts(words), strict=True):
+            if p in _LATE:  # its beginning is a sign and a letter, which are two pieces
+                counts = [counts[0], counts[0] + next(self.merges.prefix_counts([p[1]]))[0], counts[2]]
             self.cache[p] = pack([b - a for a, b in zip([0, *counts], counts, strict=False)])
 
+    def _size(self, piece: str) -> int:
+        self._learn([piece])
+        return int(np.frombuffer(self.cache[piece], "<i2").sum(dtype=np.int64))
+
     def _rare(self, text: str) -> bytes:
-        """Increments of a text that is not plain: the library encodes each prefix of each chunk."""
-        out, at = [], 0
-        for m in re.finditer(r"[^\t-\r ]+", text):
-            out.append(bytes(2 * (m.start() - at)))
-            chunk = m.group()
-            counts: list[int] = []
-            for lo in range(0, len(chunk), 256):
-                counts += self.count([chunk[:n] for n in range(lo + 1, min(lo + 256, len(chunk)) + 1)])
-            out.append(pack([b - a for a, b in zip([0, *counts], counts, strict=False)]))
+        """Increments of a text that is not plain."""
+        counts: list[int] = []
+        at, base = 0, 0
+        for m in self.specials.finditer(text):
+            own = self._clustered(text[at : m.end() - 1])
+            counts += [base + c for c in own]
+            base += (own[m.start() - at - 1] if m.start() > at else 0) + 1
+            counts.append(base)
             at = m.end()
-        out.append(bytes(2 * (len(text) - at)))
-        return b"".join(out)
+        counts += [base + c for c in self._clustered(text[at:])]
+        return pack([b - a for a, b in zip([0, *counts], counts, strict=False)])
+
+    def _clustered(self, text: str) -> list[int]:
+        """The count at every prefix of a text without special strings."""
+        self.clusters = self.clusters or Clusters()
+        parts = self.clusters.cut(text)
+        forms = [self.clusters.form(c) for c in parts]
+        flat = "".join(forms)
+        found = list(ANY_PIECE.finditer(flat))
+        self._learn([m.group() for m in found])
+        upto, reached, total = [0] * (len(flat) + 1), 0, 0
+        begins = [0] * (len(flat) + 1)  # by place: where the piece before it begins, or the place itself
+        for m in found:
+            a, b = m.span()
+            for i in range(reached, a):
+                upto[i + 1], begins[i + 1] = total, i + 1
+            for i, step in enumerate(np.frombuffer(self.cache.get(m.group()) or self._again(m.group()), "<i2").tolist()):
+                total += step
+                upto[a + i + 1], begins[a + i + 1] = total, a
+            reached = b
+        for i in range(reached, len(flat)):
+            upto[i + 1], begins[i + 1] = total, i + 1
+        out, at, held = [], 0, (-1, "", [], [], [])
+        for part, form in zip(parts, forms, strict=True):
+            for k in range(1, len(part)):
+                begin = begins[at]
+                inside = self.clusters.form(part[:k])
+                if at - begin <= _NEAR:
+                    tokens = sum(self._size(p) for p in ANY_PIECE.findall(flat[begin:at] + inside))
+                else:
+                    if held[0] != begin:
+                        end = next(m.end() for m in found if m.start() == begin)
+                        s, ends = self.merges.coded(flat[begin:end])
+                        held = (begin, s, ends, [""], [0])
+                        self.merges.walk(s, held[3], held[4], [0])
+                    same = bool(_LETTER.match(flat[at - 1]))
+                    n = 0
+                    while n < len(inside) and bool(_LETTER.match(inside[n])) == same and ANY_PIECE.match(inside[n]) and (same or not regex.match(r"\p{N}", inside[n])):
+                        n += 1
+                    symbols = self.merges.coded(inside[:n])[0]
+                    tokens = self.merges.continued(held[1], held[2][at - begin - 1], held[3], held[4], symbols)
+                    tokens += sum(self._size(p) for p in ANY_PIECE.findall(inside[n:]))
+                out.append(upto[begin] + tokens)
+            at += len(form)
+            out.append(upto[at])
+        return out
+
+    def _again(self, piece: str) -> bytes:
+        """A piece that a full cache has dropped."""
+        self._learn([piece])
+        return self.cache[piece]
 
     def _cut(self, texts: list[str]) -> list[list[str] | None]:
         """The pieces of each text; None for a text that is not plain."""
@@ -269,8 +383,8 @@ TOKEN_LIMIT = 2048
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = prefix_token_counts(table(spark, sf_dir, "documents"), vocabulary_path(), TOKEN_LIMIT, keep_table=False)
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fit_chars")
+    counted = prefix_token_counts(table(spark, sf_dir, "documents"), vocabulary_path(), TOKEN_LIMIT, keep_table=True)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fit_chars", "prefix_increments")
 
 
 ORACLE_SQL = None
