@@ -5,8 +5,8 @@ of its words and word beginnings, and the document's score is their noisy-or, 1
 sentence is enough, and a document without one stays low however long it is. Fitting the noisy-or to document
 labels teaches the sentence scores, which then locate the offending sentences.
 
-The classifier is fitted on at most SAMPLE labelled documents, chosen by a hash of their id, with at most
-FEATURES features, those most associated with the label over the sample. Word beginnings let it recognise
+The classifier is fitted on at most SAMPLE labelled documents, chosen by a hash of their id, whose bags have about
+SAMPLE_BYTES bytes at most (beyond, a share of them chosen by a hash of their text), with at most FEATURES features, those most associated with the label over the sample. Word beginnings let it recognise
 forms of a stem that it has not seen.
 
 Defined cases: a null or empty text has no sentence and score 0; a null label or a label of an id that no row
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from entrack.llm.common import Scratch, crc_mod, table
 
-SAMPLE, FEATURES, LEAST_DOCS, LEAST_GAIN = 20_000, 4096, 2, 8.0
+SAMPLE, SAMPLE_BYTES, FEATURES, LEAST_DOCS, LEAST_GAIN = 20_000, 64_000_000, 4096, 2, 8.0
 BEGINNINGS = (4, 5, 6)
 THRESHOLD, OFFENDING = 0.7, 0.5
 STEPS, RATE, DECAY = 400, 0.1, 2e-4
@@ -74,12 +74,14 @@ class Model:
         if not isinstance(text, str) or not text.strip():
             return 0.0, 0, []
         weight, words = self.known.__getitem__, _WORD.findall
-        z = self.bias + np.array([sum(map(weight, sorted(set(words(s))))) for s in _END.split(text.lower())])
+        parts = _END.split(text.lower())
+        full = [k for k, s in enumerate(parts) if s and not s.isspace()]
+        z = self.bias + np.array([sum(map(weight, sorted(set(words(parts[k]))))) for k in full])
         bad = np.flatnonzero(z >= _LOGIT).tolist()
         marked = []
         if bad:
             ends = [0, *[m.end() for m in _END.finditer(text)], len(text)]
-            marked = [(ends[k], ends[k + 1], float(1.0 / (1.0 + np.exp(-z[k])))) for k in bad]
+            marked = [(ends[full[k]], ends[full[k] + 1], float(1.0 / (1.0 + np.exp(-z[k])))) for k in bad]
         return float(-np.expm1(-np.logaddexp(0.0, z).sum())), len(z), marked
 
 
@@ -131,7 +133,7 @@ def _bags(index: dict[str, int]):
                     here = sorted({index[f] for w in set(_WORD.findall(part)) for f in features_of(w) if f in index})
                     if here:
                         found.append(here)
-                    else:
+                    elif part and not part.isspace():
                         plain += 1
                 sizes = np.array([len(x) for x in found], dtype=np.int32)
                 rows.append((int(toxic), plain, len(found), sizes.tobytes(), np.array([i for x in found for i in x], dtype=np.int32).tobytes()))
@@ -165,10 +167,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
     names = [r["feature"] for r in best.orderBy(F.col("gain").desc(), "feature").limit(FEATURES).collect()]
     index = {f: i for i, f in enumerate(names)}
     packed = texts.mapInPandas(_bags(index), "toxic int, plain long, sentences long, sizes binary, features binary")
-    bags = _collected(packed)  # ``sample`` rows at most
+    packed = scratch.save(packed, "bags")
+    size = packed.agg(F.coalesce(F.sum(F.octet_length("sizes") + F.octet_length("features")), F.lit(0))).first()[0]
+    if size > SAMPLE_BYTES:
+        packed = packed.where(F.pmod(F.xxhash64("sizes", "features"), F.lit(1_000_000)) < int(1e6 * SAMPLE_BYTES / size))
+    bags = _collected(packed)  # ``sample`` rows and about SAMPLE_BYTES at most
     flat = [np.frombuffer(b"".join(bags[c]), dtype=np.int32) for c in ("sizes", "features")]
     w, b = fit(*[bags[c].to_numpy() for c in ("toxic", "plain", "sentences")], *flat, len(names))
-    scratch.drop("texts")
+    scratch.drop("texts", "bags", "chosen")
     return Model({f: float(x) for f, x in zip(names, w, strict=True)}, b)
 
 
