@@ -3,7 +3,7 @@
 Lines end at line feeds and sentence ends and, inside sentences, before words whose hash is the least of some
 LINE_WINDOW neighbouring words, so no line has more than LINE_WINDOW words, in any language. A rolling hash over
 SPAN line hashes chooses chunk borders: in any WINDOW neighbouring places the least hash is one. Borders depend on
-nothing further off than a window, so a passage of 49 words (LINE_WINDOW * (SPAN + WINDOW - 1) words and
+nothing further off than a window, so a passage of 50 words (LINE_WINDOW * (SPAN + WINDOW - 1) words and
 LINE_WINDOW - 1 at both ends) has the same border, with its SPAN lines, wherever it stands.
 
 The SPAN lines from a border on that occur elsewhere have the first occurrence (smallest document id, then key and
@@ -36,7 +36,7 @@ from entrack.llm.byte_words import Words, column_bytes, mixed, slices, window_mi
 from entrack.llm.common import Scratch, fresh, salted_join, table
 
 LEAST_WORDS = 32
-LINE_WINDOW, SPAN, WINDOW = 3, 4, 12
+LINE_WINDOW, SPAN, WINDOW = 2, 10, 15
 #: Borders of one passage are never further apart, in words.
 GAP = LINE_WINDOW * WINDOW + LINE_WINDOW
 #: Runs are compared in blocks of so many words of the model.
