@@ -1,19 +1,21 @@
 """Surrogates for personal data.
 
 Entities are e-mail addresses, telephone numbers, IP addresses, payment cards, IBANs, social security numbers
-and the names of people (after a title, or a known given name before another name). Each is replaced by a
-surrogate drawn from HMAC-SHA256 under the caller's key: the same entity gets the same surrogate everywhere
-and in whatever format it is written (phone digits, card digits and the two parts of a name are entities of
-their own), and the surrogate keeps the type, the script, the gender of a title or given name, letter case,
-digits, punctuation and valid check digits.
+and the names of people: after a title, or a known given name before another name, in usual writing or in
+capitals; and, in a document that names a person so, every other mention of the given name or the surname alone.
+Each is replaced by a surrogate drawn from HMAC-SHA256 under the caller's key: the same entity gets the same
+surrogate everywhere and in whatever format it is written (phone digits, card digits and the two parts of a name
+are entities of their own), and the surrogate keeps the type, the script, the gender, letter case, digits,
+punctuation and valid check digits. A given name has one gender in the whole corpus: that of the list of names, else
+that of the titles before it where they agree.
 
 Distinct entities must keep distinct surrogates, and no surrogate may be a real entity of the corpus. Both
 are checked over the table of all distinct entities; the losers draw again, round by round, until none is
-left. Only redrawn entities need the table when texts are rewritten, so texts are not shuffled.
+left. Only redrawn entities, and names whose gender the corpus tells, are looked up when texts are rewritten.
 
 Defined cases: null and empty texts are returned as they are; nulls elsewhere and extra columns change nothing;
 repeated rows get the same result; overlapping matches go to the leftmost, then to the kind listed first; an
-empty table gives an empty result.
+empty table gives an empty result; a kind with more entities than surrogates raises after ROUNDS rounds.
 """
 
 from __future__ import annotations
@@ -41,12 +43,21 @@ TITLES = {
     "n": "Dr Prof Doctor Doktor Professor".split(),
 }
 GIVEN = {
-    "m": "James John Robert Michael William David Richard Joseph Thomas Hans Peter Klaus Jürgen Pierre Jean Michel Luis Carlos José Javier Иван Сергей Дмитрий".split(),
-    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Sarah Karen Anna Ursula Monika Petra Marie Nathalie Isabelle Carmen Ana Lucía Pilar Анна Мария Ольга".split(),
+    "m": (
+        "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew George Kenneth Edward Brian Kevin "
+        "Hans Peter Klaus Jürgen Wolfgang Dieter Stefan Andreas Pierre Jean Michel Jacques Luc François Luis Carlos José Javier Miguel Antonio Pablo Иван Сергей Дмитрий Алексей"
+    ).split(),
+    "f": (
+        "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Sarah Karen Alice Emma Olivia Sophia Margaret Nancy Betty Helen Ruth Laura Julia Anna Ursula Monika Petra "
+        "Sabine Claudia Heike Marie Nathalie Isabelle Sophie Camille Claire Carmen Ana Lucía Pilar Marta Elena Мария Анна Ольга Елена Наталья"
+    ).split(),
 }
 _GENDER = {w: g for g, names in GIVEN.items() for w in names}
 _TITLE = {w: g for g, names in TITLES.items() for w in names}
-_NAME = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[А-ЯЁ][а-яё]+)"
+_FOLDED = {w.casefold(): g for w, g in _GENDER.items()}
+_GENDER |= {w.upper(): g for w, g in _GENDER.items()}
+_TITLE |= {w.upper(): g for w, g in _TITLE.items()}
+_NAME = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[А-ЯЁ][а-яё]+|[A-ZÀ-ÖØ-Þ]{2,}(?![a-zß-öø-ÿ])|[А-ЯЁ]{2,}(?![а-яё]))"
 #: Telephone numbers in groups of any length: 8 to 15 digits after a plus, or 9 to 12 with a national 0, no dates.
 _ABROAD = r"(?<![\w+])\+\d(?:(?:[ ./-]|[ ]?\(|\)[ ]?)?\d){7,14}(?!\w)"
 _NATIONAL = r"(?<![\w+.,/:-])(?<!\d )(?!\d{1,2}[./-]\d{1,2}[./-]\d{4}(?!\d))(?:" + "|".join(
@@ -64,7 +75,8 @@ _PATTERNS = (
 )
 _FIND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _PATTERNS))
 _SIGN = re.compile(r"[@0-9]")
-KINDS = ("email", "iban", "ip", "ssn", "phone", "card", "given_m", "given_f", "given_n", "surname")
+_BARE = re.compile(rf"(?<!\w){_NAME}(?!\w)")
+KINDS = ("email", "iban", "ip", "ssn", "phone", "card", "given", "surname")
 
 
 def luhn(digits: str) -> bool:
@@ -82,6 +94,30 @@ def _iban_check(country: str, body: str) -> str:
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, entity) of every entity; an entity is its canonical form."""
+    return [m[:4] for m in gendered_mentions(text)]
+
+
+def gendered_mentions(text: str) -> list[tuple[int, int, str, str, str]]:
+    """The same with the gender that a name's title tells: m, f or n."""
+    out = _plain_mentions(text)
+    people: dict[str, str] = {}
+    for _, _, kind, entity, _ in out:
+        if kind == "given" or (kind == "surname" and entity not in people):
+            people[entity] = kind
+    if not people:
+        return out
+    ends = iter([*out, (len(text) + 1, 0, "", "", "")])
+    span, more = next(ends), []
+    for m in _BARE.finditer(text):
+        while span[1] <= m.start() and span[1]:
+            span = next(ends)
+        entity = m.group().casefold()
+        if entity in people and m.end() <= span[0] and len(entity) > 2:
+            more.append((m.start(), m.end(), people[entity], entity, "n"))
+    return sorted([*out, *more]) if more else out
+
+
+def _plain_mentions(text: str) -> list[tuple[int, int, str, str, str]]:
     out = []
     if not _SIGN.search(text) and not any(w in text for w in _TITLE) and not any(w in text for w in _GENDER):
         return out
@@ -89,16 +125,14 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
         kind = next(k for k, _ in _PATTERNS if m.group(k) is not None)
         found = m.group()
         if kind in ("titled", "named"):
+            gender = "n"
             if kind == "named":
-                gender, parts = _GENDER[m["given"]], [("given", "given"), ("surname", "family")]
+                parts = [("given", "given"), ("surname", "family")]
             elif m["last"]:
-                gender = _TITLE[m["title"]] if _TITLE[m["title"]] != "n" else _GENDER.get(m["first"], "n")
-                gender = _GENDER.get(m["first"], gender)
-                parts = [("given", "first"), ("surname", "last")]
+                gender, parts = _TITLE[m["title"]], [("given", "first"), ("surname", "last")]
             else:
-                gender, parts = "n", [("surname", "first")]
-            for role, group in parts:
-                out.append((m.start(group), m.end(group), f"given_{gender}" if role == "given" else "surname", m[group].casefold()))
+                parts = [("surname", "first")]
+            out += [(m.start(group), m.end(group), role, m[group].casefold(), gender if role == "given" else "n") for role, group in parts]
             continue
         if kind == "email":
             entity = found.lower()
@@ -115,7 +149,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             entity = re.sub(r"\D", "", found)
             if kind == "phone" and len(entity) == 11 and entity[0] == "1":
                 entity = entity[1:]  # the same number with its country code
-        out.append((m.start(), m.end(), kind, entity))
+        out.append((m.start(), m.end(), kind, entity, "n"))
     return out
 
 
@@ -157,7 +191,7 @@ _SYLLABLES = {
 }
 
 
-def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
+def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0, gender: str = "n") -> str:
     """The canonical form of the surrogate."""
     draw = Draw(key, kind, entity, attempt)
     if kind == "email":
@@ -180,7 +214,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         return body + (good if luhn(entity) else str((int(good) + 1 + draw.below(9)) % 10))
     syllables, endings = _SYLLABLES["cyrillic" if re.match("[а-яё]", entity) else "latin"]
     count = max(1, min(4, len(entity) // 3)) + attempt // 4
-    return "".join(syllables[draw.below(len(syllables))] for _ in range(count)) + (e := endings[kind[-1] if kind != "surname" else "s"])[draw.below(len(e))]
+    return "".join(syllables[draw.below(len(syllables))] for _ in range(count)) + (e := endings[gender if kind != "surname" else "s"])[draw.below(len(e))]
 
 
 def rendered(kind: str, mention: str, chosen: str) -> str:
@@ -195,12 +229,23 @@ def rendered(kind: str, mention: str, chosen: str) -> str:
     return chosen.upper() if mention.isupper() else chosen.capitalize()
 
 
+def own_gender(kind: str, entity: str) -> str:
+    """The gender that needs no corpus."""
+    return _FOLDED.get(entity, "n") if kind == "given" else "n"
+
+
 def _entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: set[tuple[str, str]] = set()
+    """Distinct entities of a partition, with the genders that lists or titles tell."""
+    seen: set[tuple[str, str, str]] = set()
     for batch in batches:
-        fresh = {(k, e) for t in batch["text"] if isinstance(t, str) for _, _, k, e in mentions(t)} - seen
+        fresh = set()
+        for t in batch["text"]:
+            if isinstance(t, str):
+                for _, _, k, e, g in gendered_mentions(t):
+                    fresh.add((k, e, own if (own := own_gender(k, e)) != "n" else g))
+        fresh -= seen
         if fresh:
-            yield pd.DataFrame(list(fresh), columns=["kind", "entity"])
+            yield pd.DataFrame(list(fresh), columns=["kind", "entity", "gender"])
         seen |= fresh
         if len(seen) > 200_000:
             seen.clear()
@@ -209,22 +254,24 @@ def _entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _drawn(key: bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(surrogate=[surrogate(key, k, e, a) for k, e, a in zip(b["kind"], b["entity"], b["attempt"], strict=True)])
+            yield b.assign(surrogate=[surrogate(key, k, e, a, g) for k, e, g, a in zip(b["kind"], b["entity"], b["gender"], b["attempt"], strict=True)])
 
     return run
 
 
 #: Kinds whose surrogates are told apart by a shared space of forms.
 def _space() -> Column:
-    return F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
+    return F.col("kind")
 
 
 def redrawn(docs: DataFrame, key: bytes, text: str, scratch: Scratch, draw: Callable | None = None) -> DataFrame:
-    """(kind, entity, attempt) of the entities whose first surrogate was taken."""
+    """(kind, entity, gender, attempt) of the entities that need looking up: redrawn ones and names of a gender the corpus tells."""
     draw = draw or _drawn(key)
     rows = docs.select(F.col(text).alias("text"))
-    entities = scratch.save(rows.mapInPandas(_entities, "kind string, entity string").distinct(), "entities")
-    schema = "kind string, entity string, attempt int, surrogate string"
+    told = rows.mapInPandas(_entities, "kind string, entity string, gender string").groupBy("kind", "entity").agg(F.array_remove(F.collect_set("gender"), "n").alias("g"))
+    entities = told.select("kind", "entity", F.when(F.size("g") == 1, F.get("g", F.lit(0))).otherwise("n").alias("gender"))
+    entities = scratch.save(entities, "entities")
+    schema = "kind string, entity string, gender string, attempt int, surrogate string"
     state = scratch.save(entities.withColumn("attempt", F.lit(0)).mapInPandas(draw, schema), "draw-0")
     real = entities.select(_space().alias("space"), F.col("entity").alias("surrogate")).distinct().withColumn("real", F.lit(True))
     for k in range(1, ROUNDS + 1):
@@ -234,11 +281,12 @@ def redrawn(docs: DataFrame, key: bytes, text: str, scratch: Scratch, draw: Call
         checked = spaced.join(owners, ["space", "surrogate"]).join(real, ["space", "surrogate"], "left")
         own = (F.col("owner.entity") == F.col("entity")) & (F.col("owner.kind") == F.col("kind"))
         lost = (F.col("n") > 1) & ~own | F.col("real").isNotNull()
-        marked = scratch.save(checked.select("kind", "entity", "attempt", "surrogate", lost.alias("lost")), f"marked-{k}")
+        marked = scratch.save(checked.select("kind", "entity", "gender", "attempt", "surrogate", lost.alias("lost")), f"marked-{k}")
         scratch.drop(f"draw-{k - 1}")
         if marked.where("lost").isEmpty():
-            return marked.where("attempt > 0").select("kind", "entity", "attempt")
-        again = marked.where("lost").select("kind", "entity", F.lit(k).alias("attempt")).mapInPandas(draw, schema)
+            listed = F.col("entity").isin(*_FOLDED)
+            return marked.where((F.col("attempt") > 0) | ((F.col("gender") != "n") & ~listed)).select("kind", "entity", "gender", "attempt")
+        again = marked.where("lost").select("kind", "entity", "gender", F.lit(k).alias("attempt")).mapInPandas(draw, schema)
         state = scratch.save(marked.where("not lost").drop("lost").unionByName(again), f"draw-{k}")
     raise RuntimeError("surrogates keep colliding; the key space of a kind is exhausted")
 
@@ -248,10 +296,10 @@ def _rewritten(key: bytes):
         for batch in batches:
             texts, spans = [], []
             for text, again in zip(batch["text"], batch["again"], strict=True):
-                attempts = {(a["kind"], a["entity"]): a["attempt"] for a in again} if again is not None else {}
+                known = {(a["kind"], a["entity"]): (a["attempt"], a["gender"]) for a in again} if again is not None else {}
                 out, at, own = [], 0, []
                 for a, b, kind, entity in mentions(text) if isinstance(text, str) else []:
-                    new = rendered(kind, text[a:b], surrogate(key, kind, entity, attempts.get((kind, entity), 0)))
+                    new = rendered(kind, text[a:b], surrogate(key, kind, entity, *known.get((kind, entity), (0, own_gender(kind, entity)))))
                     out += [text[at:a], new]
                     at = b
                     own.append({"start": a, "end": b, "kind": kind, "surrogate": new})
@@ -274,11 +322,11 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, doc_id: str = "doc_id", tex
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     again = scratch.save(redrawn(docs, key, text, scratch), "redrawn")
     if again.isEmpty():
-        marked = rows.withColumn("again", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>"))
+        marked = rows.withColumn("again", F.lit(None).cast("array<struct<kind:string,entity:string,gender:string,attempt:int>>"))
     else:
         keyed = rows.withColumn("key", F.xxhash64("text"))
         uses = keyed.select("key", "text").mapInPandas(_ids_by_entity, "key long, kind string, entity string").distinct()
-        lists = uses.join(again, ["kind", "entity"]).groupBy("key").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("again"))
+        lists = uses.join(again, ["kind", "entity"]).groupBy("key").agg(F.collect_list(F.struct("kind", "entity", "gender", "attempt")).alias("again"))
         lists = scratch.save(lists, "lists")
         marked = keyed.join(F.broadcast(lists) if lists.count() <= BROADCAST_ROWS else lists, "key", "left").select("doc_id", "text", "again")
     schema = "doc_id long, text string, spans array<struct<start:int,end:int,kind:string,surrogate:string>>"
