@@ -70,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The toxicity model is fitted, so SQL cannot express the rows; tests hold each stage against brute force.
+#: The toxicity model is fitted, so SQL cannot express the rows; tests/llm/test_brute_force.py holds each stage against plain Python.
 ORACLE_SQL = None

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A copy in the shared checkpoint folder; a temporary one is set only where none is (tests)."""
+    """A copy in the checkpoint folder that spark.checkpoint.dir names; only a local session may do without one."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="entrack-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="entrack-"))
     return df.checkpoint()
