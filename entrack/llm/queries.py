@@ -1,12 +1,10 @@
-"""The registered opN queries and the pipeline."""
+"""The registered opN queries."""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from entrack.llm import decontamination, lattice_lm, line_dedup, minhash_forest, packing, pii_surrogates, secrets_scan, token_counts, topk_search, toxicity
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op3_pii_surrogates": pii_surrogates.op3_pii_surrogates,
     "op2_toxicity": toxicity.op2_toxicity,
     "op5_lattice_lm": lattice_lm.op5_lattice_lm,
