@@ -58,6 +58,8 @@ _FOLDED = {w.casefold(): g for w, g in _GENDER.items()}
 _GENDER |= {w.upper(): g for w, g in _GENDER.items()}
 _TITLE |= {w.upper(): g for w, g in _TITLE.items()}
 _NAME = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[А-ЯЁ][а-яё]+|[A-ZÀ-ÖØ-Þ]{2,}(?![a-zß-öø-ÿ])|[А-ЯЁ]{2,}(?![а-яё]))"
+#: How titles and given names begin; other places are not tried.
+_INITIAL = "(?=[" + "".join(sorted({w[0] for w in (*_TITLE, *_GENDER)})) + "])"
 #: Telephone numbers in groups of any length: 8 to 15 digits after a plus, or 9 to 12 with a national 0, no dates.
 _ABROAD = r"(?<![\w+])\+\d(?:(?:[ ./-]|[ ]?\(|\)[ ]?)?\d){7,14}(?!\w)"
 _NATIONAL = r"(?<![\w+.,/:-])(?<!\d )(?!\d{1,2}[./-]\d{1,2}[./-]\d{4}(?!\d))(?:" + "|".join(
@@ -70,11 +72,13 @@ _PATTERNS = (
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w.])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4})(?!\w|\.\d)"),
     ("phone", r"(?<![\w+])(?<!\d[ .-])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{4}(?!\w|[ -]\d)|(?<!\w)\+\d{8,15}(?!\w)" + f"|{_ABROAD}|{_NATIONAL}"),
-    ("titled", rf"(?<!\w)(?P<title>{'|'.join(_TITLE)})\.?[ ](?P<first>{_NAME})(?:[ ](?P<last>{_NAME}))?"),
-    ("named", rf"(?<!\w)(?P<given>{'|'.join(_GENDER)})[ ](?P<family>{_NAME})"),
+    ("titled", rf"(?<!\w){_INITIAL}(?P<title>{'|'.join(_TITLE)})\.?[ ](?P<first>{_NAME})(?:[ ](?P<last>{_NAME}))?"),
+    ("named", rf"(?<!\w){_INITIAL}(?P<given>{'|'.join(_GENDER)})[ ](?P<family>{_NAME})"),
 )
 _FIND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _PATTERNS))
 _SIGN = re.compile(r"[@0-9]")
+_WORD = re.compile(r"\w+")
+_CALLED = {*_TITLE, *_GENDER}
 _BARE = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 KINDS = ("email", "iban", "ip", "ssn", "phone", "card", "given", "surname")
 
@@ -119,7 +123,7 @@ def gendered_mentions(text: str) -> list[tuple[int, int, str, str, str]]:
 
 def _plain_mentions(text: str) -> list[tuple[int, int, str, str, str]]:
     out = []
-    if not _SIGN.search(text) and not any(w in text for w in _TITLE) and not any(w in text for w in _GENDER):
+    if not _SIGN.search(text) and _CALLED.isdisjoint(_WORD.findall(text)):
         return out
     for m in _FIND.finditer(text):
         kind = next(k for k, _ in _PATTERNS if m.group(k) is not None)
