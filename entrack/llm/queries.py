@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from entrack.llm import decontamination, lattice_lm, line_dedup, merkle_manifest, minhash_forest, packing, pii_surrogates, secrets_scan, token_counts, topk_search, toxicity
+from entrack.llm import decontamination, lattice_lm, line_dedup, merkle_manifest, minhash_forest, mixing, packing, pii_surrogates, secrets_scan, token_counts, topk_search, toxicity
 
 QUERIES = {
     "op3_pii_surrogates": pii_surrogates.op3_pii_surrogates,
@@ -15,10 +15,12 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_topk_search": topk_search.op10_topk_search,
+    "op11_mixing": mixing.op11_mixing,
     "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 ORACLES = {
     "op8_minhash_forest": minhash_forest.ORACLE_SQL,
     "op10_topk_search": topk_search.ORACLE_SQL,
+    "op11_mixing": mixing.ORACLE_SQL,
     "op13_merkle_manifest": merkle_manifest.ORACLE_SQL,
 }
