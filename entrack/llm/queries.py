@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from entrack.llm import decontamination, lattice_lm, line_dedup, merkle_manifest, minhash_forest, mixing, packing, pii_surrogates, secrets_scan, token_counts, topk_search, toxicity
+from entrack.llm import decontamination, lattice_lm, line_dedup, merkle_manifest, minhash_forest, mixing, packing, pii_surrogates, secrets_scan, token_alignment, token_counts, topk_search, toxicity
 
 QUERIES = {
     "op3_pii_surrogates": pii_surrogates.op3_pii_surrogates,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_topk_search": topk_search.op10_topk_search,
     "op11_mixing": mixing.op11_mixing,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 ORACLES = {
