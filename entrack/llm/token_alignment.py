@@ -19,7 +19,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate, pairwise
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ from entrack.llm.common import Scratch, salted_join, table
 PAIR = 1 << 32
 #: A table of so many pairs, 16 bytes each, is sent to every executor; a larger one is joined by shuffle.
 MOST_SENT = 4_000_000
-#: Parts of up to so many characters are remembered, at most KEPT_PARTS of them in a task.
-PART_CHARS, KEPT_PARTS = 64, 200_000
+#: A task remembers so many parts and characters of parts; beyond, it begins anew.
+KEPT_PARTS, KEPT_CHARS = 250_000, 8_000_000
 #: Documents are taken together up to so many characters.
 SLICE_CHARS = 1 << 21
 #: A space at which the next part begins: no space before it, no white space after it.
@@ -65,7 +65,10 @@ class Sides:
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         every = range(self.b.get_piece_size())
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in every]
+        self.size_b = list(map(len, self.bytes_b))
         self.len_a, self.len_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
+        if self.a.normalizer is not None or len(set(self.bytes_a) & {bytes([b]) for b in range(256)}) < 256:
+            raise ValueError(f"{byte_level} does not give every text back byte by byte")
         # a piece with a space inside would reach over a cut
         self.cuts = not any(" " in x.lstrip(b" ").decode("utf-8", "replace") for x in self.bytes_b)
 
@@ -73,9 +76,11 @@ class Sides:
         """Ids of a space and each text on both sides; both empty where the bytes differ from it."""
         ids_a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
         ids_b = self.b.encode(texts, num_threads=1)
-        for k, t in enumerate(texts):
-            whole = b" " + t.encode()
-            if not t or b"".join(map(self.bytes_b.__getitem__, ids_b[k])) != whole or b"".join(map(self.bytes_a.__getitem__, ids_a[k])) != whole:
+        whole = [b" " + t.encode() for t in texts]
+        sizes = [sum(map(self.size_b.__getitem__, ids)) for ids in ids_b]
+        alike = sizes == list(map(len, whole)) and b"".join(map(self.bytes_b.__getitem__, chain.from_iterable(ids_b))) == b"".join(whole)
+        for k in () if alike else range(len(texts)):
+            if not texts[k] or b"".join(map(self.bytes_b.__getitem__, ids_b[k])) != whole[k]:
                 ids_a[k] = ids_b[k] = []
         return ids_a, ids_b
 
@@ -98,6 +103,7 @@ class Parts:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
+        self.chars = 0
         self.texts: list[str] = []
         self.counts = np.zeros((0, 4), np.int64)
         self.starts = np.zeros(1, np.int64)
@@ -106,9 +112,11 @@ class Parts:
 
     def learn(self, wanted: list[str]) -> None:
         new = [w for w in wanted if w not in self.at]
-        if len(self.at) + len(new) > KEPT_PARTS and self.at:
+        size = sum(map(len, new))
+        if self.at and (len(self.at) + len(new) > KEPT_PARTS or self.chars + size > KEPT_CHARS):
             self.forget()
-            new = wanted
+            new, size = wanted, sum(map(len, wanted))
+        self.chars += size
         if not new:
             return
         self.at.update(zip(new, range(len(self.texts), len(self.texts) + len(new)), strict=True))
@@ -119,10 +127,6 @@ class Parts:
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.bincount(rows, minlength=len(new)))])
         self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
 
-    def forget_long(self) -> None:
-        if any(len(p) > PART_CHARS for p in self.at):
-            self.forget()
-
 
 def aligned(ids_a: list[list[int]], ids_b: list[list[int]], len_a: np.ndarray, len_b: np.ndarray) -> tuple:
     """Counts (tokens of a, of b, groups, links) and group texts by row, and linked pairs by (row, pair, times).
@@ -131,14 +135,13 @@ def aligned(ids_a: list[list[int]], ids_b: list[list[int]], len_a: np.ndarray, l
     """
     n = len(ids_a)
     n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-    a, b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (ids_a, ids_b))
+    a, b = (np.array(list(chain.from_iterable(ids)), np.int64) for ids in (ids_a, ids_b))
     ends_a, ends_b = np.cumsum(len_a[a]), np.cumsum(len_b[b])
     row_a = np.repeat(np.arange(n), n_a)
-    cut_a = np.isin(ends_a, ends_b, assume_unique=True)
-    cut_b = np.isin(ends_b, ends_a, assume_unique=True)
+    cut_a, cut_b = (ys[np.minimum(np.searchsorted(ys, xs), len(ys) - 1)] == xs if len(ys) else np.zeros(len(xs), bool) for xs, ys in ((ends_a, ends_b), (ends_b, ends_a)))
     groups = np.bincount(row_a[cut_a], minlength=n)
     # every byte at which a token of either side ends closes one overlap
-    seams = np.union1d(ends_a, ends_b)
+    seams = np.sort(np.concatenate([ends_a, ends_b[~cut_b]]))
     at_a, at_b = np.searchsorted(ends_a, seams), np.searchsorted(ends_b, seams)
     row = row_a[at_a]
     order = np.lexsort((b[at_b], a[at_a], row))
@@ -159,9 +162,9 @@ def _documents(known: Parts, texts: list[str]) -> tuple[np.ndarray, list[str], n
     """As ``aligned``, for whole documents: counts, digests, starts of each document's pairs, pairs, times."""
     n = len(texts)
     lists = [known.sides.parts(t) if t else [] for t in texts]
-    known.learn(list(dict.fromkeys(p for ps in lists for p in ps)))
+    known.learn(list(dict.fromkeys(chain.from_iterable(lists))))
     sizes = np.array([len(ps) for ps in lists], np.int64)
-    part = np.fromiter((known.at[p] for ps in lists for p in ps), np.int64, int(sizes.sum()))
+    part = np.array(list(map(known.at.__getitem__, chain.from_iterable(lists))), np.int64)
     doc = np.repeat(np.arange(n), sizes)
     lost = np.bincount(doc, weights=known.counts[part, 0] == 0, minlength=n) > 0
     keep = ~lost[doc]
@@ -208,7 +211,6 @@ def alignments(docs: DataFrame, paths: tuple[str, str], doc_id: str = "doc_id",
                 at = pa.array(starts, pa.int32())
                 columns += [pa.ListArray.from_arrays(at, pa.array(pairs)), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int64)))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *_COUNTS, "groups_sha256", "pairs", "times"])
-                known.forget_long()
                 sizes, lo = 0, hi
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
