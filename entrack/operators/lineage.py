@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from entrack.sources.files import new_folder
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """A copy in the checkpoint folder that spark.checkpoint.dir names; only a local session may do without one."""
+    """A copy of the rows in the shared folder, as Parquet.
+
+    Unlike a checkpoint, what is read again has the size of its files, not the estimate of the plan that made it;
+    estimates of joins are products, and over rounds of joins they would grow without end.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="entrack-"))
-    return df.checkpoint()
+    path = new_folder(spark, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entrack.operators import geometry as G
 from entrack.operators import graph
 from entrack.operators import index as I  # noqa: E741
+from entrack.operators import sequences as Q
 from entrack.operators import vectors as V
 from entrack.sources import files as S
 from entrack.sources.tables import table
@@ -20,7 +21,7 @@ def snapshot_parts(spark: SparkSession, sf: str) -> DataFrame:
     for i in range(3):
         p.where(F.col("part") == i).write.parquet(f"{root}/part-{i}")
     read = spark.read.parquet(*[f"{root}/part-{i}" for i in range(3)])
-    return read.select("p_partkey", (F.row_number().over(Window.partitionBy("part").orderBy("p_partkey"))).alias("place"), "part")
+    return Q.places(read, ["part"], "p_partkey").select("p_partkey", (F.col("_n") + 1).cast("int").alias("place"), "part")
 
 
 def store_replaced(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,10 +117,15 @@ def key_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    p = table(spark, sf, "part")
-    w = Window.partitionBy("kind").orderBy("p_partkey")
-    rows = p.where("p_partkey > 0").withColumn("kind", F.col("p_size") % 2).withColumn("pos", F.row_number().over(w).cast("long") - 1)
-    return rows.where("kind = 0").select("pos", F.col("p_partkey").alias("item_id")), rows.where("kind = 1 and p_size % 3 = 0").select("pos", (-(F.col("p_partkey") * 100 + F.col("p_size"))).alias("item_id"))
+    """Base rows and extras, each numbered from 0 after its own filter."""
+    p = table(spark, sf, "part").where("p_partkey > 0")
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        return Q.places(rows.withColumn("all", F.lit(0)), ["all"], "p_partkey").select(F.col("_n").cast("long").alias("pos"), "item_id")
+
+    base = p.where("p_size % 2 = 0").select("p_partkey", F.col("p_partkey").alias("item_id"))
+    extras = p.where("p_size % 2 = 1 and p_size % 3 = 0").select("p_partkey", (-(F.col("p_partkey") * 100 + F.col("p_size"))).alias("item_id"))
+    return numbered(base), numbered(extras)
 
 
 def index_append(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,10 +139,12 @@ def index_strip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_stable(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether a second run adds the same rows at the same places, and one with a row less."""
+    """Whether a second run adds the same rows at the same places, one with its last row less, and one with its rows moved."""
     _, extras = _parts(spark, sf)
-    again = I.unchanged(extras, extras, ["item_id"]).select(F.lit("again").alias("run"), "same")
-    return again.unionByName(I.unchanged(extras, extras.where("pos > 0"), ["item_id"]).select(F.lit("less").alias("run"), "same"))
+    last = extras.agg(F.max("pos")).first()[0]
+    runs = {"again": extras, "less": extras.where(F.col("pos") < F.lit(last)), "moved": extras.withColumn("pos", F.lit(last) - F.col("pos"))}
+    found = [I.unchanged(extras, after, ["item_id"]).select(F.lit(run).alias("run"), "same") for run, after in runs.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def index_scope(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,8 +221,8 @@ _NORM = "CASE WHEN n > 0 THEN x::DOUBLE / n ELSE 0 END"
 _COS = """v AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
 u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CASE WHEN n > 0 THEN x::DOUBLE / n ELSE 0 END) AS q FROM v),
 pr AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 6) AS score FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id)"""
-_PARTS = """r AS (SELECT p_partkey, p_size, p_size % 2 AS kind, row_number() OVER (PARTITION BY p_size % 2 ORDER BY p_partkey) - 1 AS pos FROM part WHERE p_partkey > 0),
-b AS (SELECT pos, p_partkey AS item_id FROM r WHERE kind = 0), x AS (SELECT pos, -(p_partkey * 100 + p_size) AS item_id FROM r WHERE kind = 1 AND p_size % 3 = 0)"""
+_PARTS = """b AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_partkey AS item_id FROM part WHERE p_partkey > 0 AND p_size % 2 = 0),
+x AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, -(p_partkey * 100 + p_size) AS item_id FROM part WHERE p_partkey > 0 AND p_size % 2 = 1 AND p_size % 3 = 0)"""
 ORACLES = {
     "snapshot_parts": "SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) AS INTEGER) AS place, p_partkey % 3 AS part FROM part",
     "store_replaced": "SELECT c_custkey FROM customer WHERE c_nationkey >= 5",
@@ -230,7 +238,11 @@ q AS (SELECT part, list_sum(list_transform(embedding, lambda x: CAST(floor(great
     "key_prefix": "SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer#00000001')",
     "index_append": f"WITH {_PARTS} SELECT 'base' AS origin, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places, min(item_id) AS least FROM b UNION ALL SELECT 'extra', count(*), CAST(sum(pos + (SELECT max(pos) + 1 FROM b)) AS BIGINT), min(item_id) FROM x",
     "index_strip": f"WITH {_PARTS} SELECT pos, item_id FROM b",
-    "index_stable": "SELECT 'again' AS run, true AS same UNION ALL SELECT 'less', false",
+    "index_stable": f"""WITH {_PARTS}, m AS (SELECT max(pos) AS last FROM x),
+runs AS (SELECT 'again' AS run, pos, item_id FROM x UNION ALL SELECT 'less', pos, item_id FROM x, m WHERE pos < last UNION ALL SELECT 'moved', last - pos, item_id FROM x, m),
+names AS (SELECT unnest(['again', 'less', 'moved']) AS run), wanted AS (SELECT run, pos, item_id FROM names, x)
+SELECT n.run, NOT EXISTS (SELECT run, pos, item_id FROM wanted w WHERE w.run = n.run EXCEPT SELECT run, pos, item_id FROM runs r WHERE r.run = n.run)
+  AND NOT EXISTS (SELECT run, pos, item_id FROM runs r WHERE r.run = n.run EXCEPT SELECT run, pos, item_id FROM wanted w WHERE w.run = n.run) AS same FROM names n""",
     "index_scope": """SELECT DISTINCT l_partkey AS item_id, l_suppkey AS entity_id FROM lineitem WHERE l_quantity > 49 AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 10)
 AND l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 25)""",
     "index_faults": "SELECT CASE WHEN vec_id % 11 = 0 THEN 'other model' ELSE 'other dimension' END AS fault, count(*) AS n FROM embeddings WHERE vec_id % 11 = 0 OR vec_id % 7 = 0 GROUP BY 1",
