@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from entrack.operators import checks as C
 from entrack.operators import sequences as S
+from entrack.operators import zones as Z
 from entrack.plans.catalogue import ORACLES as CATALOGUE_ORACLES
 from entrack.plans.catalogue import name_search_tiers
 from entrack.plans.retrieval import ORACLES as RETRIEVAL_ORACLES
@@ -13,6 +15,7 @@ from entrack.plans.retrieval import placeholder_filter
 from entrack.plans.sequences import _E, events
 from entrack.plans.spatial import _B, boxes
 from entrack.sources.tables import table
+from entrack.streaming.stateful import samples_from
 
 #: Score and lead from which a cut item's read counts as sure, and the score from which it counts alone.
 CUT_SCORE, CUT_LEAD, CUT_ALONE = 0.66, 0.1, 0.8
@@ -76,7 +79,54 @@ def seek_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return marked.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
-_ALL = (indexable, placeholders_dropped, reads_per_cycle, search_guarded, vote_readings, session_logs, seek_sessions)
+#: Zones of the events read as frames, and seconds that a unit of an event's value lasts as a cycle.
+ZONES, CYCLE = 16, 400.0
+
+
+def zone_cuts(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event as a sample of its user's frame: cuts mark all zones, the others move and settle by themselves."""
+    e = events(spark, sf)
+    rows = samples_from(e, ZONES).join(e.select(F.col("event_id").alias("seq"), "at"), "seq")
+    return Z.gated(rows, "session", ["at", "seq"]).select("session", "seq", "sample", "result", "settled", "n_moving")
+
+
+def cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Views and clicks as cycles that begin with the event and end after its value, every third result delivered twice; errors as cuts."""
+    e = events(spark, sf).withColumn("end", F.round(F.col("at") + F.col("value") * CYCLE, 3))
+    cut = e.where("event_type = 'error'").select(F.col("user_id").alias("session"), F.col("event_id").alias("cycle"), F.lit("cut").alias("kind"), F.round("at", 3).alias("at"))
+    run = e.where("event_type in ('view', 'click')").select(F.col("user_id").alias("session"), F.col("event_id").alias("cycle"), F.round("at", 3).alias("at"), "end", "k")
+    begin = run.select("session", "cycle", F.lit("begin").alias("kind"), "at")
+    result = run.select("session", "cycle", F.lit("result").alias("kind"), F.col("end").alias("at"))
+    again = run.where("k % 3 = 0").select("session", "cycle", F.lit("result").alias("kind"), (F.col("end") + 60).alias("at"))
+    return cut.unionByName(begin).unionByName(result).unionByName(again)
+
+
+def current_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of cycles in which their session was not cut, each once."""
+    return Z.current(cycles(spark, sf), "session", "cycle", "kind", "at").select("session", "cycle", F.round("begun", 3).alias("begun"), F.round("ended", 3).alias("ended"))
+
+
+#: Limits in seconds of the events' clock, whose rows of a user lie hours apart.
+CHECKS = C.Limits(rest=10_000.0, tries=3, reads=8, cover=90_000.0)
+
+
+def check_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as frames of a user's listed item: where the pointer is, whether its spot is quiet, and what a read would say."""
+    e, k = events(spark, sf), F.col("k")
+    paused = F.col("event_type") == "purchase"
+    media = F.when(paused, F.floor(F.col("at") / 200_000) * 200_000).otherwise(F.col("at"))
+    entity = F.when(k % 5 == 0, F.lit(None)).otherwise(F.when(k % 5 < 2, 1).otherwise(k % 5)).cast("double")
+    return e.select(
+        "user_id", F.col("event_id").alias("seq"), "at", media.alias("media"), (k > 20).alias("over"), (F.col("event_type") == "view").alias("quiet"), paused.alias("paused"),
+        entity.alias("entity"), (F.col("value") >= 15).alias("sure"), F.least(F.col("value") / 200, F.lit(1.0)).alias("score"),
+    )
+
+
+def item_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return C.checked(check_rows(spark, sf), "user_id", 1, CHECKS)
+
+
+_ALL = (indexable, placeholders_dropped, reads_per_cycle, search_guarded, vote_readings, session_logs, seek_sessions, zone_cuts, current_results, item_checks)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "indexable": "SELECT p_partkey, p_type FROM part WHERE p_type <> 'PROMO' AND p_partkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)",
@@ -91,4 +141,17 @@ a AS (SELECT user_id, entity, arg_min(value, event_id) AS first_time, max(value)
 SELECT user_id, CAST(place AS INTEGER) AS place, entity, first_time, last_time, appearances FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first_id DESC) AS place FROM a) WHERE place <= {LOG_ENTRIES}""",
     "seek_sessions": f"""WITH {_E}, j AS (SELECT *, coalesce(abs(round(value * 1000 - lag(value * 1000) OVER w - (tm - lag(tm) OVER w) * CASE WHEN k % 2 = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END, 3)) > {JUMP * 10_000}, false)::INT AS j FROM e WINDOW w AS (PARTITION BY user_id ORDER BY tm, event_id)),
 s AS (SELECT *, CAST(sum(j) OVER (PARTITION BY user_id ORDER BY tm, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session FROM j) SELECT user_id, session, count(*) AS n, min(event_id) AS first_id FROM s GROUP BY ALL""",
+    "zone_cuts": f"""WITH {_E}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tm, event_id) AS sample FROM e),
+c AS (SELECT *, event_type <> 'error' AND sample > 1 AS compared, value / 4 >= {Z.CUT} AS big FROM n),
+z AS (SELECT user_id, sample, big, unnest(range({ZONES})) AS zone, k, event_id FROM c WHERE compared),
+d AS (SELECT user_id, sample, zone, big, ((k * 7 + zone * 31 + event_id * 3) % 97) / 10 AS d FROM z),
+m AS (SELECT *, big OR d >= {Z.MOVING} AS hit, NOT big AND d < {Z.QUIET} AND coalesce(lag(NOT big AND d < {Z.QUIET}) OVER (PARTITION BY user_id, zone ORDER BY sample), false) AS calm FROM d),
+s AS (SELECT *, coalesce(max(CASE WHEN hit THEN sample END) OVER w, 0) > coalesce(max(CASE WHEN calm THEN sample END) OVER w, 0) AS now FROM m WINDOW w AS (PARTITION BY user_id, zone ORDER BY sample)),
+l AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY user_id, zone ORDER BY sample), false) AS was FROM s),
+g AS (SELECT user_id, sample, sum(now::INT - was::INT) AS change, count(*) FILTER (WHERE was AND NOT now) AS settled FROM l GROUP BY ALL)
+SELECT c.user_id AS session, event_id AS seq, CAST(sample AS INTEGER) AS sample, CASE WHEN compared AND big THEN 'cut' WHEN compared THEN 'ok' ELSE 'first' END AS result, coalesce(settled, 0) AS settled,
+CAST(coalesce(sum(change) OVER (PARTITION BY c.user_id ORDER BY sample), 0) AS BIGINT) AS n_moving FROM c LEFT JOIN g USING (user_id, sample)""",
+    "current_results": f"""WITH {_E}, r AS (SELECT user_id AS session, event_id AS cycle, round(tm, 3) AS begun, round(tm + value * {CYCLE}, 3) AS ended FROM e WHERE event_type IN ('view', 'click')),
+c AS (SELECT user_id AS session, round(tm, 3) AS at FROM e WHERE event_type = 'error')
+SELECT session, cycle, round(begun, 3) AS begun, round(ended, 3) AS ended FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.session = r.session AND c.at > r.begun AND c.at <= r.ended)""",
 }
