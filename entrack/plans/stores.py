@@ -99,7 +99,7 @@ def resumed_lines(spark: SparkSession, sf: str) -> DataFrame:
 def json_export(spark: SparkSession, sf: str) -> DataFrame:
     root = S.new_folder(spark, "export")
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    c.where("id % 2 = 0").write.json(root)
+    c.write.json(root)
     return spark.read.text(root).withColumnRenamed("value", "line")
 
 
@@ -112,6 +112,35 @@ def legacy_migration(spark: SparkSession, sf: str) -> DataFrame:
     return moved.join(lines.join(moved, "o_orderkey", "left_semi"), "o_orderkey", "left").select("o_orderkey", "l_linenumber")
 
 
+def store_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A store through nine versions and the tenth; older ones and a write that was never committed change nothing."""
+    store = S.Store(spark, S.new_folder(spark, "store"))
+    p = table(spark, sf, "part").select("p_partkey", "p_size")
+    store.seed(p.where("p_size <= 10"), "v2")
+    store.replace(p.where("p_size <= 20"), "v9")
+    store.replace(p.where("p_size > 20"), "v10")
+    store.replace(p.where("p_size <= 5"), "v9")
+    store.write(p.where("p_size = 1"))  # broke off before its commit
+    return store.read().select("p_partkey", F.lit(store.version()).alias("version"))
+
+
+def store_migrated(spark: SparkSession, sf: str) -> DataFrame:
+    """Both stores after a migration: moved rows are in the new one once, and gone from the old one."""
+    old, new = (S.Store(spark, S.new_folder(spark, name)) for name in ("old", "new"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    old.seed(o.where("o_orderkey % 2 = 0"), "1")
+    new.seed(o.where("o_custkey % 5 = 0"), "1.2")
+    S.migrate(old, new, "o_orderkey", F.col("o_custkey") % 3 == 0)
+    return new.read().select("o_orderkey", F.lit("new").alias("store")).unionByName(old.read().select("o_orderkey", F.lit("old").alias("store")))
+
+
+def store_prefix_deleted(spark: SparkSession, sf: str) -> DataFrame:
+    store = S.Store(spark, S.new_folder(spark, "store"))
+    store.seed(table(spark, sf, "customer").select("c_custkey", "c_name"), "1")
+    store.delete_prefix("c_name", "Customer#00000001")
+    return store.read()
+
+
 def key_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").where(S.key_range(F.col("c_name"), "Customer#00000001")).select("c_custkey", "c_name")
 
@@ -190,7 +219,7 @@ def cosine_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 def unaccepted_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as groups of suppliers, nations as accepted lists."""
-    groups = table(spark, sf, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("group_id"), F.col("l_suppkey").alias("entity_id"))
+    groups = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_suppkey").alias("entity_id"))
     lists = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("list_id"), F.col("s_suppkey").alias("entity_id"))
     return I.unaccepted(groups, lists)
 
@@ -212,7 +241,7 @@ def decision_cascade(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = (
-    snapshot_parts, store_replaced, multi_get, delta_scan, delta_cleared, vector_files, torn_lines, resumed_lines, json_export, legacy_migration, key_prefix,
+    snapshot_parts, store_replaced, multi_get, delta_scan, delta_cleared, vector_files, torn_lines, resumed_lines, json_export, legacy_migration, key_prefix, store_versions, store_migrated, store_prefix_deleted,
     index_append, index_strip, index_stable, index_scope, index_faults, gap_decisions, item_listing, cosine_groups, unaccepted_groups, decision_cascade,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -233,8 +262,12 @@ ORACLES = {
 q AS (SELECT part, list_sum(list_transform(embedding, lambda x: CAST(floor(greatest(-1.0, least(1.0, {_NORM})) * 127 + 0.5) AS BIGINT))) AS t FROM v) SELECT part, count(*) AS n, CAST(sum(t) AS BIGINT) AS total, count(*) - 1 AS last FROM q GROUP BY 1""",
     "torn_lines": "SELECT event_id, user_id, event_type FROM events",
     "resumed_lines": "SELECT o_custkey, coalesce(CASE WHEN o_custkey % 2 = 0 THEN min(o_orderkey) FILTER (WHERE o_orderstatus = 'F') END, min(o_orderkey)) AS o_orderkey FROM orders GROUP BY 1",
-    "json_export": "SELECT '{\"id\":' || c_custkey || ',\"name\":\"' || c_name || '\"}' AS line FROM customer WHERE c_custkey % 2 = 0",
+    "json_export": "SELECT '{\"id\":' || c_custkey || ',\"name\":\"' || c_name || '\"}' AS line FROM customer",
     "legacy_migration": "SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0 AND o_custkey % 2 <> 0",
+    "store_versions": "SELECT p_partkey, 'v10' AS version FROM part WHERE p_size > 20",
+    "store_migrated": """SELECT o_orderkey, 'new' AS store FROM orders WHERE o_custkey % 5 = 0 OR (o_orderkey % 2 = 0 AND o_custkey % 3 = 0)
+UNION ALL SELECT o_orderkey, 'old' FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey % 3 <> 0""",
+    "store_prefix_deleted": "SELECT c_custkey, c_name FROM customer WHERE NOT starts_with(c_name, 'Customer#00000001')",
     "key_prefix": "SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer#00000001')",
     "index_append": f"WITH {_PARTS} SELECT 'base' AS origin, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places, min(item_id) AS least FROM b UNION ALL SELECT 'extra', count(*), CAST(sum(pos + (SELECT max(pos) + 1 FROM b)) AS BIGINT), min(item_id) FROM x",
     "index_strip": f"WITH {_PARTS} SELECT pos, item_id FROM b",
@@ -254,6 +287,6 @@ SELECT entity_id, CASE WHEN NOT main THEN 'out of scope' WHEN NOT render THEN 'n
     "cosine_groups": f"""WITH RECURSIVE {_COS}, l AS (SELECT a, b FROM pr WHERE score >= {CLOSEST} UNION ALL SELECT b, a FROM pr WHERE score >= {CLOSEST}),
 r AS (SELECT vec_id AS node, vec_id AS other FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.other = l.a), g AS (SELECT node, min(other) AS group_id FROM r GROUP BY node)
 SELECT group_id, count(*) AS n, max(node) AS largest FROM g GROUP BY 1 HAVING count(*) > 1""",
-    "unaccepted_groups": """WITH m AS (SELECT DISTINCT l_orderkey AS group_id, l_suppkey AS entity_id FROM lineitem WHERE l_linenumber <= 2)
+    "unaccepted_groups": """WITH m AS (SELECT DISTINCT l_orderkey AS group_id, l_suppkey AS entity_id FROM lineitem)
 SELECT group_id, count(*) AS n FROM m LEFT JOIN supplier ON s_suppkey = entity_id GROUP BY 1 HAVING count(*) > 1 AND NOT (count(DISTINCT s_nationkey) = 1 AND count(s_nationkey) = count(*))""",
 }

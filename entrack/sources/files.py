@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,40 +23,103 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def version_parts(version: str) -> list[tuple[int, int, str]]:
+    """A version as numbers and texts between them, so that v10 comes after v9."""
+    return [(1, int(p), "") if p.isdigit() else (0, 0, p) for p in re.findall(r"[0-9]+|[^0-9]+", version)]
+
+
 class Store:
-    """Versions of a table under one folder; the last version that was written whole is the store.
+    """Versions of a table under one folder; one small file names the version that is the store.
 
-    A new version is a folder of its own, so readers of the old one are not disturbed, and an interrupted write
-    leaves no _SUCCESS and does not count. ``version`` gates a replacement: an equal one writes nothing.
+    A version is written whole into a folder of its own, and then the pointer is renamed into place, so readers see
+    the old rows or the new ones, and a write that broke off changes nothing. ``version`` gates a replacement: only a
+    newer one is written. The folder of the version before stays until the next commit, for those who still read it.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        self.files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.files = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def versions(self) -> list[str]:
-        if not self.files.exists(self._path(".")):
+    def _pointers(self) -> list[int]:
+        if not self.files.exists(self._path("current")):
             return []
-        names = [s.getPath().getName() for s in self.files.listStatus(self._path("."))]
-        return sorted(n for n in names if self.files.exists(self._path(f"{n}/_SUCCESS")))
+        return sorted(int(s.getPath().getName()) for s in self.files.listStatus(self._path("current")) if s.getPath().getName().isdigit())
+
+    def _pointed(self, number: int) -> tuple[str, str]:
+        """The version and the folder that a pointer names."""
+        stream = self.files.open(self._path(f"current/{number}"))
+        try:
+            version, folder = str(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).split("\n")
+        finally:
+            stream.close()
+        return version, folder
+
+    def version(self) -> str | None:
+        found = self._pointers()
+        return self._pointed(found[-1])[0] if found else None
+
+    def write(self, rows: DataFrame) -> str:
+        """Writes rows into a folder that no pointer names yet."""
+        folder = f"rows-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{folder}")
+        return folder
+
+    def commit(self, version: str, folder: str) -> bool:
+        """Makes the folder the store. Of two commits at once one gets the next number; the other says false."""
+        before = self._pointers()
+        number = before[-1] + 1 if before else 0
+        draft = self._path(f"draft-{uuid.uuid4().hex}")
+        out = self.files.create(draft)
+        out.write(bytearray(f"{version}\n{folder}".encode()))
+        out.close()
+        self.files.mkdirs(self._path("current"))
+        done = not self.files.exists(self._path(f"current/{number}")) and self.files.rename(draft, self._path(f"current/{number}"))
+        if not done:
+            self.files.delete(draft, False)
+            return False
+        for old in before[:-1]:
+            self.files.delete(self._path(self._pointed(old)[1]), True)
+            self.files.delete(self._path(f"current/{old}"), False)
+        return True
 
     def replace(self, rows: DataFrame, version: str) -> bool:
-        """Replaces all rows, unless the newest version is not older."""
-        if self.versions() and self.versions()[-1] >= version:
+        """Replaces all rows, unless the store's version is not older."""
+        now = self.version()
+        if now is not None and version_parts(now) >= version_parts(version):
             return False
-        rows.write.mode("overwrite").parquet(f"{self.root}/{version}")
-        return True
+        return self.commit(version, self.write(rows))
 
     def seed(self, rows: DataFrame, version: str) -> bool:
         """Writes rows only where the store has none."""
-        return not self.versions() and self.replace(rows, version)
+        return self.version() is None and self.replace(rows, version)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.versions()[-1]}")
+        return self.spark.read.parquet(f"{self.root}/{self._pointed(self._pointers()[-1])[1]}")
+
+    def delete(self, gone: Column) -> None:
+        """Removes the rows for which ``gone`` holds; the version stays. Null says no."""
+        rows = self.read().where(~F.coalesce(gone, F.lit(False)))
+        self.commit(self.version(), self.write(rows))
+
+    def delete_prefix(self, column: str, prefix: str) -> None:
+        self.delete(key_range(F.col(column), prefix))
+
+
+def migrate(old: Store, new: Store, key: str, moved: Column) -> None:
+    """Moves the rows for which ``moved`` holds: those whose key the new store lacks are added, then all go from the old one.
+
+    The copy is committed before anything is deleted, so a run that breaks off is made good by the next one.
+    """
+    rows = old.read().where(moved)
+    if new.version() is None:
+        new.seed(rows, old.version())
+    else:
+        have = new.read()
+        new.commit(new.version(), new.write(have.unionByName(rows.join(have.select(key), key, "left_anti"))))
+    old.delete(moved)
 
 
 def keep_partitions(spark: SparkSession, path: str, column: str, kept: list[object]) -> DataFrame:
