@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entrack.functions import text as X
+from entrack.operators.geometry import greedy_pairs
+from entrack.operators.graph import groups
+from entrack.operators.lineage import cut
 
 
 def appended(base: DataFrame, extras: DataFrame) -> DataFrame:
@@ -91,6 +94,36 @@ def decisions(rows: DataFrame, checks: list[tuple[str, DataFrame]], key: str, ot
     return rows.withColumn("decision", decision).drop(*[f"_{i}" for i in range(len(checks))])
 
 
+def cascade(new: DataFrame, pairs: DataFrame, held: Column, clearly: float) -> DataFrame:
+    """Adds each new item's decision; ``new``: item, entity_id, blank (like the placeholder).
+
+    ``pairs``: a, b, score, label_a, label_b of all vectors, from the score on at which an item may match an own one;
+    ``held``: whether the column node is of the index already. In turn: covered (clearly like an own held item, or matched to
+    one, each held one once), placeholder, duplicate (of the first item of its group inside the entity), shared
+    (clearly like a held item of another entity), look-alike (in a group with new items of other entities), added.
+    """
+    sides = [pairs.select(F.col(x).alias("item"), F.col(y).alias("node"), F.col(f"label_{x}").alias("entity_id"), F.col(f"label_{y}").alias("other"), "score") for x, y in ("ab", "ba")]
+    near = sides[0].unionByName(sides[1]).join(new.select("item"), "item", "left_semi")
+    own = near.where(held & (F.col("entity_id") == F.col("other"))).select("entity_id", "item", F.col("node").alias("own"), "score")
+    covered = covered_items(own, greedy_pairs(own, ["entity_id"], "item", "own", "score"), clearly)
+    open_ = cut(new.where("not blank").join(covered, "item", "left_anti").select("item"))
+
+    def grouped(items: DataFrame, across: bool) -> DataFrame:
+        met = (F.col("label_a") != F.col("label_b")) if across else (F.col("label_a") == F.col("label_b"))
+        links = pairs.where(met & (F.col("score") >= clearly)).select("a", "b")
+        links = links.join(items.select(F.col("item").alias("a")), "a", "left_semi").join(items.select(F.col("item").alias("b")), "b", "left_semi")
+        return groups(items.select(F.col("item").alias("node")), links)
+
+    doubles = grouped(open_, False).where("node <> group_id").select(F.col("node").alias("item"))
+    shared = near.where(held & (F.col("entity_id") != F.col("other")) & (F.col("score") >= clearly)).select("item").distinct()
+    left = cut(open_.join(doubles, "item", "left_anti").join(shared, "item", "left_anti"))
+    alike = grouped(left, True)
+    many = alike.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1")
+    lookalikes = alike.join(many, "group_id", "left_semi").select(F.col("node").alias("item"))
+    checks = [("covered", covered), ("placeholder", new.where("blank")), ("duplicate", doubles), ("shared", shared), ("look-alike", lookalikes)]
+    return decisions(new, checks, "item", "added")
+
+
 def first_listing(entities: DataFrame) -> DataFrame:
     """(item_id, entity_id): each item with the first entity that lists it. ``entities``: pos, entity_id, item_ids."""
     each = entities.select("pos", "entity_id", F.posexplode("item_ids").alias("at", "item_id"))

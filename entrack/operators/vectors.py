@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entrack.operators.lineage import cut
+
 SCORE_DIGITS = 6
 BLOCK_ROWS, SHARD_ROWS = 4096, 16_384
 
@@ -106,3 +108,72 @@ def top_entities(scores: DataFrame, k: int) -> DataFrame:
     """The k best entities of each query vector; equal scores rank by the entity's first position."""
     order = Window.partitionBy("query_id", "variant").orderBy(F.col("score").desc(), "first_pos", "entity_id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+#: Rows on each side of a tile of the similarity join, and most pivots, whose table of distances is held by the driver.
+TILE_ROWS, MOST_PIVOTS = 2048, 256
+_SLACK = 1e-6
+
+
+def similar_pairs(rows: DataFrame, key: str, vec: str, least: float, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(a, b, score): all pairs of rows, a < b, whose cosine is at least ``least``, rounded to SCORE_DIGITS.
+
+    Rows gather round pivots, which are rows of the table, one for each tile and MOST_PIVOTS at most; a pivot's rows lie within
+    an angle of it. Two pivots further apart than both angles and that of ``least`` together have no pair, so their
+    tiles never meet. The others are matrix products of bounded size; only pairs that reach ``least`` leave a
+    tile. Vectors without a length have no pairs; keys are longs and unique.
+    """
+    unit = rows.select(F.col(key).cast("long").alias("id"), doubles(F.col(vec)).alias("vec")).where(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x) > 0)
+    unit = cut(unit.select("id", normalised(F.col("vec")).alias("vec")))
+    n = unit.count()
+    picked = unit.orderBy(F.xxhash64("id")).limit(min(MOST_PIVOTS, max(1, -(-n // tile_rows)))).toArrow()  # MOST_PIVOTS rows
+    if not n:
+        return unit.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("score"))
+    pivots = np.stack(picked.column("vec").to_pylist())
+
+    def placed(batches):
+        for batch in batches:
+            if len(batch):
+                cosine = np.clip(np.stack(batch["vec"].to_numpy()) @ pivots.T, -1, 1)
+                cell = cosine.argmax(axis=1)
+                yield pd.DataFrame({"id": batch["id"], "vec": batch["vec"], "cell": cell, "angle": np.arccos(cosine[np.arange(len(cell)), cell])})
+
+    dealt = cut(unit.mapInPandas(placed, "id long, vec array<double>, cell int, angle double"))
+    cells = {r.cell: (r.far, -(-r.n // tile_rows)) for r in dealt.groupBy("cell").agg(F.max("angle").alias("far"), F.count("*").alias("n")).collect()}  # MOST_PIVOTS rows
+    apart, reach = np.arccos(np.clip(pivots @ pivots.T, -1, 1)), float(np.arccos(np.clip(least - 10.0**-SCORE_DIGITS, -1, 1))) + _SLACK
+    tiles = {c: [(c, t) for t in range(cells[c][1])] for c in cells}
+    met = [(a, b) for a in cells for b in cells if a <= b and apart[a, b] - cells[a][0] - cells[b][0] <= reach]
+    partners = {c: [] for c in cells}
+    for a, b in met:
+        partners[a].append((a, b))
+        if a != b:
+            partners[b].append((a, b))
+    spark = rows.sparkSession
+    listed = spark.createDataFrame([(c, [{"left": a, "right": b, "m": len(tiles[a]), "n": len(tiles[b])} for a, b in of], len(tiles[c])) for c, of in partners.items()], "cell int, met array<struct<left: int, right: int, m: int, n: int>>, parts int")
+    # a row of one cell meets all tiles of the other; inside a cell, tiles t <= u
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    spread = dealt.join(F.broadcast(listed), "cell").withColumn("own", own).select("id", "vec", "cell", "own", F.explode("met").alias("p")).select("id", "vec", "cell", "own", "p.*")
+    others = F.sequence(F.lit(0), F.when(F.col("cell") == F.col("left"), F.col("n")).otherwise(F.col("m")) - 1)
+    spread = spread.withColumn("other", F.explode(others))
+    inside = F.col("left") == F.col("right")
+    t = F.when(inside, F.least("own", "other")).when(F.col("cell") == F.col("left"), F.col("own")).otherwise(F.col("other"))
+    u = F.when(inside, F.greatest("own", "other")).when(F.col("cell") == F.col("left"), F.col("other")).otherwise(F.col("own"))
+    side = F.when(inside, F.col("own") == t).otherwise(F.col("cell") == F.col("left"))
+
+    def product(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        left = part["side"].to_numpy(bool)
+        same = key[0] == key[1] and key[2] == key[3]
+        x, y = (part, part) if same else (part[left], part[~left])
+        out = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(x) and len(y):
+            ids, vectors = y["id"].to_numpy(np.int64), np.stack(y["vec"].to_numpy())
+            for lo in range(0, len(x), 512):
+                some = x.iloc[lo : lo + 512]
+                score = np.round(np.stack(some["vec"].to_numpy()) @ vectors.T, SCORE_DIGITS)
+                i, j = np.nonzero(score >= least)
+                p, q = some["id"].to_numpy(np.int64)[i], ids[j]
+                keep = p < q if same else p != q
+                out.append(pd.DataFrame({"a": np.minimum(p, q)[keep], "b": np.maximum(p, q)[keep], "score": score[i, j][keep]}))
+        return pd.concat(out, ignore_index=True)
+
+    return spread.select("id", "vec", "left", "right", t.alias("t"), u.alias("u"), side.alias("side")).groupBy("left", "right", "t", "u").applyInPandas(product, "a long, b long, score double")

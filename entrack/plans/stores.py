@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entrack.operators import geometry as G
 from entrack.operators import graph
 from entrack.operators import index as I  # noqa: E741
 from entrack.operators import sequences as Q
 from entrack.operators import vectors as V
+from entrack.operators.lineage import cut
 from entrack.sources import files as S
 from entrack.sources.tables import table
 
@@ -204,16 +204,18 @@ CLEARLY, CLOSEST = 0.45, 0.35
 
 
 def _alike(spark: SparkSession, sf: str, least: float) -> DataFrame:
-    """Pairs of vectors of one label with a cosine of at least ``least``; labels are small groups."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label", V.normalised(V.doubles(F.col("embedding"))).alias("vec"))
-    a, b = e.select("label", F.col("vec_id").alias("a"), F.col("vec").alias("va")), e.select("label", F.col("vec_id").alias("b"), F.col("vec").alias("vb"))
-    return a.join(b, "label").where("a < b").select("label", "a", "b", F.round(V.dot(F.col("va"), F.col("vb")), 6).alias("score")).where(F.col("score") >= least)
+    """(a, b, score, label_a, label_b): pairs of vectors with a cosine of at least ``least``, worked out once."""
+    e = table(spark, sf, "embeddings")
+    pairs = V.similar_pairs(e, "vec_id", "embedding", least)
+    for side in "ab":
+        pairs = pairs.join(e.select(F.col("vec_id").alias(side), F.col("label").alias(f"label_{side}")), side)
+    return cut(pairs)
 
 
 def cosine_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Single-linkage groups by cosine, inside a label."""
     nodes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"))
-    got = graph.groups(nodes, _alike(spark, sf, CLOSEST).select("a", "b"))
+    got = graph.groups(nodes, _alike(spark, sf, CLOSEST).where("label_a = label_b").select("a", "b"))
     return got.groupBy("group_id").agg(F.count("*").alias("n"), F.max("node").alias("largest")).where("n > 1")
 
 
@@ -225,19 +227,9 @@ def unaccepted_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def decision_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """New items of each label: covered by an own one, like the placeholder, a duplicate of an earlier new one, or added."""
+    """New items of each label: covered by an own one, like the placeholder, a duplicate of an earlier new one, shared with another label, a look-alike, or added."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("entity_id"), F.get("embedding", 0).cast("double").alias("first"))
-    new = e.where("item % 2 = 1")
-    pairs = _alike(spark, sf, CLOSEST)
-    across = pairs.where("a % 2 <> b % 2").select(F.col("label").alias("entity_id"), F.when(F.col("a") % 2 == 1, F.col("a")).otherwise(F.col("b")).alias("item"), F.when(F.col("a") % 2 == 1, F.col("b")).otherwise(F.col("a")).alias("own"), "score")
-    matches = G.greedy_pairs(across, ["entity_id"], "item", "own", "score")
-    covered = I.covered_items(across, matches, CLEARLY)
-    blank = new.where("first >= 0.2")
-    rest = new.join(covered, "item", "left_anti").join(blank.select("item"), "item", "left_anti").select("item")
-    linked = pairs.where("a % 2 = 1 and b % 2 = 1").join(rest.select(F.col("item").alias("a")), "a", "left_semi").join(rest.select(F.col("item").alias("b")), "b", "left_semi")
-    groups = graph.groups(rest.select(F.col("item").alias("node")), linked.where(F.col("score") >= CLEARLY).select("a", "b"))
-    doubles = groups.where("node <> group_id").select(F.col("node").alias("item"))
-    return I.decisions(new.select("item", "entity_id"), [("covered", covered), ("placeholder", blank), ("duplicate", doubles)], "item", "added")
+    return I.cascade(e.where("item % 2 = 1").withColumn("blank", F.col("first") >= 0.2), _alike(spark, sf, CLOSEST), F.col("node") % 2 == 0, CLEARLY).select("item", "entity_id", "decision")
 
 
 _ALL = (

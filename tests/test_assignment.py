@@ -11,6 +11,7 @@ import pytest
 from entrack.operators import assignment as A
 from entrack.operators import geometry as G
 from entrack.operators import index as I  # noqa: E741
+from entrack.operators import vectors as V
 from entrack.plans import registry
 from entrack.plans.assignment import quads
 from entrack.plans.spatial import boxes
@@ -182,31 +183,57 @@ def test_rereads_checks_and_staged_keys():
 
 def test_cascade_of_decisions(spark, small):
     found = {r.item: r.decision for r in registry.QUERIES["decision_cascade"](spark, small).collect()}
-    e = spark.read.parquet(f"{small}/embeddings.parquet").toPandas()
-    unit = {r.vec_id: np.array(r.embedding, dtype=float) / np.linalg.norm(r.embedding) for r in e.itertuples()}
-    first = {r.vec_id: float(r.embedding[0]) for r in e.itertuples()}
-    wanted = {}
-    for _, rows in e.groupby("label"):
-        ids = sorted(rows["vec_id"])
-        new, own = [i for i in ids if i % 2], [i for i in ids if not i % 2]
-        score = {(i, j): round(float(unit[i] @ unit[j]), 6) for i in ids for j in ids if i != j}
-        covered = {i for i in new if any(score[i, j] >= 0.45 for j in own)}
-        taken_new, taken_own = set(), set()
-        for _, i, j in sorted((-score[i, j], i, j) for i in new for j in own if score[i, j] >= 0.35):
-            if i not in taken_new and j not in taken_own:
-                taken_new.add(i)
-                taken_own.add(j)
-        covered |= taken_new
-        rest = [i for i in new if i not in covered and first[i] < 0.2]
+    e = spark.read.parquet(f"{small}/embeddings.parquet").toPandas().sort_values("vec_id")
+    ids, label = e["vec_id"].tolist(), dict(zip(e["vec_id"], e["label"], strict=True))
+    vectors = np.stack(e["embedding"].to_numpy()).astype(float)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    table = np.round(unit @ unit.T, 6)
+    score = {(i, j): table[x, y] for x, i in enumerate(ids) for y, j in enumerate(ids) if i != j}
+    first = dict(zip(ids, vectors[:, 0], strict=True))
+    new, held = [i for i in ids if i % 2], [i for i in ids if not i % 2]
+    own = {i: [j for j in held if label[j] == label[i]] for i in new}
+    decision = {i: "covered" for i in new if any(score[i, j] >= 0.45 for j in own[i])}
+    taken_new, taken_own = set(), set()
+    for _, i, j in sorted((-score[i, j], i, j) for i in new for j in own[i] if score[i, j] >= 0.35):
+        if i not in taken_new and j not in taken_own:
+            taken_new.add(i)
+            taken_own.add(j)
+    decision |= dict.fromkeys(taken_new, "covered")
+    decision |= {i: "placeholder" for i in new if i not in decision and first[i] >= 0.2}
+
+    def sets(rest: list, met) -> dict:
         group = {i: i for i in rest}
         for _ in rest:
+            before = dict(group)
             for i in rest:
                 for j in rest:
-                    if i != j and score[i, j] >= 0.45:
+                    if i != j and met(i, j) and score[i, j] >= 0.45:
                         group[i] = group[j] = min(group[i], group[j])
-        for i in new:
-            wanted[i] = "covered" if i in covered else "placeholder" if first[i] >= 0.2 else "duplicate" if group[i] != i else "added"
-    assert found == wanted and len(set(wanted.values())) >= 3
+            if group == before:
+                return group
+        return group
+
+    rest = [i for i in new if i not in decision]
+    decision |= {i: "duplicate" for i, g in sets(rest, lambda i, j: label[i] == label[j]).items() if i != g}
+    decision |= {i: "shared" for i in rest if i not in decision and any(score[i, j] >= 0.45 for j in held if label[j] != label[i])}
+    rest = [i for i in rest if i not in decision]
+    across = sets(rest, lambda i, j: label[i] != label[j])
+    sizes = [*across.values()]
+    decision |= {i: "look-alike" if sizes.count(g) > 1 else "added" for i, g in across.items()}
+    assert found == decision and len(set(decision.values())) >= 4
+
+
+@pytest.mark.parametrize("tile_rows", [2048, 40])
+def test_similar_pairs_equal_all_products(spark, tile_rows):
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(6, 12))
+    vectors = np.concatenate([middles[k % 6] + rng.normal(scale=0.4, size=12) for k in range(299)]).reshape(299, 12)
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)] + [(500, [0.0] * 12)]
+    found = V.similar_pairs(spark.createDataFrame(rows, "id long, vec array<double>"), "id", "vec", 0.8, tile_rows).collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    table = np.round(unit @ unit.T, V.SCORE_DIGITS)
+    assert {(r.a, r.b) for r in found} == {(i, j) for i in range(299) for j in range(i + 1, 299) if table[i, j] >= 0.8} and len(found) == len({(r.a, r.b) for r in found})
+    assert V.similar_pairs(spark.createDataFrame([], "id long, vec array<double>"), "id", "vec", 0.8).count() == 0
 
 
 def test_index_guards_raise(spark):
