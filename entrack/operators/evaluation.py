@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entrack.operators.lineage import cut
+
 
 def ranked_values(rows: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
     """The value at each place of the sorted group; a place is a column over ``n``, the group's size, from 0.
@@ -101,3 +103,61 @@ def rejections(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
 def capped_weight(keys: list[str], most: float) -> Column:
     """Rows of a large group share ``most`` between them."""
     return F.least(F.lit(1.0), F.lit(most) / F.count("*").over(Window.partitionBy(*keys)))
+
+
+_OUTCOMES = ("right", "wrong", "negative")
+
+
+def grid_replay(readings: DataFrame, rules: DataFrame, most_negative: int) -> DataFrame:
+    """The rules under which no reading is answered wrongly and at most ``most_negative`` of those without a truth are answered.
+
+    ``readings``: a1, m1, top1 and a2, m2, top2, score, lead and answer of the first list and of the list of all views;
+    truth (null: nothing to find); never (asked back, so never sure). ``rules``: score, margin, floor, score2, margin2 (a rule
+    without a second gate has nulls there). A reading is sure by its first list, else by the other. Gives confident,
+    negative and place: most confident first, then fewer negatives, higher score, higher floor, then the other values.
+
+    Readings are counted once, by the steps between the rules' thresholds on all four axes; running sums along
+    each axis make every count a lookup, so rules cost the same whatever the number of readings. The table's size is
+    the product of the numbers of thresholds.
+    """
+    spark = readings.sparkSession
+    lower = lambda column: F.greatest(F.col("floor"), F.col(column))
+    scores = rules.select(F.explode(F.array(lower("score"), F.when(F.col("score2").isNotNull(), lower("score2")))).alias("x")).where("x is not null").distinct()
+    margins = rules.select(F.explode(F.array("margin", "margin2")).alias("x")).where("x is not null").distinct()
+    scores, margins = (sorted(r.x for r in axis.collect()) for axis in (scores, margins))  # thresholds of the rules
+    step = lambda value, axis: sum(F.when(F.col(value) >= F.lit(x) - 1e-9, 1).otherwise(0) for x in axis)
+    axes = {"a1": scores, "m1": margins, "a2": scores, "m2": margins}
+    told = lambda top: [F.count_if(F.col("truth") == F.col(top)), F.count_if(F.col("truth") != F.col(top)), F.count_if(F.col("truth").isNull())]
+    names = [f"{o}{i}" for i in (1, 2) for o in _OUTCOMES]
+    counted = readings.where("not never").select(*[step(v, axis).alias(v) for v, axis in axes.items()], "top1", "top2", "truth").groupBy(*axes)
+    counted = counted.agg(*[c.alias(n) for n, c in zip(names, told("top1") + told("top2"), strict=True)])
+    grid = spark.range(1)
+    for v, axis in axes.items():
+        grid = grid.withColumn(v, F.explode(F.sequence(F.lit(0), F.lit(len(axis)))))
+    sums = grid.drop("id").join(counted, list(axes), "left").select(*axes, *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+    for v in axes:
+        others = Window.partitionBy(*[x for x in axes if x != v]).orderBy(F.col(v).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        sums = sums.select(*axes, *[F.sum(n).over(others).alias(n) for n in names])
+    sums = cut(sums)
+
+    def corners(i: int) -> Column:
+        """(a, m, sign) of the list's quadrants, as steps; a rule without a second gate has its first alone."""
+        place = lambda value, axis: sum(F.when(value >= F.lit(x) - 1e-9, 1).otherwise(0) for x in axis)
+        one = (place(lower("score"), scores), place(F.col("margin"), margins))
+        two = (place(lower("score2"), scores), place(F.col("margin2"), margins))
+        both = (F.greatest(one[0], two[0]), F.greatest(one[1], two[1]))
+        rows = [F.struct(a.alias(f"a{i}"), m.alias(f"m{i}"), F.lit(s).alias(f"s{i}")) for (a, m), s in ((one, 1), (two, 1), (both, -1))]
+        return F.when(F.col("score2").isNull(), F.array(rows[0])).otherwise(F.array(*rows))
+
+    every = lambda i: F.array(F.struct(F.lit(0).alias(f"a{i}"), F.lit(0).alias(f"m{i}"), F.lit(1).alias(f"s{i}")))
+    numbered = cut(rules.select("score", "margin", "floor", "score2", "margin2").distinct())
+    keys = numbered.columns
+    parts = []
+    for first, second, take, sign in ((corners(1), every(2), "1", 1), (every(1), corners(2), "2", 1), (corners(1), corners(2), "2", -1)):
+        asked = numbered.select(*keys, F.inline(first)).select(*keys, "a1", "m1", "s1", F.inline(second))
+        weight = F.col("s1") * F.col("s2") * F.lit(sign)
+        parts.append(asked.join(sums, list(axes)).select(*keys, *[(F.col(f"{o}{take}") * weight).alias(o) for o in _OUTCOMES]))
+    tallied = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*keys).agg(*[F.sum(o).alias(o) for o in _OUTCOMES])
+    good = tallied.where((F.col("wrong") == 0) & (F.col("negative") <= most_negative)).withColumnRenamed("right", "confident")
+    order = [F.col("confident").desc(), F.col("negative"), F.col("score").desc(), F.col("floor").desc(), F.col("margin"), F.col("score2").asc_nulls_first(), F.col("margin2").asc_nulls_first()]
+    return good.withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("wrong")  # rules, not readings

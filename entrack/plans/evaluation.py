@@ -78,6 +78,28 @@ def threshold_grid(spark: SparkSession, sf: str) -> DataFrame:
     return counts.where("confident >= 100 and 4 * wrong <= confident")
 
 
+#: The grid of accept rules: floor, score, margin, and the second gate's pairs, one of which is none.
+GRID = {"floor": (0.3, 0.4, 0.5, 0.6), "score": (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9), "margin": (0.01, 0.05, 0.1)}
+SECOND = (None, *((s, m) for s in (0.4, 0.5, 0.6, 0.7) for m in (0.12, 0.15, 0.2)))
+
+
+def grid_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as readings of two lists, replayed under every rule of the grid: none wrong, one in 25 negatives at most."""
+    k, s1 = F.col("k"), F.col("s1")
+    a2 = F.round(F.least(F.lit(1.0), s1 * 0.8 + (k % 17) / 50), 4)
+    truth = F.when(k % 10 > 0, k % 4)
+    rows = scored(spark, sf).select(
+        s1.alias("a1"), F.round(s1 - F.col("s2"), 4).alias("m1"), F.when((s1 >= 0.55) | (k % 3 > 0), k % 4).otherwise((k + 1) % 4).alias("top1"),
+        a2.alias("a2"), F.round((k % 23) / 100, 4).alias("m2"), F.when((a2 >= 0.45) | (k % 5 > 0), k % 4).otherwise((k + 2) % 4).alias("top2"), truth.alias("truth"), (~F.col("correct")).alias("never"),
+    )
+    rules = spark.range(1).drop("id")
+    for name, values in GRID.items():
+        rules = rules.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    seconds = [F.struct(F.lit(p[0] if p else None).cast("double").alias("score2"), F.lit(p[1] if p else None).cast("double").alias("margin2")) for p in SECOND]
+    rules = rules.where("score >= floor").select("*", F.inline(F.array(*seconds)))
+    return E.grid_replay(rows, rules, rows.count() // 25).select("floor", "score", "margin", "score2", "margin2", "confident", "negative", "place")
+
+
 def state_transitions(spark: SparkSession, sf: str) -> DataFrame:
     s = scored(spark, sf)
     before = s.select("event_id", F.when(F.col("s1") >= 0.5, "sure").otherwise("low").alias("state"))
@@ -157,7 +179,7 @@ SELECT score, margin, floor, c >= {least} AND r >= {precision} * c AS achieved,
 
 
 _ALL = (
-    percentiles, eval_buckets, eval_by_tag, weighted_mean, threshold_outcome, calibrate_thresholds, calibrate_unreached, threshold_grid, state_transitions, report_differences, filter_cascade,
+    percentiles, eval_buckets, eval_by_tag, weighted_mean, threshold_outcome, calibrate_thresholds, calibrate_unreached, threshold_grid, grid_replay, state_transitions, report_differences, filter_cascade,
     group_weights, group_deviation, confusion, conservative_verdict, value_correlation, model_choice, held_out_split,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -179,6 +201,17 @@ SELECT event_type, confident, round(CASE WHEN confident > 0 THEN r / confident E
 (SELECT unnest([8, 12, 16]) AS score), (SELECT unnest([0, 2]) AS margin), (SELECT unnest([2, 4]) AS floor), (SELECT unnest([6, 10]) AS score2), (SELECT unnest([4, 8]) AS margin2)
 WHERE round(s1 * 20, 6) >= floor AND ((round(s1 * 20, 6) >= score AND round((s1 - s2) * 20, 6) >= margin) OR (round(s1 * 20, 6) >= score2 AND round((s1 - s2) * 20, 6) >= margin2))
 GROUP BY ALL HAVING count(*) >= 100 AND 4 * count(*) FILTER (WHERE NOT correct) <= count(*)""",
+    "grid_replay": f"""WITH {_S}, r AS (SELECT s1 AS a1, round(s1 - s2, 4) AS m1, CASE WHEN s1 >= 0.55 OR k % 3 > 0 THEN k % 4 ELSE (k + 1) % 4 END AS top1,
+  round(least(1.0, s1 * 0.8::DOUBLE + (k % 17) / 50), 4) AS a2, round((k % 23) / 100, 4) AS m2, k, CASE WHEN k % 10 > 0 THEN k % 4 END AS truth, NOT correct AS never FROM s),
+q AS (SELECT *, CASE WHEN a2 >= 0.45 OR k % 5 > 0 THEN k % 4 ELSE (k + 2) % 4 END AS top2 FROM r),
+g AS (SELECT * FROM (SELECT unnest({list(GRID["floor"])}::DOUBLE[]) AS floor), (SELECT unnest({list(GRID["score"])}::DOUBLE[]) AS score), (SELECT unnest({list(GRID["margin"])}::DOUBLE[]) AS margin),
+  (VALUES {", ".join("(NULL::DOUBLE, NULL::DOUBLE)" if p is None else f"({p[0]}::DOUBLE, {p[1]}::DOUBLE)" for p in SECOND)}) t(score2, margin2) WHERE score >= floor),
+d AS (SELECT g.*, q.*, a1 >= floor AND ((a1 >= score AND m1 >= margin) OR coalesce(a1 >= score2 AND m1 >= margin2, false)) AS one,
+  a2 >= floor AND ((a2 >= score AND m2 >= margin) OR coalesce(a2 >= score2 AND m2 >= margin2, false)) AS two FROM g, q WHERE NOT never),
+o AS (SELECT floor, score, margin, score2, margin2, truth, CASE WHEN one THEN top1 ELSE top2 END AS top, one OR two AS sure FROM d),
+t AS (SELECT floor, score, margin, score2, margin2, count(*) FILTER (WHERE sure AND truth = top) AS confident, count(*) FILTER (WHERE sure AND truth <> top) AS wrong, count(*) FILTER (WHERE sure AND truth IS NULL) AS negative FROM o GROUP BY ALL)
+SELECT floor, score, margin, score2, margin2, confident, negative, CAST(row_number() OVER (ORDER BY confident DESC, negative, score DESC, floor DESC, margin, score2 NULLS FIRST, margin2 NULLS FIRST) AS INTEGER) AS place
+FROM t WHERE wrong = 0 AND negative <= (SELECT count(*) FROM q) // 25""",
     "state_transitions": f"WITH {_S} SELECT CASE WHEN s1 >= 0.5 THEN 'sure' ELSE 'low' END AS was, CASE WHEN s2 >= 0.3 THEN 'sure' ELSE 'low' END AS is_now, count(*) AS n FROM s GROUP BY ALL",
     "report_differences": "WITH t AS (SELECT l_orderkey, sum(l_extendedprice) AS total FROM lineitem GROUP BY 1) SELECT o_orderkey, round(o_totalprice - total, 2) AS difference FROM orders JOIN t ON l_orderkey = o_orderkey WHERE abs(round(o_totalprice - total, 2)) > 0.005",
     "filter_cascade": "SELECT CASE WHEN n_chars < 200 THEN 'short' WHEN n_chars > 8000 THEN 'long' WHEN contains(text, ' | ') THEN 'table' WHEN lang <> 'en' THEN 'foreign' ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY 1",
