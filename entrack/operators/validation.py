@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entrack.functions import text as X
+from entrack.operators.lineage import cut
+from entrack.operators.sequences import places
 
 #: The largest whole number that a double holds exactly, and the limits of a report.
 SAFE = 9007199254740991
@@ -197,3 +199,31 @@ def text_seed(text: Column) -> Column:
     """A 32-bit seed of a string: its characters' codes, xor and times a prime, in order (FNV-1a)."""
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), F.ascii)
     return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: _times(h.bitwiseXOR(c.cast("long")), F.lit(16777619).cast("long")))
+
+
+def shuffled_sample(rows: DataFrame, order: str, k: int, seed: int) -> DataFrame:
+    """The rows that a seeded shuffle of the whole table, by swaps from its end down, puts first, with their ``place`` from 0.
+
+    ``order``: a numeric column that fixes the table's order. Swap i exchanges place i with place j <= i. Followed
+    backwards, a row that ends at place q < k leaves it with the first later swap that draws q, for that swap's own place,
+    and so on: a row only moves up. So each place needs its first later swap alone, a minimum by group, and only the k
+    places are followed, in some log(n / k) joins; no list of all rows is held. The driver holds k numbers.
+    """
+    spark = rows.sparkSession
+    counted = places(rows.withColumn("_all", F.lit(0)), ["_all"], order).drop("_all", "_c")
+    n = rows.count()
+    if not n or k < 1:
+        return counted.where("false").withColumnRenamed("_n", "place")
+    k = min(k, n)
+    i = F.col("i")
+    swaps = spark.range(1, n).select(F.col("id").alias("i")).withColumn("j", F.floor(seeded_uniform(F.lit(seed), F.lit(n) - i) * (i + 1)))
+    held = list(range(k))
+    for swap in sorted(swaps.where(i < k).collect()):  # k numbers
+        held[swap.i], held[swap.j] = held[swap.j], held[swap.i]
+    later = cut(swaps.where((i >= k) & (i > F.col("j"))).groupBy("j").agg(F.min("i").alias("i")))
+    found = spark.createDataFrame([(place, j) for j, place in enumerate(held)], "place long, j long")
+    while True:
+        moved = cut(found.join(later, "j", "left").select("place", F.coalesce("i", "j").alias("j"), F.col("i").isNotNull().alias("moved")))
+        found = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return counted.join(found.withColumnRenamed("j", "_n"), "_n").drop("_n")

@@ -212,6 +212,11 @@ def seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
     return p.orderBy("draw", "p_partkey").limit(100)
 
 
+def seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
+    """The hundred parts that a seeded shuffle of all puts first, in its order."""
+    return V.shuffled_sample(table(spark, sf, "part").select("p_partkey"), "p_partkey", 100, 7).select("p_partkey", "place")
+
+
 def hash_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", V.text_seed(F.concat_ws("|", "p_name", "p_brand")).alias("seed"))
 
@@ -240,7 +245,7 @@ def timing_map(spark: SparkSession, sf: str) -> DataFrame:
 _ALL = (
     record_trim, price_pair, pack_parse, pack_too_small, payload_all_or_nothing, settings_merge, log_guard, first_known_entity, display_ids, prefix_groups, sample_expansion,
     answer_labels, decision_labels, command_codes, batch_outcomes, report_validation, video_links, negative_buckets, full_buckets, timing_stats, confusion_missed,
-    direction_vote, interference, spread_pick, seeded_sample, hash_seeds, spread_order, jittered_moments, timing_map,
+    direction_vote, interference, spread_pick, seeded_sample, seeded_shuffle, hash_seeds, spread_order, jittered_moments, timing_map,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -310,6 +315,10 @@ SELECT DISTINCT day, user_id FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b JOIN t
     "spread_pick": """WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
 SELECT o_custkey, CASE WHEN n <= 5 THEN array_to_string(range(0, n), ',') ELSE array_to_string(list_sort(list_distinct(list_transform(range(0, 5), lambda i: CAST(floor(i * (n - 1) / 4 + 0.5) AS BIGINT)))), ',') END AS places FROM o""",
     "seeded_sample": f"WITH src AS (SELECT p_partkey FROM part), {_draw('7', 'p_partkey + 1')} SELECT p_partkey, draw FROM d ORDER BY draw, p_partkey LIMIT 100",
+    "seeded_shuffle": f"""WITH RECURSIVE n AS (SELECT count(*) AS n, list(p_partkey ORDER BY p_partkey) AS pool FROM part), src AS (SELECT unnest(range(1, n)) AS i, n FROM n), {_draw("7", "n - i")},
+j AS (SELECT i, CAST(floor(draw * (i + 1)) AS BIGINT) AS j FROM d),
+r AS (SELECT n - 1 AS i, pool FROM n UNION ALL SELECT r.i - 1, list_transform(pool, lambda x, p: CASE WHEN p = r.i + 1 THEN pool[j.j + 1] WHEN p = j.j + 1 THEN pool[r.i + 1] ELSE x END) FROM r JOIN j ON j.i = r.i)
+SELECT unnest(pool[1:100]) AS p_partkey, unnest(range(0, least(100, len(pool)))) AS place FROM r WHERE i = 0""",
     "hash_seeds": f"SELECT p_partkey, {_fnv('''p_name || '|' || p_brand''')} AS seed FROM part",
     "spread_order": "SELECT s_suppkey, list_sum(list_transform(range(0, 32), lambda i: ((s_suppkey >> i) & 1) * power(2.0, -(i + 1)))) AS place FROM supplier",
     "jittered_moments": f"""WITH src AS (SELECT p_partkey, p_size * 60 AS length, {_fnv("p_partkey || ':6'")} AS seed, m FROM part, (SELECT unnest(range(0, 6)) AS m)), {_draw('seed', 'm + 1')}
