@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from entrack.operators.geometry import polygon_iou
+from entrack.operators.geometry import outline_shares, polygon_iou
 
 
 def by_group(rows: DataFrame, keys: list[str], order: list[str], rule: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
@@ -92,10 +92,10 @@ def scored_frame(least_conf: float) -> Callable[[list[dict]], list[dict]]:
         shapes, taken, out = [quad(r) for r in real], {}, []
         for d in found:
             q = quad(d)
-            shares = [polygon_iou(q, s) for s in shapes]
-            free = [(round(s, 9), -i) for i, s in enumerate(shares) if i not in taken and s >= MATCH]
+            shares = outline_shares(q[None], np.stack(shapes))[0].tolist() if shapes else []
+            free = [(round(s, 9), i) for i, s in enumerate(shares) if i not in taken and s >= MATCH]  # of equal ones the last
             if free:
-                taken[-max(free)[1]] = d
+                taken[max(free)[1]] = d
             elif not any(s >= ON_LABEL for s in shares) and not any(inside_share(q, s) >= ON_IGNORE or polygon_iou(q, s) >= ON_LABEL for s in ignored):
                 out.append({"label_id": None, "box_id": d["box_id"], "outcome": "false", "px": None, "relative": None})
         for i, r in enumerate(real):
@@ -122,11 +122,14 @@ def batch_tracks(least: float) -> Callable[[list[dict]], list[dict]]:
             frames.setdefault(r["frame"], []).append(r)
         for dets in frames.values():
             shapes = [quad(d) for d in dets]
-            pairs = [(polygon_iou(t["quad"], shapes[i]), t["id"], i) for i, d in enumerate(dets) for t in tracks if t["kind"] == d["kind"]]
+            met = outline_shares(np.stack([t["quad"] for t in tracks]), np.stack(shapes)) if tracks else np.zeros((0, len(dets)))
+            pairs = [(met[t, i], t, i) for t, i in zip(*(x.tolist() for x in np.nonzero(met >= least)), strict=True) if tracks[t]["kind"] == dets[i]["kind"]]
             owner: dict[int, int] = {}
-            for share, t, i in sorted(pairs, key=lambda p: (-p[0], p[2], p[1])):
-                if share >= least and i not in owner and t not in owner.values():
+            taken: set[int] = set()
+            for _, t, i in sorted(pairs, key=lambda p: (-p[0], p[2], p[1])):
+                if i not in owner and t not in taken:
                     owner[i] = t
+                    taken.add(t)
             for i, d in enumerate(dets):
                 if i not in owner:
                     owner[i] = len(tracks)
@@ -145,13 +148,14 @@ def deduped(least: float) -> Callable[[list[dict]], list[dict]]:
     """
 
     def rule(rows: list[dict]) -> list[dict]:
-        kept: list[tuple[int, np.ndarray]] = []
-        out = []
+        out, frames, shapes = [], [], np.zeros((len(rows), 4, 2))
         for r in rows:
-            q = quad(r)
-            if any(f != r["frame"] and polygon_iou(p, q) >= least for f, p in kept):
+            q, n = quad(r), len(out)
+            others = np.array(frames[:n], dtype=object) != r["frame"]
+            if n and (outline_shares(shapes[:n], q[None])[:, 0][others] >= least).any():
                 continue
-            kept.append((r["frame"], q))
+            shapes[n] = q
+            frames.append(r["frame"])
             out.append({"box_id": r["box_id"], "frame": r["frame"]})
         return out
 

@@ -6,7 +6,7 @@ boxes that share a cell are compared; a pair is compared in one cell only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -210,33 +210,62 @@ def _walked(pairs: DataFrame, group: list[str], left: str, right: str, score: st
     return dealt.mapInPandas(rule, ", ".join(f"{n} {types[n]}" for n in names))
 
 
-def _clip(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
-    """The part of a polygon inside a convex one."""
-    out = subject
-    turn = np.sign(np.sum(clip[:, 0] * np.roll(clip[:, 1], -1) - np.roll(clip[:, 0], -1) * clip[:, 1])) or 1.0
-    for a, b in zip(clip, np.roll(clip, -1, axis=0), strict=True):
-        if not len(out):
-            break
-        side = turn * ((b[0] - a[0]) * (out[:, 1] - a[1]) - (b[1] - a[1]) * (out[:, 0] - a[0]))
-        kept = []
-        for i in range(len(out)):
-            j = (i + 1) % len(out)
-            if side[i] >= 0:
-                kept.append(out[i])
-            if side[i] * side[j] < 0:
-                kept.append(out[i] + (out[j] - out[i]) * (side[i] / (side[i] - side[j])))
-        out = np.array(kept)
-    return out
+def _areas(p: np.ndarray) -> np.ndarray:
+    """Signed areas of polygons (n, points, 2)."""
+    q = np.roll(p, -1, axis=1)
+    return np.sum(p[..., 0] * q[..., 1] - q[..., 0] * p[..., 1], axis=1) / 2
+
 
+def shared_areas(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Areas that the convex polygons p[i] and q[i] share; both (n, points, 2), clipped all at once, edge by edge.
 
-def _polygon_area(p: np.ndarray) -> float:
-    return abs(float(np.sum(p[:, 0] * np.roll(p[:, 1], -1) - np.roll(p[:, 0], -1) * p[:, 1]))) / 2 if len(p) > 2 else 0.0
+    A clipped polygon has at most one point more than before; shorter ones repeat their last point, which adds no area.
+    """
+    turn = np.where(_areas(q) < 0, -1.0, 1.0)[:, None]
+    out = p.astype(float)
+    for a, b in zip(np.moveaxis(q, 1, 0), np.moveaxis(np.roll(q, -1, axis=1), 1, 0), strict=True):
+        edge, away = (b - a)[:, None], out - a[:, None]
+        side = turn * (edge[..., 0] * away[..., 1] - edge[..., 1] * away[..., 0])
+        after, onward = np.roll(side, -1, axis=1), np.roll(out, -1, axis=1)
+        crossed = side * after < 0
+        share = np.divide(side, side - after, out=np.zeros_like(side), where=crossed)
+        n, points = side.shape
+        every = np.stack([out, out + (onward - out) * share[..., None]], axis=2).reshape(n, 2 * points, 2)
+        kept = np.stack([side >= 0, crossed], axis=2).reshape(n, 2 * points)
+        count = kept.sum(axis=1)
+        order = np.argsort(~kept, axis=1, kind="stable")
+        last = np.minimum(np.arange(points + 1)[None], np.maximum(count - 1, 0)[:, None])
+        out = np.take_along_axis(every, np.take_along_axis(order, last, axis=1)[..., None], axis=1)
+        out[count == 0] = 0.0
+    return np.abs(_areas(out))
+
+
+def polygon_ious(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Shared area over joint area of convex polygons, pair by pair."""
+    both = shared_areas(p, q)
+    joint = np.abs(_areas(p)) + np.abs(_areas(q)) - both
+    return np.divide(both, joint, out=np.zeros_like(both), where=joint > 0)
 
 
 def polygon_iou(a: np.ndarray, b: np.ndarray) -> float:
-    both = _polygon_area(_clip(a, b))
-    union = _polygon_area(a) + _polygon_area(b) - both
-    return both / union if union > 0 else 0.0
+    return float(polygon_ious(a[None], b[None])[0])
+
+
+def outline_shares(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The overlap of every polygon of p with every one of q; only those whose bounds meet are clipped."""
+    out = np.zeros((len(p), len(q)))
+    if len(p) and len(q):
+        lo_p, hi_p, lo_q, hi_q = p.min(axis=1), p.max(axis=1), q.min(axis=1), q.max(axis=1)
+        i, j = np.nonzero(((lo_p[:, None] < hi_q[None]) & (lo_q[None] < hi_p[:, None])).all(axis=2))
+        out[i, j] = polygon_ious(p[i], q[j])
+    return out
+
+
+def as_polygons(points: Iterable) -> np.ndarray:
+    """Lists of points as one array; shorter ones repeat their last point."""
+    found = [np.stack([np.asarray(x, float) for x in p]) for p in points]
+    most = max((len(p) for p in found), default=0)
+    return np.stack([p[np.minimum(np.arange(most), len(p) - 1)] for p in found]) if found else np.zeros((0, 4, 2))
 
 
 def quad_iou(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -244,25 +273,27 @@ def quad_iou(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            shared = [round(polygon_iou(np.stack(list(p)), np.stack(list(q))), 9) for p, q in zip(batch[a], batch[b], strict=True)]
-            yield batch.drop(columns=[a, b]).assign(quad_iou=shared)
+            yield batch.drop(columns=[a, b]).assign(quad_iou=np.round(polygon_ious(as_polygons(batch[a]), as_polygons(batch[b])), 9))
 
     kept = [f for f in pairs.schema.fields if f.name not in (a, b)]
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept], "quad_iou double"])
     return pairs.mapInPandas(run, schema)
 
 
-def suppressed(boxes: DataFrame, frame: list[str], most: float, cell: float) -> DataFrame:
+def suppressed(boxes: DataFrame, frame: list[str], most: float, cell: float, outline: str | None = None) -> DataFrame:
     """Non-maximum suppression: a box stays unless a stronger one that stays overlaps it by more than ``most``.
 
-    ``boxes``: frame columns, box_id, x, y, w, h, conf. Rounds over the overlapping pairs only: a box with no
+    ``boxes``: frame columns, box_id, x, y, w, h, conf; with ``outline``, a column of points, the overlap is that of
+    the outlines, and x, y, w, h are their bounds. Rounds over the overlapping pairs only: a box with no
     stronger open neighbour stays, and the weaker neighbours of those that stay go.
     """
-    a = boxes.select(*frame, F.col("box_id").alias("aid"), F.col("conf").alias("aconf"), *[F.col(c).alias(f"a{c}") for c in "xywh"])
-    b = boxes.select(*frame, F.col("box_id").alias("bid"), F.col("conf").alias("bconf"), *[F.col(c).alias(f"b{c}") for c in "xywh"])
-    met = overlapping(a, b, "a", "b", 0.0, cell, frame).where(F.col("iou") > most)
-    stronger = met.where("aconf > bconf or (aconf = bconf and aid < bid)").select(*frame, F.col("aid").alias("strong"), F.col("bid").alias("weak"))
-    stronger = cut(stronger)
+    also = [outline] if outline else []
+    a = boxes.select(*frame, F.col("box_id").alias("aid"), F.col("conf").alias("aconf"), *[F.col(c).alias(f"a{c}") for c in [*"xywh", *also]])
+    b = boxes.select(*frame, F.col("box_id").alias("bid"), F.col("conf").alias("bconf"), *[F.col(c).alias(f"b{c}") for c in [*"xywh", *also]])
+    met = overlapping(a, b, "a", "b", 0.0, cell, frame).where("aconf > bconf or (aconf = bconf and aid < bid)")
+    if outline:
+        met = quad_iou(met.select(*frame, "aid", "bid", f"a{outline}", f"b{outline}"), f"a{outline}", f"b{outline}").withColumnRenamed("quad_iou", "iou")
+    stronger = cut(met.where(F.col("iou") > most).select(*frame, F.col("aid").alias("strong"), F.col("bid").alias("weak")))
     kept, open_boxes, open_pairs = None, boxes.select(*frame, "box_id"), stronger
     for _ in range(ROUNDS):
         stay = cut(open_boxes.join(open_pairs.select(*frame, F.col("weak").alias("box_id")).distinct(), [*frame, "box_id"], "left_anti"))

@@ -71,6 +71,12 @@ def nms(spark: SparkSession, sf: str) -> DataFrame:
     return G.suppressed(boxes(spark, sf), ["frame"], 0.1, CELL).select("frame", "box_id", "conf")
 
 
+def nms_outlines(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppression by the overlap of turned outlines, which is less than that of their bounds."""
+    turned = boxes(spark, sf).withColumn("quad", G.corners(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("conf") * 45)).withColumn("o", G.bounds(F.col("quad")))
+    return G.suppressed(turned.select("frame", "box_id", "conf", "quad", "o.*"), ["frame"], 0.1, CELL, "quad").select("frame", "box_id", "conf")
+
+
 def greedy_cover(spark: SparkSession, sf: str) -> DataFrame:
     """One-to-one matches between strong and weak boxes, best overlap first."""
     b = boxes(spark, sf)
@@ -121,7 +127,7 @@ def _iou(a: str, b: str) -> str:
 
 
 _MID = "{0}.x + {0}.w / 2 BETWEEN {1}.x AND {1}.x + {1}.w AND {0}.y + {0}.h / 2 BETWEEN {1}.y AND {1}.y + {1}.h"
-_ALL = (box_iou_join, box_shapes, point_in_box, pick_box, merge_detections, overlay_filter, nms, greedy_cover, quad_overlap, tile_plan, read_order, similarity_components)
+_ALL = (box_iou_join, box_shapes, point_in_box, pick_box, merge_detections, overlay_filter, nms, nms_outlines, greedy_cover, quad_overlap, tile_plan, read_order, similarity_components)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "box_iou_join": f"WITH {_B} SELECT p.box_id AS a_id, q.box_id AS b_id, {_iou('p', 'q')} AS iou FROM b p JOIN b q ON p.box_id < q.box_id WHERE {_iou('p', 'q')} >= 0.3",

@@ -45,6 +45,52 @@ def test_suppression_by_walking_down_the_confidences(spark, small, frame):
     assert {r.box_id for r in registry.QUERIES["nms"](spark, small).collect()} == kept
 
 
+def test_outline_suppression_by_walking_down_the_scores(spark, small):
+    shape = {r.box_id: r for r in boxes(spark, small).select("box_id", "frame", "conf", G.corners(*[_c(c) for c in "xywh"], _c("conf") * 45).alias("quad")).collect()}
+    kept: dict[int, list] = {}
+    for r in sorted(shape.values(), key=lambda r: (-r.conf, r.box_id)):
+        stays = kept.setdefault(r.frame, [])
+        if not any(plain_iou(r.quad, s.quad) > 0.1 for s in stays):
+            stays.append(r)
+    wanted = {s.box_id for stays in kept.values() for s in stays}
+    found = {r.box_id for r in registry.QUERIES["nms_outlines"](spark, small).collect()}
+    assert found == wanted and found != {r.box_id for r in registry.QUERIES["nms"](spark, small).collect()}
+
+
+def plain_iou(p: list, q: list) -> float:
+    """One pair of convex polygons, clipped point by point."""
+
+    def area(s: list) -> float:
+        return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(s, [*s[1:], *s[:1]], strict=True)) / 2
+
+    q = list(q) if area(list(q)) > 0 else list(q)[::-1]
+    left = list(p)
+    for a, b in zip(q, [*q[1:], q[0]], strict=True):
+        inside = lambda z: (b[0] - a[0]) * (z[1] - a[1]) - (b[1] - a[1]) * (z[0] - a[0])  # noqa: B023, E731
+        now, left = left, []
+        for u, v in zip(now, [*now[1:], *now[:1]], strict=True):
+            s, t = inside(u), inside(v)
+            left += [u] if s >= 0 else []
+            left += [[u[k] + (v[k] - u[k]) * s / (s - t) for k in (0, 1)]] if s * t < 0 else []
+    both = abs(area(left)) if left else 0.0
+    joint = abs(area(list(p))) + abs(area(q)) - both
+    return both / joint if joint > 0 else 0.0
+
+
+def test_overlaps_of_whole_arrays_equal_pairs_one_by_one():
+    rng = np.random.default_rng(2)
+    angles = np.sort(rng.uniform(0, 2 * np.pi, (400, 4)), axis=1)
+    rings = np.stack([np.cos(angles), np.sin(angles)], axis=2) * rng.uniform(0.5, 2, (400, 1, 1)) + rng.uniform(-1, 1, (400, 1, 2))
+    rings[::7] = rings[::7, ::-1]
+    rings[5] = rings[5, :1]  # no area
+    p, q = rings[:200], rings[200:]
+    assert np.allclose(G.polygon_ious(p, q), [plain_iou(a.tolist(), b.tolist()) for a, b in zip(p, q, strict=True)])
+    every = G.outline_shares(p[:40], q[:40])
+    assert np.allclose(every, [[plain_iou(a.tolist(), b.tolist()) for b in q[:40]] for a in p[:40]])
+    shared = G.polygon_ious(G.as_polygons([[[0, 0], [2, 0], [1, 2]], [[0, 0], [1, 0], [1, 1], [0, 1]]]), G.as_polygons([[[0, 0], [2, 0], [2, 2], [0, 2]], [[5, 5], [6, 5], [5, 6]]]))
+    assert np.allclose(shared, [0.5, 0.0])
+
+
 def test_greedy_matches_by_walking_down_the_scores(spark, small, frame):
     strong, weak = ([p for p in frame.itertuples() if (p.conf >= 0.5) == s] for s in (True, False))
     pairs = sorted(((-iou(p, q), p.box_id, q.box_id) for p in strong for q in weak if shared(p, q) > 0 and iou(p, q) >= 0.05))
