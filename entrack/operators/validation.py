@@ -112,6 +112,7 @@ def safe_url(url: Column) -> Column:
 
 #: The first bytes of each image type, in hex, and where in the file they stand.
 _SIGNS = {"png": [("89504E470D0A1A0A", 1)], "jpeg": [("FFD8FF", 1)], "webp": [("52494646", 1), ("57454250", 9)]}
+#: The kinds of image that a data URL may name.
 _IMAGE = r"^data:image/(png|jpeg|webp);base64,([A-Za-z0-9+/]+={0,2})$"
 
 
@@ -131,7 +132,7 @@ def image_fault(url: Column) -> Column:
     )
 
 
-REPORT = "v int, kind string, shown struct<id:double,name:string,score:double>, others array<struct<id:double,name:string>>, video struct<url:string,time:double>, app struct<version:string>, image string"
+REPORT = "v int, kind string, shown struct<id:double,name:string,score:double>, others array<struct<id:double,name:string>>, userCard struct<id:double,name:string>, comment string, video struct<url:string,time:double>, app struct<version:string>, image string"
 
 
 def report_fault(body: Column, kinds: list[str]) -> Column:
@@ -144,12 +145,27 @@ def report_fault(body: Column, kinds: list[str]) -> Column:
         .when(body["shown"].isNotNull() & ~entity(body["shown"]), "shown: not an entity")
         .when((body["kind"] != "no-match") & body["shown"].isNull(), F.concat(body["kind"], F.lit(": nothing shown")))
         .when(~none & F.exists(F.slice(body["others"], 1, LIMITS["others"]), lambda c: ~entity(c)), "others: not an entity")
+        .when(body["userCard"].isNotNull() & ~entity(body["userCard"]), "userCard: not an entity")
         .when(body["video"].isNotNull() & safe_url(body["video"]["url"]).isNull(), "video: not an http(s) address")
+        .when(body["app"].isNull(), "app: missing")
         .when(~F.coalesce(body["app"]["version"].rlike(r"^\d+(\.\d+){1,3}$"), F.lit(False)), "app.version: not a version number")
         .otherwise(image_fault(body["image"]))
     )
 
 
+#: The longest comment, and the first second that is no time of a video.
+MOST_COMMENT, NO_TIME = 500, 1e7
+
+
+def report_fields(body: Column) -> Column:
+    """What a good report says: the user's entity, the comment in clean lines and cut, the video's second as a whole number or null."""
+    time = body["video"]["time"]
+    return F.struct(
+        body["userCard"]["id"].cast("long").alias("user_entity"), F.substring(X.clean_lines(body["comment"]), 1, MOST_COMMENT).alias("comment"),
+        F.when((time >= 0) & (time < NO_TIME), F.floor(time)).alias("second"),
+    )
+
+
 def video_link(url: Column, seconds: Column) -> Column:
     """The canonical address of a video by its id, with the time; other addresses in code signs."""
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^(?i:https?)://([^/?#]+)", 1)), r"^(www|m|music)\.", "")
@@ -158,6 +174,7 @@ def video_link(url: Column, seconds: Column) -> Column:
     found = F.when(host == "youtu.be", short).when(host == "youtube.com", long).otherwise("")
     at = F.when(seconds.isNotNull(), F.concat(F.lit("&t="), seconds.cast("string"), F.lit("s"))).otherwise("")
     marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, "`", "%60"), r"\|", "%7C"), r"\\", "%5C")
+    #: Fixed value: what a video id looks like.
     return F.when(found.rlike(r"^[A-Za-z0-9_-]{11}$"), F.concat(F.lit("https://www.youtube.com/watch?v="), found, at)).otherwise(F.concat(F.lit("`"), marked, F.lit("`")))
 
 

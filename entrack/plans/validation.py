@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from entrack.functions import text as X
 from entrack.operators import validation as V
+from entrack.operators.lineage import cut
 from entrack.plans.evaluation import scored
 from entrack.plans.sequences import events
 from entrack.sources.tables import table
@@ -140,10 +141,14 @@ def report_validation(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 23 == 0, 2).otherwise(1).alias("v"), F.when(k % 19 == 0, "odd").when(k % 2 == 0, "no-match").otherwise("wrong").alias("kind"),
         F.when(k % 5 > 0, F.struct(F.when(k % 13 == 0, F.lit(1.5)).otherwise(F.col("user_id").cast("double")).alias("id"), F.col("event_type").alias("name"))).alias("shown"),
         F.when(k % 11 == 0, F.array(F.struct(F.lit(3.0).alias("id"), F.lit(" ").alias("name")))).alias("others"),
-        F.when(k % 3 == 0, F.struct(F.when(k % 9 == 0, "ftp://a/b").otherwise("https://a.b/c?d").alias("url"))).alias("video"),
-        F.struct(F.when(k % 29 == 0, "x1").otherwise("1.2.3").alias("version")).alias("app"), image.alias("image"),
+        F.when(k % 4 == 0, F.struct(F.when(k % 16 == 0, F.lit(-1.0)).otherwise(k.cast("double")).alias("id"), F.lit("mine").alias("name"))).alias("userCard"),
+        F.when(k % 6 == 0, F.lit(" \r\n ")).otherwise(F.concat(F.lit(" seen\r\nat "), k.cast("string"), F.lit("\n"))).alias("comment"),
+        F.when(k % 3 == 0, F.struct(F.when(k % 9 == 0, "ftp://a/b").otherwise("https://a.b/c?d").alias("url"), F.when(k % 12 == 0, F.lit(1e7)).otherwise(F.col("value") - 5).alias("time"))).alias("video"),
+        F.when(k % 31 > 0, F.struct(F.when(k % 29 == 0, "x1").otherwise("1.2.3").alias("version"))).alias("app"), image.alias("image"),
     ))
-    return e.select("event_id", V.report_fault(F.from_json(body, V.REPORT), KINDS).alias("reason"))
+    parsed = cut(e.select("event_id", body.alias("body"))).select("event_id", F.from_json("body", V.REPORT).alias("r"))
+    told = parsed.select("event_id", V.report_fault(F.col("r"), KINDS).alias("reason"), V.report_fields(F.col("r")).alias("f"))
+    return told.select("event_id", "reason", *[F.when(F.col("reason").isNull(), F.col(f"f.{c}")).alias(c) for c in ("user_entity", "comment", "second")])
 
 
 def video_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -297,9 +302,11 @@ SELECT event_id, CASE WHEN k = 77 OR r = 4 THEN 'bad' WHEN r = 0 THEN 'reject' W
   CASE WHEN k = 77 OR r = 4 THEN NULL WHEN r IN (2, 3) THEN CASE WHEN k % 3 = 1 THEN 'held' ELSE rest END WHEN r = 0 THEN CASE WHEN rest = '' THEN 'rejected' ELSE rest END ELSE CASE WHEN rest = '' THEN 'non-card' ELSE rest END END AS note FROM c""",
     "batch_outcomes": """SELECT CASE WHEN vec_id % 17 = 0 OR vec_id % 19 = 0 THEN 'failed' WHEN round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 9) >= 0.25 THEN 'placeholder' ELSE 'embedded' END AS outcome,
 count(*) AS n, min(vec_id) AS first FROM embeddings GROUP BY 1""",
-    "report_validation": f"""WITH {_E} SELECT event_id, CASE WHEN k % 23 = 0 THEN 'not a version 1 report' WHEN k % 19 = 0 THEN 'kind: unknown' WHEN k % 5 > 0 AND k % 13 = 0 THEN 'shown: not an entity'
-WHEN k % 2 = 1 AND k % 5 = 0 THEN 'wrong: nothing shown' WHEN k % 11 = 0 THEN 'others: not an entity' WHEN k % 9 = 0 THEN 'video: not an http(s) address' WHEN k % 29 = 0 THEN 'app.version: not a version number'
-WHEN k % 7 = 0 THEN 'image: not a PNG file' WHEN k % 7 = 1 THEN 'image: not a known data URL' END AS reason FROM e""",
+    "report_validation": f"""WITH {_E}, r AS (SELECT *, CASE WHEN k % 23 = 0 THEN 'not a version 1 report' WHEN k % 19 = 0 THEN 'kind: unknown' WHEN k % 5 > 0 AND k % 13 = 0 THEN 'shown: not an entity'
+WHEN k % 2 = 1 AND k % 5 = 0 THEN 'wrong: nothing shown' WHEN k % 11 = 0 THEN 'others: not an entity' WHEN k % 16 = 0 THEN 'userCard: not an entity' WHEN k % 9 = 0 THEN 'video: not an http(s) address'
+WHEN k % 31 = 0 THEN 'app: missing' WHEN k % 29 = 0 THEN 'app.version: not a version number' WHEN k % 7 = 0 THEN 'image: not a PNG file' WHEN k % 7 = 1 THEN 'image: not a known data URL' END AS reason FROM e)
+SELECT event_id, reason, CASE WHEN reason IS NULL AND k % 4 = 0 THEN k::BIGINT END AS user_entity, CASE WHEN reason IS NULL AND k % 6 > 0 THEN 'seen' || chr(10) || 'at ' || k END AS comment,
+CASE WHEN reason IS NULL AND k % 3 = 0 AND k % 12 > 0 AND value >= 5 THEN CAST(floor(value - 5) AS BIGINT) END AS second FROM r""",
     "video_links": """WITH p AS (SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 11, 'a') AS n, CASE WHEN p_partkey % 3 = 0 THEN '&t=' || p_partkey || 's' ELSE '' END AS t FROM part)
 SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN 'https://www.youtube.com/watch?v=' || n || t WHEN p_partkey % 4 = 2 THEN '`https://youtube.com/watch?v=' || p_partkey || '`' ELSE '`https://example.org/a%60b%7Cc/' || p_partkey || '`' END AS link FROM p""",
     "negative_buckets": f"""WITH {_E}, g AS (SELECT event_type, count(*) AS n, count(*) FILTER (WHERE k % 10 = 0) AS errors, count(*) FILTER (WHERE k % 10 > 0 AND value >= 30) AS confident, count(*) FILTER (WHERE k % 10 > 0 AND value < 5) AS nothing FROM e GROUP BY 1)
