@@ -16,6 +16,7 @@ plain text. A text of any length is aligned whole: memory is that of one slice,
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -39,6 +40,10 @@ SLICE_CHARS = 1 << 21
 #: A space at which the next part begins: no space before it, no white space after it.
 _CUT = re.compile(r"(?<! )(?= \S)")
 _ODD = re.compile(r" (?:\s|\Z)")
+#: Fixed value: the pattern of byte-level pre-tokenisers.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Shorter texts go through the encoder by ranks, whose time grows with the square of a piece.
+SHORT_CHARS = 500
 
 
 def vocabulary_paths() -> tuple[str, str]:
@@ -69,12 +74,30 @@ class Sides:
         self.len_a, self.len_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
         if self.a.normalizer is not None or len(set(self.bytes_a) & {bytes([b]) for b in range(256)}) < 256:
             raise ValueError(f"{byte_level} does not give every text back byte by byte")
+        self.short = self._by_ranks(byte_level)
         # a piece with a space inside would reach over a cut
         self.cuts = not any(" " in x.lstrip(b" ").decode("utf-8", "replace") for x in self.bytes_b)
 
+    def _by_ranks(self, byte_level: str):
+        """The same vocabulary as ranks, which short texts are encoded by in a quarter of the time; none where ids don't follow the merges."""
+        import tiktoken
+
+        with open(byte_level, encoding="utf-8") as file:  # part of the installation on every machine
+            model = json.load(file)["model"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        if any(model["vocab"][x + y] != 256 + k for k, (x, y) in enumerate(pairs)):
+            return None
+        ranks = {self.bytes_a[k]: k for k in range(256 + len(pairs))}
+        return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _ids_a(self, texts: list[str]) -> list[list[int]]:
+        if self.short is None:
+            return [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        return [self.short(" " + t) if len(t) < SHORT_CHARS else self.a.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
     def encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of a space and each text on both sides; both empty where the bytes differ from it."""
-        ids_a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        ids_a = self._ids_a(texts)
         ids_b = self.b.encode(texts, num_threads=1)
         whole = [b" " + t.encode() for t in texts]
         sizes = [sum(map(self.size_b.__getitem__, ids)) for ids in ids_b]
