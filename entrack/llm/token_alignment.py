@@ -2,7 +2,7 @@
 
 The rule, as ``token_links`` states it relationally: explode both token lists with their positions, sum byte lengths up to each token,
 join the tokens of both sides that end at one byte of one text, count those cuts before each token as its group, and
-link the tokens of one group whose byte ranges overlap. That makes some thirty rows a word, so ``alignments`` takes the
+link the tokens of one group whose byte ranges overlap. That makes several rows a token, so ``alignments`` takes the
 same steps inside tasks, on arrays: texts are cut at single spaces, where both tokenizers always end a token, each
 distinct part of a slice of documents is encoded and aligned once, and documents are put together from their parts. How many documents hold a
 pair of ids linked, and which pairs are an id's most frequent, are Spark aggregates over the corpus, joined back to
