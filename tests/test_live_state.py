@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 class Fed:
     """A stream that gets one batch after the other."""
 
-    def __init__(self, spark, tmp_path, schema: str, build):
+    def __init__(self, spark, tmp_path, schema: str, build, idle: bool):
         stateful.use_state_store(spark)
-        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # processing time alone would start batches without end
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(idle).lower())  # processing time alone would start batches without end
         self.spark, self.schema, self.root, self.held = spark, schema, tmp_path / "in", []
         self.root.mkdir()
         before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -42,8 +42,8 @@ class Fed:
 def fed(spark, tmp_path):
     made = []
 
-    def make(schema, build):
-        made.append(Fed(spark, tmp_path, schema, build))
+    def make(schema, build, idle=True):
+        made.append(Fed(spark, tmp_path, schema, build, idle))
         return made[0]
 
     yield make
@@ -102,7 +102,7 @@ def test_a_zone_never_seen_moves_after_a_cut(spark):
 
 def test_failures_are_forgotten_after_their_time_and_not_before(fed):
     waits = {"missing": 24.0, "busy": 8.0}
-    feed = fed("item string, seq long, outcome string", lambda s: stateful.cooldown_stream(s, waits))
+    feed = fed("item string, seq long, outcome string", lambda s: stateful.cooldown_stream(s, waits), idle=False)
     feed.feed([("d", 1, "request")])  # the first batch starts the workers
     began = time.time()
     feed.feed([("a", 1, "missing"), ("b", 1, "busy"), ("c", 1, "busy")])
