@@ -24,3 +24,5 @@ class Thresholds:
 #: For the test tables, whose vectors are random: best scores lie around 0.35.
 SYNTHETIC = Thresholds(score=0.36, margin=0.02, floor=0.30, second_score=0.33, second_margin=0.05, sentinel_margin=0.04)
 SENTINEL = -1
+#: Score and lead with which the readings of a rescue give an answer.
+RESCUE_FLOOR, RESCUE_LEAD = 0.72, 0.03

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entrack.config import SENTINEL, Thresholds
+from entrack.config import RESCUE_FLOOR, RESCUE_LEAD, SENTINEL, Thresholds
 
 
 def fused(lists: DataFrame, k: int, list_no: str = "variant", rank: str = "rank") -> DataFrame:
@@ -46,6 +46,17 @@ def suggestions(candidates: DataFrame, floor: float, margin: float, most: int) -
     return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("top", "top_entity")
 
 
+def rescued(lists: DataFrame, floor: float = RESCUE_FLOOR, lead: float = RESCUE_LEAD, sentinel: int = SENTINEL) -> DataFrame:
+    """(query_id, entity_id, score, lead, answered): the best entity of a query's lists, the sentinel aside.
+
+    It is an answer with a floor and a lead of its own; without a second entity it leads over 0. A query whose lists
+    hold the sentinel alone has no entity and no answer.
+    """
+    top = with_lead(fused(lists.where(F.col("entity_id") != sentinel), 2)).where("rank = 1").select("query_id", "entity_id", "score", "lead")
+    every = lists.select("query_id").distinct().join(top, "query_id", "left")
+    return every.withColumn("answered", F.coalesce((F.col("score") >= floor) & (F.col("lead") >= lead), F.lit(False)))
+
+
 def staged(lists: DataFrame, stages: int, k: int, t: Thresholds) -> DataFrame:
     """The first stage whose fused lists are sure answers, else the last stage.
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entrack.plans import assignment, catalogue, evaluation, live, retrieval, sequences, spatial, stores, texts, validation
+from entrack.plans import assignment, catalogue, evaluation, live, outlines, retrieval, sequences, spatial, stores, texts, validation
 
-_MODULES = (retrieval, catalogue, sequences, evaluation, texts, spatial, validation, stores, assignment, live)
+_MODULES = (retrieval, catalogue, sequences, evaluation, texts, spatial, validation, stores, assignment, live, outlines)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

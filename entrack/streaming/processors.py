@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -160,6 +161,19 @@ def track_frame(state: dict, boxes: list[tuple[int, list[float]]]) -> list[tuple
     return out
 
 
+# Fixed value: the least long side of a followed item, by the picture's height.
+LEAST_SIDE = 0.045
+
+
+def followed(frames: DataFrame, height: float, least_side: float = LEAST_SIDE) -> DataFrame:
+    """Frames whose boxes are those worth following: up, and large enough. A frame left without boxes still counts as seen.
+
+    ``frames``: session, frame, boxes (id, x, y, w, h, kind, long_side). A batch or a stream, before ``tracked`` or ``track_stream``.
+    """
+    large = F.filter("boxes", lambda b: (b.kind == "up") & (b.long_side / height >= least_side))
+    return frames.withColumn("boxes", F.transform(large, lambda b: F.struct(b.id.alias("id"), b.x.alias("x"), b.y.alias("y"), b.w.alias("w"), b.h.alias("h"))))
+
+
 def tracked(frames: DataFrame) -> DataFrame:
     """(session, frame, box_id, track) of all boxes: the batch twin. ``frames``: session, frame, boxes (id, x, y, w, h)."""
 
