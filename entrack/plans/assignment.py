@@ -58,10 +58,9 @@ def tile_merge(spark: SparkSession, sf: str) -> DataFrame:
 def label_by_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Each odd box takes the label of the even box it overlaps most, from a half on."""
     q = quads(spark, sf).withColumn("o", G.bounds(F.col("quad")))
-    a = q.where("box_id % 2 = 1").select("session", F.col("box_id").alias("a_id"), F.col("quad").alias("aq"), *[F.col(f"o.{c}").alias(f"a{c}") for c in "xywh"])
-    b = q.where("box_id % 2 = 0").select("session", F.col("box_id").alias("b_id"), F.col("kind").alias("label"), F.col("quad").alias("bq"), *[F.col(f"o.{c}").alias(f"b{c}") for c in "xywh"])
-    met = G.overlapping(a, b, "a", "b", 0.0, 100.0, ["session"]).select("session", "a_id", "b_id", "label", "aq", "bq")
-    got = G.quad_iou(met, "aq", "bq").where("quad_iou >= 0.5")
+    part = lambda d, p, *more: d.select("session", F.col("box_id").alias(f"{p}_id"), *more, F.flatten("quad").alias(f"{p}_quad"), *[F.col(f"o.{c}").alias(f"{p}{c}") for c in "xywh"])
+    a, b = part(q.where("box_id % 2 = 1"), "a"), part(q.where("box_id % 2 = 0"), "b", F.col("kind").alias("label"))
+    got = G.outlines_sharing(a, b, "a", "b", 0.5, 100.0, ["session"], kept=["session", "a_id", "b_id", "label"], best=True)
     return got.groupBy("session", "a_id").agg(F.max_by(F.struct("label", "b_id", "quad_iou"), F.struct("quad_iou", -F.col("b_id"))).alias("m")).select("session", "a_id", "m.*")
 
 
@@ -151,8 +150,9 @@ def board_sides(spark: SparkSession, sf: str) -> DataFrame:
     """The largest box that holds each point, else the whole view, and on which side of its middle the point is."""
     b = boxes(spark, sf)
     points = b.select(F.col("box_id").alias("point_id"), (F.col("x") + 5).alias("px"), (F.col("y") + 5).alias("py"))
-    held = G.boxes_holding(points, b.where("conf >= 0.5").select("box_id", "x", "y", "w", "h"), 200.0)
-    best = held.groupBy("point_id").agg(F.max_by(F.struct("box_id", "y", "h"), F.struct(F.col("w") * F.col("h"), -F.col("box_id"))).alias("m"))
+    frames = b.where("conf >= 0.5").select("box_id", "x", "y", "w", "h")
+    first = G.first_boxes(points, frames, 200.0, lambda r: (-r["w"] * r["h"],))
+    best = first.join(frames, "box_id").select("point_id", F.struct("box_id", "y", "h").alias("m"))
     found = points.join(best, "point_id", "left")
     middle = F.coalesce(F.col("m.y") + F.col("m.h") / 2, F.lit(500.0))
     return found.select("point_id", F.col("m.box_id").alias("frame_id"), F.when(F.col("py") > middle, "near").otherwise("far").alias("side"))

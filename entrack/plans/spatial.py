@@ -29,8 +29,7 @@ def _as(d: DataFrame, prefix: str, keys: dict[str, str]) -> DataFrame:
 
 def box_iou_join(spark: SparkSession, sf: str) -> DataFrame:
     b = boxes(spark, sf)
-    met = G.overlapping(_as(b, "a", {"box_id": "a_id"}), _as(b, "b", {"box_id": "b_id"}), "a", "b", 0.3, CELL)
-    return met.where("a_id < b_id").select("a_id", "b_id", "iou")
+    return G.overlapping(_as(b, "a", {"box_id": "a_id"}), _as(b, "b", {"box_id": "b_id"}), "a", "b", 0.3, CELL, ordered=("a_id", "b_id"), kept=["a_id", "b_id"])
 
 
 def box_shapes(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,8 +62,8 @@ def merge_detections(spark: SparkSession, sf: str) -> DataFrame:
 def overlay_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes seen at the same place in at least two other frames."""
     b = boxes(spark, sf)
-    met = G.overlapping(_as(b, "a", {"box_id": "a_id", "frame": "af"}), _as(b, "b", {"box_id": "b_id", "frame": "bf"}), "a", "b", 0.2, CELL)
-    return met.where("abs(af - bf) >= 2").groupBy("a_id").agg(F.count_distinct("bf").alias("frames")).where("frames >= 2")
+    met = G.seen_in_frames(_as(b, "a", {"box_id": "a_id", "frame": "af"}), _as(b, "b", {"box_id": "b_id", "frame": "bf"}), "a", "b", 0.2, CELL, 2)
+    return met.groupBy("a_id").agg(F.count_distinct("bf").alias("frames")).where("frames >= 2")
 
 
 def nms(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,18 +79,15 @@ def nms_outlines(spark: SparkSession, sf: str) -> DataFrame:
 def greedy_cover(spark: SparkSession, sf: str) -> DataFrame:
     """One-to-one matches between strong and weak boxes, best overlap first."""
     b = boxes(spark, sf)
-    met = G.overlapping(_as(b.where("conf >= 0.5"), "a", {"box_id": "a_id"}), _as(b.where("conf < 0.5"), "b", {"box_id": "b_id"}), "a", "b", 0.05, CELL)
-    return G.greedy_pairs(met.select("a_id", "b_id", "iou", F.lit(0).alias("g")), ["g"], "a_id", "b_id", "iou").select("a_id", "b_id", "iou")
+    return G.greedy_overlaps(_as(b.where("conf >= 0.5"), "a", {"box_id": "a_id"}), _as(b.where("conf < 0.5"), "b", {"box_id": "b_id"}), "a", "b", "a_id", "b_id", 0.05, CELL)
 
 
 def quad_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Overlap of turned boxes whose bounds meet."""
     b = boxes(spark, sf)
     quads = b.withColumn("quad", G.corners(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("conf") * 45)).withColumn("o", G.bounds(F.col("quad")))
-    a = quads.select(F.col("box_id").alias("a_id"), F.col("quad").alias("a_quad"), *[F.col(f"o.{c}").alias(f"a{c}") for c in "xywh"])
-    c = quads.select(F.col("box_id").alias("b_id"), F.col("quad").alias("b_quad"), *[F.col(f"o.{c}").alias(f"b{c}") for c in "xywh"])
-    met = G.overlapping(a, c, "a", "b", 0.0, CELL).where("a_id < b_id").select("a_id", "b_id", "a_quad", "b_quad")
-    return G.quad_iou(met, "a_quad", "b_quad").where("quad_iou >= 0.3")
+    a, c = (quads.select(F.col("box_id").alias(f"{p}_id"), F.flatten("quad").alias(f"{p}_quad"), *[F.col(f"o.{c}").alias(f"{p}{c}") for c in "xywh"]) for p in "ab")
+    return G.outlines_sharing(a, c, "a", "b", 0.3, CELL, ordered=("a_id", "b_id"), kept=["a_id", "b_id"])
 
 
 def tile_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +104,7 @@ def read_order(spark: SparkSession, sf: str) -> DataFrame:
 def similarity_components(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of linked boxes: overlap of a tenth or more."""
     b = boxes(spark, sf)
-    met = G.overlapping(_as(b, "a", {"box_id": "a"}), _as(b, "b", {"box_id": "b"}), "a", "b", 0.1, CELL).where("a < b").select("a", "b")
+    met = G.overlap_links(_as(b, "a", {"box_id": "a_id"}), _as(b, "b", {"box_id": "b_id"}), "a", "b", "a_id", "b_id", 0.1, CELL)
     got = graph.groups(b.select(F.col("box_id").alias("node")), met)
     return got.groupBy("group_id").agg(F.count("*").alias("n"), F.max("node").alias("largest"))
 
