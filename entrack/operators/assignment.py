@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from entrack.operators.geometry import outline_shares, polygon_iou
+from entrack.operators.geometry import Outlines, outline_shares, polygon_iou, polygon_ious
 
 
 def by_group(rows: DataFrame, keys: list[str], order: list[str], rule: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
@@ -90,13 +90,34 @@ def scored_frame(least_conf: float) -> Callable[[list[dict]], list[dict]]:
         real = [r for r in rows if r["is_label"] and r["kind"] != "ignore"]
         ignored = [quad(r) for r in rows if r["is_label"] and r["kind"] == "ignore"]
         shapes, taken, out = [quad(r) for r in real], {}, []
+        labels, away = (Outlines(np.stack([x.ravel() for x in some]) if some else np.zeros((0, 8))) for some in (shapes, ignored))
+        free = np.ones(len(shapes), bool)
         for d in found:
-            q = quad(d)
-            shares = outline_shares(q[None], np.stack(shapes))[0].tolist() if shapes else []
-            free = [(round(s, 9), i) for i, s in enumerate(shares) if i not in taken and s >= MATCH]  # of equal ones the last
-            if free:
-                taken[max(free)[1]] = d
-            elif not any(s >= ON_LABEL for s in shares) and not any(inside_share(q, s) >= ON_IGNORE or polygon_iou(q, s) >= ON_LABEL for s in ignored):
+            one = Outlines(quad(d).reshape(1, -1))
+            near, share_at_most = one.near(labels, ON_LABEL)
+            shares = np.full(len(near), np.nan)
+
+            def clip(at: np.ndarray) -> np.ndarray:
+                at = at[np.isnan(shares[at])]  # noqa: B023
+                shares[at] = polygon_ious(np.repeat(one.points, len(at), axis=0), labels.points[near[at]])  # noqa: B023
+                return shares  # noqa: B023
+
+            best, waiting, upto = MATCH, np.flatnonzero(free[near] & (share_at_most >= MATCH - 1e-8)), 4
+            while len(waiting):  # those that may overlap most come first
+                best = max(best, float(clip(waiting[:upto])[waiting[:upto]].max()))
+                waiting, upto = waiting[upto:], upto * 2
+                waiting = waiting[share_at_most[waiting] + 1e-8 >= best]
+            fits = np.flatnonzero(free[near] & (shares >= MATCH))
+            if len(fits):
+                _, i = max((round(float(shares[k]), 9), int(near[k])) for k in fits)  # of equal ones the last
+                taken[i], free[i] = d, False
+                continue
+            if any((clip(np.arange(lo, min(lo + 64, len(near))))[lo : lo + 64] >= ON_LABEL).any() for lo in range(0, len(near), 64)):
+                continue
+            other, _ = one.near(away, 0.0)
+            both = polygon_ious(np.repeat(one.points, len(other), axis=0), away.points[other])
+            inside = both * (one.area + away.area[other]) / (1 + both) / max(float(one.area[0]), 1e-300) if one.area[0] > 0 else 0 * both
+            if not ((inside >= ON_IGNORE) | (both >= ON_LABEL)).any():
                 out.append({"label_id": None, "box_id": d["box_id"], "outcome": "false", "px": None, "relative": None})
         for i, r in enumerate(real):
             d = taken.get(i)
@@ -168,25 +189,44 @@ def merged_tiles(rows: list[dict], same: float, inside: float) -> list[dict]:
     Rows: box_id, cut, conf, x, y, w, h. A cut box also goes where a whole one holds most of it.
     """
 
-    def shared(a: dict, b: dict) -> float:
-        w = min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])
-        h = min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"])
-        return max(0.0, w) * max(0.0, h)
-
-    def iou(a: dict, b: dict) -> float:
-        both = shared(a, b)
-        return both / (a["w"] * a["h"] + b["w"] * b["h"] - both)
-
-    def part(a: dict, b: dict) -> bool:
-        return b["w"] * b["h"] > a["w"] * a["h"] and shared(a, b) / (a["w"] * a["h"]) >= inside and iou(a, b) <= same
-
-    whole = [r for r in rows if not any(part(r, o) for o in rows)]
-    kept: list[dict] = []
-    for r in sorted(whole, key=lambda r: (r["cut"], -r["conf"], r["box_id"])):
-        if not any(iou(k, r) > same or (r["cut"] and not k["cut"] and shared(r, k) / (r["w"] * r["h"]) >= inside) for k in kept):
-            kept.append(r)
-    kept.sort(key=lambda r: (-r["conf"], r["box_id"]))
-    return [{"box_id": r["box_id"], "place": i} for i, r in enumerate(kept)]
+    ids, is_cut, conf = (np.array([r[c] for r in rows]) for c in ("box_id", "cut", "conf"))
+    box = np.array([[r[c] for c in "xywh"] for r in rows], float).reshape(-1, 4)
+    area = box[:, 2] * box[:, 3]
+
+    def tables(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the boxes a share with the boxes b, and their overlap."""
+        p, q = box[a, None], box[None, b]
+        w, h = (np.minimum(p[..., k] + p[..., k + 2], q[..., k] + q[..., k + 2]) - np.maximum(p[..., k], q[..., k]) for k in (0, 1))
+        both = np.maximum(0.0, w) * np.maximum(0.0, h)
+        return both, both / (area[a, None] + area[None, b] - both)
+
+    large = np.argsort(-area, kind="stable")
+    whole, lo, step = np.arange(len(rows)), 0, 16  # against the largest boxes first: what is a part of one is not looked at again
+    while lo < len(rows) and len(whole):
+        some, left = large[lo : lo + step], []
+        for at in range(0, len(whole), 512):
+            own = whole[at : at + 512]
+            both, share = tables(own, some)
+            part = (area[some][None] > area[own, None]) & (both / area[own, None] >= inside) & (share <= same)
+            left.append(own[~part.any(axis=1)])
+        whole, lo, step = np.concatenate(left), lo + step, min(512, step * 2)
+    order = whole[np.lexsort((ids[whole], -conf[whole], is_cut[whole]))]
+    kept = np.zeros(0, int)
+
+    def drops(r: np.ndarray, k: np.ndarray) -> np.ndarray:
+        both, share = tables(r, k)
+        return (share > same) | (is_cut[r, None] & ~is_cut[None, k] & (both / area[r, None] >= inside))
+
+    for lo in range(0, len(order), 256):
+        some = order[lo : lo + 256]
+        for at in range(0, len(kept), 1024):
+            some = some[~drops(some, kept[at : at + 1024]).any(axis=1)]
+        table, stays = drops(some, some), np.zeros(len(some), bool)
+        for n in range(len(some)):
+            stays[n] = not (table[n, :n] & stays[:n]).any()
+        kept = np.concatenate([kept, some[stays]])
+    kept = kept[np.lexsort((ids[kept], -conf[kept]))]
+    return [{"box_id": int(b), "place": i} for i, b in enumerate(ids[kept])]
 
 
 def rereads(rows: list[dict]) -> list[dict]:
