@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from entrack.operators.lineage import cut
 
 SCORE_DIGITS = 6
-BLOCK_ROWS, SHARD_ROWS = 4096, 16_384
+BLOCK_ROWS, SHARD_ROWS = 1024, 4096
 
 
 def doubles(vec: Column) -> Column:
@@ -63,8 +63,8 @@ def _tile(scale: float):
         starts = np.flatnonzero(np.r_[True, np.diff(entity[order]) != 0])
         sizes, places = np.diff(np.append(starts, len(order))), np.arange(len(order))
         out = []
-        for lo in range(0, len(queries), 256):
-            part = queries.iloc[lo : lo + 256]
+        for lo in range(0, len(queries), 128):
+            part = queries.iloc[lo : lo + 128]
             score = np.round(np.stack(part["vec"].to_numpy()).astype(np.float64) @ vectors.T * scale, SCORE_DIGITS)[:, order]
             own = part["item_id"].to_numpy(np.int64)
             score[item[order][None, :] == own[:, None]] = -np.inf
