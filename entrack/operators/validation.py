@@ -240,7 +240,8 @@ def shuffled_sample(rows: DataFrame, order: str, k: int, seed: int) -> DataFrame
     later = cut(swaps.where((i >= k) & (i > F.col("j"))).groupBy("j").agg(F.min("i").alias("i")))
     found = spark.createDataFrame([(place, j) for j, place in enumerate(held)], "place long, j long")
     while True:
-        moved = cut(found.join(later, "j", "left").select("place", F.coalesce("i", "j").alias("j"), F.col("i").isNotNull().alias("moved")))
+        onward = later.join(F.broadcast(found), "j").select("place", "i")  # k rows go out, the swaps stay where they are
+        moved = cut(found.join(F.broadcast(onward), "place", "left").select("place", F.coalesce("i", "j").alias("j"), F.col("i").isNotNull().alias("moved")))
         found = moved.drop("moved")
         if moved.where("moved").isEmpty():
-            return counted.join(found.withColumnRenamed("j", "_n"), "_n").drop("_n")
+            return counted.join(F.broadcast(found.withColumnRenamed("j", "_n")), "_n").drop("_n")
