@@ -6,11 +6,15 @@ are rounded to SCORE_DIGITS so that sums in another order cannot change a rank.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entrack.operators import tiles as T
+from entrack.operators.graph import groups
 from entrack.operators.lineage import cut
 
 SCORE_DIGITS = 6
@@ -177,3 +181,114 @@ def similar_pairs(rows: DataFrame, key: str, vec: str, least: float, tile_rows:
         return pd.concat(out, ignore_index=True)
 
     return spread.select("id", "vec", "left", "right", t.alias("t"), u.alias("u"), side.alias("side")).groupBy("left", "right", "t", "u").applyInPandas(product, "a long, b long, score double")
+
+
+#: Rows of a part and of the hub that every part of a group meets, and cells of a table of scores that is held at once.
+PART_ROWS, HUB_ROWS, SCORES = 4096, 1024, 2**20
+
+
+def units(rows: DataFrame, key: str, vec: str, *also: str) -> DataFrame:
+    """``key`` and vec, of unit length, with the columns ``also``; rows with a null in these or without a length go."""
+    made = rows.select(F.col(key).cast("long").alias(key), *also, doubles(F.col(vec)).alias("vec")).where(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x) > 0)
+    return made.dropna(subset=[key, *also]).select(key, *also, normalised(F.col("vec")).alias("vec"))
+
+
+def one_cell(rows: DataFrame) -> DataFrame:
+    """The rows as ``tiles.tiled`` takes them, all in one cell."""
+    return rows.withColumns({"_cx": F.lit(0), "_cy": F.lit(0)})
+
+
+def _reached(x: np.ndarray, y: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, score) of the rows of x and y whose product, rounded, is at least ``least``."""
+    step = max(1, SCORES // max(1, len(y)))
+    for lo in range(0, len(x), step):
+        table = x[lo : lo + step] @ y.T
+        i, j = np.nonzero(table >= least - 10.0**-SCORE_DIGITS)
+        score = np.round(table[i, j], SCORE_DIGITS)
+        ok = score >= least
+        yield lo + i[ok], j[ok], score[ok]
+
+
+def scored_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, least: float, within: list[str]) -> DataFrame:
+    """(within, left_id, right_id, score): pairs with a cosine of at least ``least`` inside a group. Both sides: ``units``."""
+
+    def rule(_cx: int, _cy: int, l: T.Arrays, r: T.Arrays) -> Iterator[T.Arrays]:
+        for i, j, score in _reached(l["vec"], r["vec"], least):
+            yield {"_l": i, "_r": j, "score": score}
+
+    return T.tiled(one_cell(left), one_cell(right), [left_id], [right_id], rule, within, "score double", ([*within, left_id], [right_id]))
+
+
+def like_any(left: DataFrame, right: DataFrame, left_id: str, right_id: str, least: float, within: list[str] | None = None, apart: str | None = None) -> DataFrame:
+    """The left ids that have a cosine of at least ``least`` with any right row: of their group, or with another value of ``apart``."""
+
+    def test(l: T.Arrays, r: T.Arrays) -> np.ndarray:
+        met = np.round(l["vec"] @ r["vec"].T, SCORE_DIGITS) >= least
+        return met & (l[apart][:, None] != r[apart]) if apart else met
+
+    return T.tiled(one_cell(left), one_cell(right), [left_id], [right_id], T.any_met([left_id], test), within, "", ([left_id], [])).distinct()
+
+
+def joined(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each of n rows the least one that it hangs together with, through the pairs (i, j) in any number of steps."""
+    root = np.arange(n)
+    for i, j in pairs:
+        while True:
+            a, b = root[i], root[j]
+            open_ = a != b
+            if not open_.any():
+                break
+            i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+            to = np.arange(n)
+            np.minimum.at(to, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(to[to], to):
+                to = to[to]
+            root = to[root]
+    return root
+
+
+def similar_groups(rows: DataFrame, key: str, vec: str, least: float, within: str | None = None, apart: str | None = None) -> DataFrame:
+    """(node, group_id): rows linked by cosines of at least ``least``, in any number of steps; the smallest node names a group.
+
+    Only rows with the same value of ``within`` are linked, or only those with another value of ``apart``. Rows are dealt into parts
+    of PART_ROWS, each of which is compared with itself and with a hub of some HUB_ROWS rows of its group. What hangs
+    together then as the largest set of a group is not compared with itself again; the others meet all rows of the group, in
+    tiles. No pair of rows leaves a task, only one link a row and tile at most.
+    """
+    also = [c for c in (within, apart) if c]
+    of = F.col(within) if within else F.lit(0)
+    unit = cut(units(rows, key, vec, *also).select(F.col(key).alias("id"), "vec", of.alias("_of"), (F.col(apart) if apart else F.lit(0)).alias("_apart")))
+    nodes = rows.select(F.col(key).cast("long").alias("node"))
+    size = min(PART_ROWS, T.TILE_ROWS)
+
+    def links(with_own: bool) -> T.Rule:
+        def rule(_cx: int, _cy: int, l: T.Arrays, r: T.Arrays) -> Iterator[T.Arrays]:
+            ids, vectors, kind = (np.concatenate([l[c], r[c]]) for c in ("id", "vec", "_apart"))
+            own, first = len(l["id"]), 0 if with_own else len(l["id"])
+
+            def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for i, j, _ in _reached(vectors[:own], vectors[first:], least):
+                    ok = kind[i] != kind[first + j] if apart else np.ones(len(i), bool)
+                    yield i[ok], first + j[ok]
+
+            root = joined(len(ids), pairs())
+            linked = np.flatnonzero(root != np.arange(len(ids)))
+            yield {"a": ids[linked], "b": ids[root[linked]]}
+
+        return rule
+
+    counts = unit.groupBy("_of").agg(F.count("*").alias("_n")).where(F.col("_n") > min(size, HUB_ROWS))
+    parts, hubs = F.coalesce(F.ceil(F.col("_n") / size), F.lit(1)), F.coalesce(F.ceil(F.col("_n") / HUB_ROWS), F.lit(1))
+    counted = unit.join(F.broadcast(counts), "_of", "left")  # a row for HUB_ROWS rows at most
+    dealt = counted.withColumns({"_cx": F.pmod(F.xxhash64("id"), parts), "_cy": F.lit(0)}).drop("_n")
+    hub = counted.where(F.pmod(F.xxhash64("id", F.lit(1)), hubs) == 0).withColumns({"_cx": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)), "_cy": F.lit(0)}).drop("_n")
+    found = cut(T.tiled(dealt, hub, ["id"], ["id"], links(True), ["_of"], "a long, b long"))
+    if counts.where(F.col("_n") > size).isEmpty():
+        return groups(nodes, found)
+    known = cut(unit.select("id", "_of").join(groups(unit.select(F.col("id").alias("node")), found).withColumnRenamed("node", "id"), "id"))
+    sizes = known.groupBy("_of", "group_id").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("_of").agg(F.max_by("group_id", F.struct("n", "group_id")).alias("largest"))
+    rest = known.join(largest, "_of").where("group_id <> largest").select("id")
+    rest = cut(unit.join(rest, "id", "left_semi"))
+    more = T.tiled(one_cell(rest), one_cell(unit), ["id"], ["id"], links(False), ["_of"], "a long, b long")
+    return groups(nodes, cut(found.unionByName(more)))

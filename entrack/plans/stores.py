@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entrack.operators import graph
 from entrack.operators import index as I  # noqa: E741
 from entrack.operators import sequences as Q
 from entrack.operators import vectors as V
@@ -214,8 +213,7 @@ def _alike(spark: SparkSession, sf: str, least: float) -> DataFrame:
 
 def cosine_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Single-linkage groups by cosine, inside a label."""
-    nodes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"))
-    got = graph.groups(nodes, _alike(spark, sf, CLOSEST).where("label_a = label_b").select("a", "b"))
+    got = V.similar_groups(table(spark, sf, "embeddings"), "vec_id", "embedding", CLOSEST, within="label")
     return got.groupBy("group_id").agg(F.count("*").alias("n"), F.max("node").alias("largest")).where("n > 1")
 
 
