@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entrack.functions import text as X
-from entrack.operators.geometry import greedy_pairs
-from entrack.operators.graph import groups
+from entrack.operators import vectors as V
+from entrack.operators.geometry import greedy_by_level
 from entrack.operators.lineage import cut
 
 
@@ -79,12 +79,6 @@ def unaccepted(groups: DataFrame, accepted: DataFrame) -> DataFrame:
     return sizes.join(covered, "group_id", "left_anti")
 
 
-def covered_items(pairs: DataFrame, matches: DataFrame, clearly: float) -> DataFrame:
-    """(entity_id, item): items clearly like any own one, or matched one to one. ``pairs``: entity_id, item, own, score."""
-    clear = pairs.where(F.col("score") >= clearly).select("entity_id", "item")
-    return clear.unionByName(matches.select("entity_id", "item")).distinct()
-
-
 def decisions(rows: DataFrame, checks: list[tuple[str, DataFrame]], key: str, otherwise: str) -> DataFrame:
     """Each row's first decision: the first table of ``checks`` that has its key."""
     decision = F.lit(otherwise)
@@ -94,30 +88,34 @@ def decisions(rows: DataFrame, checks: list[tuple[str, DataFrame]], key: str, ot
     return rows.withColumn("decision", decision).drop(*[f"_{i}" for i in range(len(checks))])
 
 
-def cascade(new: DataFrame, pairs: DataFrame, held: Column, clearly: float) -> DataFrame:
+#: Scores down to which one-to-one matches are settled in turn.
+LEVELS = (0.8, 0.55, 0.45)
+
+
+def cascade(new: DataFrame, vectors: DataFrame, held: Column, least: float, clearly: float) -> DataFrame:
     """Adds each new item's decision; ``new``: item, entity_id, blank (like the placeholder).
 
-    ``pairs``: a, b, score, label_a, label_b of all vectors, from the score on at which an item may match an own one;
-    ``held``: whether the column node is of the index already. In turn: covered (clearly like an own held item, or matched to
+    ``vectors``: node, entity_id, vec of new and held items; ``held``: whether the column node is of the index already;
+    ``least``: the cosine from which on an item may match an own one. In turn: covered (clearly like an own held item, or matched to
     one, each held one once), placeholder, duplicate (of the first item of its group inside the entity), shared
     (clearly like a held item of another entity), look-alike (in a group with new items of other entities), added.
+    Each step looks only at the items that those before left open; pairs leave a tile for the matches alone, level by level.
     """
-    sides = [pairs.select(F.col(x).alias("item"), F.col(y).alias("node"), F.col(f"label_{x}").alias("entity_id"), F.col(f"label_{y}").alias("other"), "score") for x, y in ("ab", "ba")]
-    near = sides[0].unionByName(sides[1]).join(new.select("item"), "item", "left_semi")
-    own = near.where(held & (F.col("entity_id") == F.col("other"))).select("entity_id", "item", F.col("node").alias("own"), "score")
-    covered = covered_items(own, greedy_pairs(own, ["entity_id"], "item", "own", "score"), clearly)
-    open_ = cut(new.where("not blank").join(covered, "item", "left_anti").select("item"))
-
-    def grouped(items: DataFrame, across: bool) -> DataFrame:
-        met = (F.col("label_a") != F.col("label_b")) if across else (F.col("label_a") == F.col("label_b"))
-        links = pairs.where(met & (F.col("score") >= clearly)).select("a", "b")
-        links = links.join(items.select(F.col("item").alias("a")), "a", "left_semi").join(items.select(F.col("item").alias("b")), "b", "left_semi")
-        return groups(items.select(F.col("item").alias("node")), links)
-
-    doubles = grouped(open_, False).where("node <> group_id").select(F.col("node").alias("item"))
-    shared = near.where(held & (F.col("entity_id") != F.col("other")) & (F.col("score") >= clearly)).select("item").distinct()
-    left = cut(open_.join(doubles, "item", "left_anti").join(shared, "item", "left_anti"))
-    alike = grouped(left, True)
+    unit = cut(V.units(vectors, "node", "vec", "entity_id"))
+    own = unit.where(held).withColumnRenamed("node", "own")
+    asked = cut(unit.withColumnRenamed("node", "item").join(new.select("item"), "item", "left_semi"))
+
+    def met(left: DataFrame, right: DataFrame, level: float) -> DataFrame:
+        return V.scored_pairs(left, right, "item", "own", level, ["entity_id"])
+
+    matches = greedy_by_level(asked, own, ["entity_id"], "item", "own", "score", least, LEVELS, met).select("item")
+    unmatched = cut(asked.join(matches, "item", "left_anti"))
+    covered = cut(matches.unionByName(V.like_any(unmatched, own, "item", "own", clearly, ["entity_id"])))
+    open_ = cut(asked.join(new.where("not blank").select("item"), "item", "left_semi").join(covered, "item", "left_anti"))  # an item without a vector meets none
+    doubles = cut(V.similar_groups(open_, "item", "vec", clearly, within="entity_id").where("node <> group_id").select(F.col("node").alias("item")))
+    left = cut(open_.join(doubles, "item", "left_anti"))
+    shared = cut(V.like_any(left, own, "item", "own", clearly, None, "entity_id"))
+    alike = cut(V.similar_groups(left.join(shared, "item", "left_anti"), "item", "vec", clearly, apart="entity_id"))
     many = alike.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1")
     lookalikes = alike.join(many, "group_id", "left_semi").select(F.col("node").alias("item"))
     checks = [("covered", covered), ("placeholder", new.where("blank")), ("duplicate", doubles), ("shared", shared), ("look-alike", lookalikes)]

@@ -32,8 +32,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalised(vec: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    size = F.sqrt(dot(vec, vec))
-    return F.transform(vec, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
+    size = F.array(F.sqrt(dot(vec, vec)))  # worked out once, not for each component
+    return F.transform(size, lambda n: F.transform(vec, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))[0]
 
 
 def quantised(vec: Column) -> Column:

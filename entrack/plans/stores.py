@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from entrack.operators import index as I  # noqa: E741
 from entrack.operators import sequences as Q
 from entrack.operators import vectors as V
-from entrack.operators.lineage import cut
 from entrack.sources import files as S
 from entrack.sources.tables import table
 
@@ -202,15 +201,6 @@ def item_listing(spark: SparkSession, sf: str) -> DataFrame:
 CLEARLY, CLOSEST = 0.45, 0.35
 
 
-def _alike(spark: SparkSession, sf: str, least: float) -> DataFrame:
-    """(a, b, score, label_a, label_b): pairs of vectors with a cosine of at least ``least``, worked out once."""
-    e = table(spark, sf, "embeddings")
-    pairs = V.similar_pairs(e, "vec_id", "embedding", least)
-    for side in "ab":
-        pairs = pairs.join(e.select(F.col("vec_id").alias(side), F.col("label").alias(f"label_{side}")), side)
-    return cut(pairs)
-
-
 def cosine_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Single-linkage groups by cosine, inside a label."""
     got = V.similar_groups(table(spark, sf, "embeddings"), "vec_id", "embedding", CLOSEST, within="label")
@@ -226,8 +216,10 @@ def unaccepted_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 def decision_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """New items of each label: covered by an own one, like the placeholder, a duplicate of an earlier new one, shared with another label, a look-alike, or added."""
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("entity_id"), F.get("embedding", 0).cast("double").alias("first"))
-    return I.cascade(e.where("item % 2 = 1").withColumn("blank", F.col("first") >= 0.2), _alike(spark, sf, CLOSEST), F.col("node") % 2 == 0, CLEARLY).select("item", "entity_id", "decision")
+    e = table(spark, sf, "embeddings")
+    new = e.select(F.col("vec_id").alias("item"), F.col("label").alias("entity_id"), (F.get("embedding", 0).cast("double") >= 0.2).alias("blank")).where("item % 2 = 1")
+    vectors = e.select(F.col("vec_id").alias("node"), F.col("label").alias("entity_id"), F.col("embedding").alias("vec"))
+    return I.cascade(new, vectors, F.col("node") % 2 == 0, CLOSEST, CLEARLY).select("item", "entity_id", "decision")
 
 
 _ALL = (

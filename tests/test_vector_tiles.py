@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from entrack.operators import geometry as G
 from entrack.operators import tiles as T
 from entrack.operators import vectors as V
 
@@ -56,3 +57,22 @@ def test_similar_groups_are_found_without_all_pairs(spark, tiles_made):
     assert found == wanted and len(set(wanted.values())) > 5
     every = sum(scores[i, j] >= 0.6 for i in range(170) for j in range(i) if rows[i][2] == rows[j][2])
     assert sum(t.count() for t in tiles_made[:2]) < every / 3
+
+
+def test_matches_of_a_group_are_settled_level_by_level(spark, tiles_made, monkeypatch):
+    monkeypatch.setattr(G, "AT_ONCE", 0)
+    rows, scores = vectors()
+    at = {r[0]: k for k, r in enumerate(rows[:170])}
+    new, own = [[r for r in rows[:170] if r[0] % 4 // 2 == s] for s in (0, 1)]
+    every = sorted((-scores[at[p[0]], at[q[0]]], p[0], q[0]) for p in new for q in own if p[2] == q[2] and scores[at[p[0]], at[q[0]]] >= 0.35)
+    left, right, wanted = set(), set(), set()
+    for _, a, b in every:
+        if a not in left and b not in right:
+            left.add(a), right.add(b), wanted.add((a, b))
+    unit = V.units(spark.createDataFrame(rows, ROWS), "id", "vec", "label")
+    sides = [unit.where(f"int(id % 4 / 2) = {s}").withColumnRenamed("id", name) for s, name in ((0, "item"), (1, "own"))]
+    found = G.greedy_by_level(*sides, ["label"], "item", "own", "score", 0.35, (0.9, 0.7), lambda l, r, v: V.scored_pairs(l, r, "item", "own", v, ["label"])).collect()
+    assert {(r.item, r.own) for r in found} == wanted and len(found) == len(wanted)
+    assert sum(t.count() for t in tiles_made) < len(every)
+    clear = {r.item for r in V.like_any(*sides, "item", "own", 0.9, None, "label").collect()}
+    assert clear == {p[0] for p in new if any(p[2] != q[2] and scores[at[p[0]], at[q[0]]] >= 0.9 for q in own)}
