@@ -217,18 +217,26 @@ def linked(a: str, b: str, least: float, left_id: str, right_id: str) -> Rule:
     return rule
 
 
-def first_holding(order: Callable[[Arrays], tuple[np.ndarray, ...]], far: Callable[[Arrays, Arrays], np.ndarray] | None = None) -> Rule:
-    """For each point (px, py) of a tile, the first box (x, y, w, h, box_id) in ``order`` that holds it.
+def leaders(rows: DataFrame, rank: str, most: int) -> DataFrame:
+    """_cx, _cy, _last: for each cell of more than ``most`` rows, up to where ``rank`` goes in the first of them, a quarter to a half of ``most``."""
+    cell = ["_cx", "_cy"]
+    crowded = rows.groupBy(*cell).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    shares = F.array(*[F.lit(0.5**k) for k in range(1, 41)])
+    last = rows.join(F.broadcast(crowded), cell).groupBy(*cell, "_n").agg(F.percentile_approx(rank, shares, 10_000).alias("_at"))
+    return last.select(*cell, F.element_at("_at", F.ceil(F.log2(F.col("_n") * 2 / most)).cast("int")).alias("_last"))
 
-    ``order`` gives sort keys, the first one weighing most; of boxes equal in that key, ``far`` (a table of points by boxes) decides, then
-    box_id. Gives point_id, box_id, rank (the first key) and far. Boxes are taken in order, a few and then more at once; a point
-    that a box holds is not looked at again.
+
+def first_holding(far: Callable[[Arrays, Arrays], np.ndarray] | None = None, more: tuple[str, ...] = ()) -> Rule:
+    """For each point (px, py) of a tile, the first box (x, y, w, h, box_id) by its rank that holds it.
+
+    Of boxes of one rank, ``far`` (a table of points by boxes) decides, then box_id. Gives point_id, box_id, rank, far and the
+    box's columns ``more``. Boxes are taken in order, a few and then more at once; a point that a box holds is not looked at again.
     """
 
     def rule(_cx: int, _cy: int, l: Arrays, r: Arrays) -> Iterator[Arrays]:
-        keys = order(r)
-        down = np.lexsort((r["box_id"], *reversed(keys)))
-        r, key = {k: v[down] for k, v in r.items()}, keys[0][down]
+        down = np.lexsort((r["box_id"], r["rank"]))
+        r = {k: v[down] for k, v in r.items()}
+        key = r["rank"]
         ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))  # where boxes of one key end
         open_, lo, step = np.arange(len(l["px"])), 0, 16
         while lo < len(key) and len(open_):
@@ -250,7 +258,7 @@ def first_holding(order: Callable[[Arrays], tuple[np.ndarray, ...]], far: Callab
                     apart = np.where(held & (key[lo:hi][None] == key[lo + best][:, None]), far({k: v[some] for k, v in l.items()}, box), np.inf)
                     best = apart.argmin(axis=1)  # of equally far ones the smaller id, which comes first
                     away = apart[np.arange(len(some)), best]
-                yield {"point_id": l["point_id"][some], "box_id": box["box_id"][best], "rank": key[lo + best], "far": away}
+                yield {"point_id": l["point_id"][some], "box_id": box["box_id"][best], "rank": key[lo + best], "far": away, **{c: box[c][best] for c in more}}
             open_, lo, step = np.concatenate(left), hi, min(1024, step * 2)
 
     return rule

@@ -151,11 +151,10 @@ def board_sides(spark: SparkSession, sf: str) -> DataFrame:
     b = boxes(spark, sf)
     points = b.select(F.col("box_id").alias("point_id"), (F.col("x") + 5).alias("px"), (F.col("y") + 5).alias("py"))
     frames = b.where("conf >= 0.5").select("box_id", "x", "y", "w", "h")
-    first = G.first_boxes(points, frames, 200.0, lambda r: (-r["w"] * r["h"],))
-    best = first.join(frames, "box_id").select("point_id", F.struct("box_id", "y", "h").alias("m"))
-    found = points.join(best, "point_id", "left")
-    middle = F.coalesce(F.col("m.y") + F.col("m.h") / 2, F.lit(500.0))
-    return found.select("point_id", F.col("m.box_id").alias("frame_id"), F.when(F.col("py") > middle, "near").otherwise("far").alias("side"))
+    first = G.first_boxes(points, frames, 200.0, lambda r: (-r["w"] * r["h"],), more=("y", "h"))
+    found = points.join(first, "point_id", "left")
+    middle = F.coalesce(F.col("y") + F.col("h") / 2, F.lit(500.0))
+    return found.select("point_id", F.col("box_id").alias("frame_id"), F.when(F.col("py") > middle, "near").otherwise("far").alias("side"))
 
 
 def fresh_reads(spark: SparkSession, sf: str) -> DataFrame:
