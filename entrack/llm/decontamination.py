@@ -31,8 +31,11 @@ UNITS = (
     "percent usd eur gbp dollars euros pounds hours minutes seconds days weeks months years"
 ).split()
 _GAP = r"[\x20\x09-\x0D]"
-_NAME = rf"(^|[\p{{Ll}},;:.!?]{_GAP}+)(\p{{Lu}}\p{{Ll}}+(?:{_GAP}\p{{Lu}}\p{{Ll}}+)*)"
-_NUMBER = r"([0-9]+(?:[.,:][0-9]+)*)"
+# Repeated groups are possessive: Java walks these in a loop, others by recursion, which a run of some thousand names or
+# numbers overflows. What may follow never begins inside a run, so giving back would find nothing more; and a
+# number is only tried where its run begins, as all of its later digits lead to the same end.
+_NAME = rf"(^|[\p{{Ll}},;:.!?]{_GAP}+)(\p{{Lu}}\p{{Ll}}+(?:{_GAP}\p{{Lu}}\p{{Ll}}+)*+)"
+_NUMBER = r"([0-9](?<![0-9][.,:]?[0-9])[0-9]*+(?:[.,:][0-9]+)*+)"
 _MEASURE = rf"{_NUMBER}{_GAP}?({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))}|%|€|\$)($|[^\p{{L}}\p{{N}}])"
 _TOKEN = r"[\p{L}\p{N}\x{1}\x{2}\x{3}]+"
 _NUM, _UNIT, _NAM = "\x01", "\x02", "\x03"
@@ -59,7 +62,7 @@ def slot_values(text: Column) -> Column:
     alone = F.regexp_extract_all(named, every, F.lit(4))
     units = F.regexp_extract_all(named, F.lit(f"(?i){_MEASURE}"), F.lit(2))
     return F.struct(
-        F.regexp_extract_all(clean, F.lit(_NAME), F.lit(2)).alias("names"),
+        F.transform(F.regexp_extract_all(clean, F.lit(_NAME), F.lit(2)), F.lower).alias("names"),
         F.zip_with(with_unit, alone, lambda a, b: F.when(a != "", a).otherwise(b)).alias("numbers"),
         F.transform(units, F.lower).alias("units"),
     )
@@ -86,8 +89,7 @@ def _slots(tokens: Column, values: Column) -> Column:
     def of(sign: str, own: Column) -> Column:
         return F.transform(F.filter(places, lambda i: F.get(tokens, i) == sign), lambda i, nth: F.struct(i.alias("at"), F.get(own, nth).alias("value")))
 
-    names = F.transform(values["names"], F.lower)
-    return F.map_from_entries(F.concat(of(_NUM, values["numbers"]), of(_UNIT, values["units"]), of(_NAM, names)))
+    return F.map_from_entries(F.concat(of(_NUM, values["numbers"]), of(_UNIT, values["units"]), of(_NAM, values["names"])))
 
 
 def _covered(at: Column, width: Column) -> Column:

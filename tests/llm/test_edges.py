@@ -287,6 +287,22 @@ def test_short_items_and_names_that_begin_sentences(spark):
     assert [(r.doc_id, r.item_id, r.reparameterised) for r in found] == [(3, 2, True)]
 
 
+def test_long_runs_of_names_and_numbers_do_not_overflow_the_stack(spark):
+    item = "if the farmer picks 12 apples on each market day near the old river, how many apples does he pick?"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    runs = ["Von " * 20_000, "1," * 20_000 + "1 kgx ", "Von " * 20_000 + "1:2." * 20_000 + "3 kg "]
+    rows = [(k, f"x {run}. {item}") for k, run in enumerate(runs)] + [(3, f"x {runs[2]}")]
+    found = decontamination.leaked(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched_tokens, r.reparameterised) for r in found) == [(k, 1, found[0].item_tokens, False) for k in range(3)]
+
+
+def test_numbers_and_units_at_the_ends_of_runs(spark):
+    docs = spark.createDataFrame([("a 12.5kgx 1,2,3 kg b 3:4 in.5 kg.7 c 1..2 d 12 12.5% e",)], "text string")
+    row = docs.select(decontamination.template(F.col("text")).alias("w"), decontamination.slot_values(F.col("text")).alias("v")).first()
+    assert " ".join(row.w) == "a \x01 kgx \x01 \x02 b \x01 \x02 \x01 \x02 \x01 c \x01 \x01 d \x01 \x01 \x02 e"
+    assert row.v.numbers == ["12.5", "1,2,3", "3:4", "5", "7", "1", "2", "12", "12.5"] and row.v.units == ["kg", "in", "kg", "%"]
+
+
 def test_clashing_names_and_nulls_in_every_column(spark):
     """Extra columns with the names that operators use inside, and rows that are null throughout."""
     import corpus_pipeline
